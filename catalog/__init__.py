@@ -1,5 +1,5 @@
 """Registered queries and the SQL that must give the same rows."""
 
-from catalog import cleaning, detection, reports
+from catalog import cleaning, detection, injection, reports
 
-MODULES = (cleaning, detection, reports)
+MODULES = (cleaning, detection, reports, injection)

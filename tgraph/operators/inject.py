@@ -1,20 +1,641 @@
-"""Labelled anomalous edges."""
+"""Labelled anomalous edges.
+
+Generated edges have ``src, tgt, t, msg, label, split, group_id, w`` and are
+drawn by hash, so a retried task gives the same edges.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tgraph.operators.ordering import global_position, shifted
+from tgraph.functions import arrays as ar
+from tgraph.functions.random import pick, u01
+from tgraph.operators.ordering import global_position, group_position, running, shifted
+from tgraph.operators.sampling import (
+    indexed,
+    lookup,
+    observed_pairs,
+    product_sample,
+    smallest,
+    unseen_pairs,
+    weighted_pick,
+)
+from tgraph.session import materialize, maybe_broadcast
 
+# Fixed values.
+DURATIONS = {"small": 0.1, "medium": 0.5, "large": 1.0}
+UNKNOWN_DURATION = 0.01
+GROUP_TYPES = ("random", "burst", "clique", "path", "bridge")
+TYPE_ALIASES = {
+    "s": "structural",
+    "t": "temporal",
+    "c": "contextual",
+    "sc": "structural-contextual",
+    "tc": "temporal-contextual",
+    "tsc": "temporal-structural-contextual",
+}
+ROW_TYPES = tuple(TYPE_ALIASES.values())
+RANDOM_BATCH = 10
 
-def time_deltas(train: DataFrame, t: str = "t") -> DataFrame:
-    """Gaps between distinct train times with counts, weights and their gcd."""
+
+def duration_rate(duration: float | str) -> float:
+    """Fraction of a split's time range; unknown names mean 0.01."""
+    if isinstance(duration, str):
+        return DURATIONS.get(duration, UNKNOWN_DURATION)
+    return float(duration)
+
+
+def _clamp(x: float, low: int, high: int) -> int:
+    return max(low, min(int(x), high))
+
+
+def group_size(kind: str, stats: Mapping[str, float]) -> int:
+    """Nodes (clique, path) or edges (others) of one group."""
+    if kind == "random":
+        return RANDOM_BATCH
+    if kind == "burst":
+        return _clamp(stats["mean_degree"] + 3 * stats["std_degree"], 10, 100)
+    if kind == "clique":
+        return _clamp(math.sqrt(stats["avg_cluster_size"]) * 2, 4, 15)
+    if kind == "path":
+        return _clamp(stats["est_diameter"] + 1, 5, 20) + 1
+    if kind == "bridge":
+        return 1
+    raise ValueError(f"unknown anomaly type '{kind}'")
+
+
+def _distinct_nodes(num_nodes: int, k: int, seed: object) -> Column:
+    """The first k distinct of 4k+8 draws, as an array in draw order."""
+    draws = F.transform(
+        F.sequence(F.lit(1), F.lit(4 * k + 8)), lambda i: pick(num_nodes, seed, F.lit("n"), "g", i)
+    )
+    return F.slice(F.array_distinct(draws), 1, k)
+
+
+def _pair(u: Column, v: Column) -> Column:
+    return F.struct(u.alias("u"), v.alias("v"))
+
+
+def candidate_edges(
+    groups: DataFrame,
+    kind: str,
+    num_nodes: int,
+    size: int,
+    seed: object,
+    communities: DataFrame | None = None,
+) -> DataFrame:
+    """Edges ``(g, i, u, v)`` of numbered candidate groups, before any check."""
+    if kind in ("random", "burst"):
+        rows = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        u = pick(num_nodes, seed, F.lit("c"), "g")
+        if kind == "random":
+            u = pick(num_nodes, seed, F.lit("u"), "g", "i")
+        return rows.select("g", "i", u.alias("u"), pick(num_nodes, seed, F.lit("v"), "g", "i").alias("v"))
+    if kind in ("clique", "path"):
+        rows = groups.withColumn("n", _distinct_nodes(num_nodes, size, seed))
+        at = F.sequence(F.lit(1), F.size("n"))
+        if kind == "clique":
+            pairs = F.flatten(
+                F.transform(
+                    at,
+                    lambda a: F.transform(
+                        F.slice(F.col("n"), a + 1, F.size("n")),
+                        lambda b: _pair(F.get("n", a - 1), b),
+                    ),
+                )
+            )
+        else:
+            pairs = F.transform(
+                F.filter(at, lambda a: a > 1),
+                lambda a: _pair(F.get("n", a - 2), F.get("n", a - 1)),
+            )
+        return rows.select("g", F.posexplode(pairs).alias("i", "e")).select("g", "i", "e.u", "e.v")
+    if kind == "bridge":
+        if communities is None:
+            raise ValueError("bridge needs communities(node_id, cluster)")
+        members = materialize(
+            group_position(communities.select("node_id", "cluster"), ["cluster"], ["node_id"], "m"),
+            "members",
+        )
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+        sizes = materialize(global_position(sizes, ["cluster"], "c"), "clusters")
+        k = sizes.count()
+        if k < 2:
+            raise ValueError("bridge needs at least two communities")
+        first = pick(k, seed, F.lit("a"), "g")
+        second = F.pmod(first + 1 + pick(k - 1, seed, F.lit("b"), "g"), F.lit(k))
+        rows = groups.select("g", F.lit(0).alias("i"), first.alias("ca"), second.alias("cb"))
+        for c, end in (("ca", "u"), ("cb", "v")):
+            side = sizes.select(F.col("c").alias(c), F.col("cluster").alias("_k"), "size")
+            rows = rows.join(maybe_broadcast(side), c)
+            rows = rows.withColumn("m", pick(F.col("size"), seed, F.lit(end), "g") + 1)
+            table = members.select(F.col("cluster").alias("_k"), "m", F.col("node_id").alias(end))
+            rows = rows.join(table, ["_k", "m"]).drop("_k", "m", "size", c)
+        return rows.select("g", "i", "u", "v")
+    raise ValueError(f"unknown anomaly type '{kind}'")
+
+
+def accept_groups(cand: DataFrame, observed: DataFrame, target: int) -> tuple[DataFrame, int]:
+    """New edges of the first groups that reach ``target``, and their number.
+
+    Self-loops and observed pairs go; of equal pairs the earliest stays.  A
+    group is kept while the groups before it hold fewer than ``target`` edges,
+    so the last one may overshoot.
+    """
+    fresh = cand.filter(F.col("u") != F.col("v")).withColumns(
+        {"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}
+    )
+    fresh = fresh.join(observed, ["lo", "hi"], "left_anti")
+    first = fresh.groupBy("lo", "hi").agg(
+        F.min(F.struct("g", "i", "u", "v")).alias("f")
+    )
+    edges = materialize(first.select("f.*"), "accepted")
+    sizes = edges.groupBy("g").agg(F.count("*").alias("n"))
+    summed = running(
+        materialize(sizes, "sizes"), [], ["g"], {"upto": F.col("n"), "group_id": F.lit(1).cast("bigint")}
+    )
+    kept = materialize(
+        summed.filter(F.col("upto") - F.col("n") < target).select("g", "group_id", "upto"), "groups"
+    )
+    reached = kept.agg(F.max("upto").alias("u"), F.max("group_id").alias("k")).first()
+    return edges.join(kept.select("g", "group_id"), "g"), reached["u"] or 0
+
+
+def last_messages(edges: DataFrame, msg: str = "msg") -> DataFrame:
+    """The latest message each source sent."""
+    return edges.groupBy("src").agg(F.max_by(msg, F.struct("t", "edge_pos")).alias("msg"))
+
+
+def inject(
+    edges: DataFrame,
+    kind: str,
+    ratios: Mapping[str, float],
+    num_nodes: int,
+    stats: Mapping[str, float] | None = None,
+    duration: float | str = "medium",
+    communities: DataFrame | None = None,
+    seed: object = 0,
+    msg_size: int | None = None,
+    rounds: int = 5,
+) -> tuple[DataFrame, dict[str, Any]]:
+    """Generate anomalous groups per split; returns new edges and a report.
+
+    Splits run in the order train, val, test, and each split's new pairs count
+    as observed in the next.  ``edges`` needs src, tgt, t, edge_pos, split and,
+    for messages, ``msg``.
+    """
+    if kind not in GROUP_TYPES:
+        raise ValueError(f"unknown anomaly type '{kind}'")
+    spark = edges.sparkSession
+    rate = duration_rate(duration)
+    size = group_size(kind, stats or {})
+    per_group = {"clique": size * (size - 1) // 2, "path": size - 1}.get(kind, size)
+    observed = observed_pairs(edges)
+    spans = {
+        r["split"]: r
+        for r in edges.groupBy("split")
+        .agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+        .collect()  # one row per split
+    }
+    out, report, offset = None, {"type": kind, "duration_rate": rate, "splits": {}}, 0
+    for split in ("train", "val", "test"):
+        ratio = ratios.get(split, 0.0)
+        target = int(spans[split]["n"] * ratio) if split in spans and ratio > 0 else 0
+        report["splits"][split] = {"ratio": ratio, "requested": target, "generated": 0}
+        if target == 0:
+            continue
+        salt = f"{seed}-{split}"
+        n_groups = 2 * math.ceil(target / per_group) + 8
+        for _ in range(rounds):
+            groups = spark.range(n_groups).withColumnRenamed("id", "g")
+            cand = candidate_edges(groups, kind, num_nodes, size, salt, communities)
+            new, made = accept_groups(cand, observed, target)
+            if made >= target:
+                break
+            n_groups *= 4
+        placed = _place(new, split, spans[split], rate, salt).withColumn(
+            "group_id", F.col("group_id") + F.lit(offset)
+        )
+        placed = materialize(placed, "injected")
+        top = placed.agg(F.max("group_id").alias("g"), F.count("*").alias("n")).first()
+        offset = top["g"] or offset
+        report["splits"][split]["generated"] = top["n"]
+        observed = observed.unionByName(observed_pairs(placed))
+        out = placed if out is None else out.unionByName(placed)
+    report["total_generated"] = sum(s["generated"] for s in report["splits"].values())
+    if out is None:
+        raise ValueError("no split has a target above zero")
+    if "msg" in edges.columns:
+        out = out.join(last_messages(edges), "src", "left")
+        if msg_size is not None:
+            zeros = F.array(*[F.lit(0.0)] * msg_size)
+            out = out.withColumn("msg", F.coalesce("msg", zeros))
+    return out, report
+
+
+def _place(new: DataFrame, split: str, span: Any, rate: float, seed: object) -> DataFrame:
+    """Give each group a window in the split's range and sorted times in it.
+
+    Groups are bounded by their type (at most 105 edges), so windows over one
+    group are small.
+    """
+    lo, hi = float(span["lo"]), float(span["hi"])
+    length = (hi - lo) * min(rate, 1.0)
+    room = max(lo, hi - length) - lo
+    start = F.lit(lo) + u01(seed, F.lit("start"), "g") * F.lit(room)
+    drawn = new.withColumn("_t", start + u01(seed, F.lit("t"), "g", "i") * F.lit(length))
+    by_i = Window.partitionBy("g").orderBy("i")
+    times = F.array_sort(F.collect_list("_t").over(Window.partitionBy("g")))
+    return drawn.withColumns({"_k": F.row_number().over(by_i), "_all": times}).select(
+        F.col("u").alias("src"),
+        F.col("v").alias("tgt"),
+        F.get("_all", F.col("_k") - 1).alias("t"),
+        F.lit(1).alias("label"),
+        F.lit(split).alias("split"),
+        "group_id",
+        F.lit(1.0).alias("w"),
+    )
+
+
+def merge_injected(edges: DataFrame, injected: DataFrame) -> DataFrame:
+    """Union with the input, labels made binary, times as double, re-ordered."""
+    if "label" not in edges.columns:
+        edges = edges.withColumn("label", F.lit(0))
+    base = edges.withColumns(
+        {
+            "label": (F.col("label") != 0).cast("int"),
+            "t": F.col("t").cast("double"),
+            "group_id": F.lit(0).cast("bigint"),
+            "w": F.lit(1.0),
+        }
+    ).drop("edge_pos")
+    both = base.unionByName(injected.withColumn("label", F.col("label").cast("int")))
+    return global_position(both, ["t", "src", "tgt", "group_id"])
+
+
+def injection_summary(merged: DataFrame) -> DataFrame:
+    """Per split: edges, injected edges, their groups and ratio."""
+    made = F.count_if(F.col("group_id") > 0)
+    return merged.groupBy("split").agg(
+        F.count("*").alias("edges"),
+        made.alias("generated"),
+        F.countDistinct(F.when(F.col("group_id") > 0, F.col("group_id"))).alias("groups"),
+        (made / (F.count("*") - made)).alias("ratio"),
+    )
+
+
+# --- time properties -----------------------------------------------------
+
+
+def time_gaps(train: DataFrame, t: str = "t") -> DataFrame:
+    """Distinct gaps between consecutive distinct train times, with counts."""
     times = global_position(train.select(t).distinct(), [t], "_p")
     gaps = shifted(times, "_p", {"_last": F.col(t)}, -1)
-    counted = (
+    return (
         gaps.filter(F.col("_last").isNotNull())
         .groupBy((F.col(t) - F.col("_last")).alias("delta"))
         .agg(F.count("*").alias("n"))
     )
-    return counted
+
+
+def granularity(gaps: DataFrame) -> int:
+    """Greatest common divisor of all gaps: per partition, then of those."""
+
+    def per_part(parts):
+        got = [np.gcd.reduce(p["delta"].to_numpy()) for p in parts if len(p)]
+        if got:
+            yield pd.DataFrame({"delta": [int(np.gcd.reduce(got))]})
+
+    rows = gaps.select("delta").mapInPandas(per_part, "delta bigint").collect()
+    return reduce(math.gcd, [r["delta"] for r in rows], 0) or 1
+
+
+def time_deltas(train: DataFrame, t: str = "t") -> DataFrame:
+    """Gaps with count, inverse-frequency probability and the granularity."""
+    gaps = materialize(time_gaps(train, t), "gaps")
+    weight = F.pow(F.col("n").cast("double"), F.lit(-1.5))
+    total = gaps.agg(F.sum(weight).alias("s")).first()["s"] or 0.0
+    return gaps.withColumns(
+        {"p": weight / F.lit(total + 1e-10), "granularity": F.lit(granularity(gaps)).cast("bigint")}
+    )
+
+
+def plausible_times(
+    slots: DataFrame, deltas: DataFrame, first: int, last: int, seed: object, max_steps: int = 15
+) -> DataFrame:
+    """A time per slot: a multiple of the granularity plus a walk over gaps.
+
+    The walk has 1..max_steps-1 signed steps drawn by gap probability times
+    gap count; the result is clipped to [first, last].
+    """
+    unit = deltas.agg(F.max("granularity").alias("g")).first()["g"] or 1
+    low, high = -(-first // unit), last // unit
+    if low > high:
+        return slots.withColumn("new_t", F.lit(first))
+    base = (F.lit(low) + pick(high - low + 1, seed, F.lit("base"), "slot")) * F.lit(unit)
+    steps = F.lit(1) + pick(max_steps - 1, seed, F.lit("steps"), "slot")
+    walk = slots.select("slot", F.explode(F.sequence(F.lit(1).cast("bigint"), steps)).alias("step"))
+    walk = walk.withColumn("_u", u01(seed, F.lit("gap"), "slot", "step"))
+    items = deltas.select("delta", (F.col("p") * F.col("n")).alias("_w"))
+    walk = weighted_pick(walk, "_u", items, "_w", ["delta"])
+    sign = F.when(u01(seed, F.lit("sign"), "slot", "step") < 0.5, -1).otherwise(1)
+    moved = walk.groupBy("slot").agg(F.sum(F.col("delta") * sign).alias("_move"))
+    out = slots.join(moved, "slot", "left")
+    t = F.greatest(F.lit(first), F.least(F.lit(last), base + F.coalesce("_move", F.lit(0))))
+    return out.withColumn("new_t", t.cast("bigint")).drop("_move")
+
+
+# --- structural, temporal and contextual edges ---------------------------
+
+
+def weighted_edges(edges: DataFrame, n: int, seed: object) -> DataFrame:
+    """n edges drawn with replacement, rare pairs more often."""
+    counts = edges.groupBy("src", "tgt").agg(F.count("*").alias("_n"))
+    items = edges.join(counts, ["src", "tgt"]).withColumn(
+        "_w", F.pow(F.col("_n").cast("double"), F.lit(-1.5))
+    )
+    draws = edges.sparkSession.range(n).select(
+        F.col("id").alias("slot"), u01(seed, F.lit("edge"), "id").alias("_u")
+    )
+    out = weighted_pick(draws, "_u", items.drop("_n"), "_w", ["edge_pos"])
+    return out.drop("_u", "_w")
+
+
+def anchor_window(edges: DataFrame, width: int | float, seed: object) -> DataFrame:
+    """Rows around one weighted anchor edge, by position."""
+    n = edges.count()
+    reach = int(n * width) if isinstance(width, float) else width
+    reach = max(1, min(reach, n))
+    anchor = weighted_edges(edges, 1, seed).first()["edge_pos"]
+    return edges.filter((F.col("edge_pos") >= anchor - reach) & (F.col("edge_pos") < anchor + reach))
+
+
+def structural(
+    edges: DataFrame, observed: DataFrame, n: int, seed: object, window: int | float | None = None
+) -> DataFrame:
+    """n unseen ordered pairs of the split's own sources and targets.
+
+    Time and message are those of the source's first row.
+    """
+    rows = edges if window is None else anchor_window(edges, window, seed)
+    spark = edges.sparkSession
+    s, ns = indexed(rows, "src")
+    t, nt = indexed(rows, "tgt")
+    if ns * nt == 0 or n == 0:
+        raise ValueError("nothing to draw from")
+
+    def draw(cand: DataFrame) -> DataFrame:
+        out = cand.withColumns(
+            {"_a": pick(ns, seed, F.lit("s"), "cand"), "_b": pick(nt, seed, F.lit("t"), "cand")}
+        )
+        return lookup(lookup(out, "_a", s, "_i", "src", "u"), "_b", t, "_i", "tgt", "v")
+
+    new = unseen_pairs(spark, n, draw, observed, ordered=True)
+    first = rows.groupBy("src").agg(F.min_by(F.struct("t", "msg"), "edge_pos").alias("f"))
+    return new.select("slot", F.col("u").alias("src"), F.col("v").alias("tgt")).join(first, "src").select(
+        "slot", "src", "tgt", "f.t", "f.msg"
+    )
+
+
+def temporal(
+    edges: DataFrame, observed_t: DataFrame, deltas: DataFrame, n: int, first: int, last: int, seed: object
+) -> DataFrame:
+    """n existing pairs at plausible times at which they were not seen.
+
+    Each slot tries several times; a slot whose tries are all taken is filled
+    by the surplus of others, as all slots are alike.
+    """
+    tries = 4
+    picked = weighted_edges(edges, n * tries, seed).select("slot", "src", "tgt", "msg")
+    timed = plausible_times(picked, deltas, first, last, f"{seed}-t")
+    new = timed.select("slot", "src", "tgt", F.col("new_t").alias("t"), "msg")
+    new = new.join(observed_t, ["src", "tgt", "t"], "left_anti")
+    new = new.groupBy("src", "tgt", "t").agg(F.min_by(F.struct("slot", "msg"), "slot").alias("f"))
+    new = global_position(new.select("f.slot", "src", "tgt", "t", "f.msg"), ["slot"], "_p")
+    return new.filter(F.col("_p") < n).drop("slot").withColumnRenamed("_p", "slot")
+
+
+def dissimilar_messages(
+    rows: DataFrame, pool: DataFrame, seed: object, sample: int = 25, metric: str = "cosine"
+) -> DataFrame:
+    """Replace each message by the most dissimilar of a random sample.
+
+    Every row draws ``sample`` positions of the pool, so the join grows with
+    the rows, not with the pool.
+    """
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"metric '{metric}' is not supported")
+    table = global_position(pool.select("edge_pos", F.col("msg").alias("other")), ["edge_pos"], "_i")
+    n = table.count()
+    draws = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(sample))))
+    draws = draws.withColumn("_i", pick(n, seed, F.lit("ctx"), "slot", "_k"))
+    measure = ar.cosine_distance if metric == "cosine" else ar.l2_distance
+    joined = draws.join(table.select("_i", "other"), "_i")
+    # rounded, so that equal distances tie and the first draw wins
+    far = F.max_by("other", F.struct(F.round(measure("msg", "other"), 9), -F.col("_k")))
+    best = joined.groupBy("slot").agg(far.alias("_m"))
+    return rows.join(best, "slot").withColumn("msg", F.col("_m")).drop("_m")
+
+
+def contextual(edges: DataFrame, n: int, seed: object, sample: int = 25, metric: str = "cosine") -> DataFrame:
+    """n drawn edges with their message replaced by a dissimilar one."""
+    rows = weighted_edges(edges, n, seed).select("slot", "src", "tgt", "t", "msg")
+    return dissimilar_messages(rows, edges, seed, sample, metric)
+
+
+def generate(
+    edges: DataFrame,
+    kind: str,
+    ratio: float,
+    split: str,
+    seed: object = 0,
+    window: int | float | None = None,
+    metric: str = "cosine",
+) -> DataFrame:
+    """Structural, temporal and contextual anomalies or their mixes.
+
+    ``combination`` splits the target evenly over all six types.
+    """
+    kind = TYPE_ALIASES.get(kind, kind)
+    if kind not in (*ROW_TYPES, "combination"):
+        raise ValueError(f"unknown anomaly type '{kind}'")
+    if not 0.0 <= ratio <= 1.0:
+        raise ValueError("ratio must be in [0, 1]")
+    rows = materialize(edges.filter(F.col("split") == split), "split_rows")
+    span = rows.agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).first()
+    n = int(span["n"] * ratio)
+    if n == 0:
+        raise ValueError("the target is zero")
+    kinds = ROW_TYPES if kind == "combination" else (kind,)
+    if any("temporal" in k for k in kinds):
+        train = edges.filter(F.col("split") == "train")
+        deltas = materialize(time_deltas(train), "deltas")
+        seen = materialize(edges.select("src", "tgt", "t").distinct(), "seen")
+    if any("structural" in k for k in kinds):
+        pairs = materialize(observed_pairs(edges, ordered=True), "pairs")
+    out = None
+    for j, k in enumerate(kinds):
+        m = n // len(kinds) + (1 if j < n % len(kinds) else 0)
+        if m == 0:
+            continue
+        salt = f"{seed}-{k}"
+        if "structural" in k:
+            made = materialize(structural(rows, pairs, m, salt, window), "made")
+            if "temporal" in k:
+                made = plausible_times(made, deltas, span["a"], span["b"], f"{salt}-t")
+                made = made.withColumn("t", F.col("new_t")).drop("new_t")
+        elif "temporal" in k:
+            made = temporal(rows, seen, deltas, m, span["a"], span["b"], salt)
+        else:
+            made = contextual(rows, m, salt, metric=metric)
+        if k != "contextual" and k.endswith("contextual"):
+            made = materialize(made, "made")
+            made = dissimilar_messages(made, rows, salt, metric=metric)
+        made = made.select("src", "tgt", "t", "msg", F.lit(1).alias("label"), F.lit(split).alias("split"), F.lit(k).alias("kind"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def nearby_targets(edges: DataFrame, n: int, width: int, seed: object, tries: int = 8) -> DataFrame:
+    """Drawn edges whose target is taken from a row up to ``width`` away.
+
+    The first try that gives an unseen ordered pair wins; without one, the
+    last try stays.
+    """
+    rows = global_position(edges.select("src", "tgt", "t", "edge_pos"), ["edge_pos"], "_i")
+    last = rows.count() - 1
+    drawn = weighted_edges(edges, n, seed).select("slot", "edge_pos").join(
+        rows.select("edge_pos", "_i", "src", "t"), "edge_pos"
+    )
+    step = pick(2 * width, seed, F.lit("step"), "slot", "try") - width
+    step = F.when(step >= 0, step + 1).otherwise(step)
+    cand = drawn.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    cand = cand.withColumn("_j", F.greatest(F.lit(0), F.least(F.lit(last), F.col("_i") + step)))
+    cand = cand.join(rows.select(F.col("_i").alias("_j"), F.col("tgt").alias("new_tgt")), "_j")
+    seen = edges.select("src", F.col("tgt").alias("new_tgt"), F.lit(1).alias("_seen")).distinct()
+    cand = cand.join(seen, ["src", "new_tgt"], "left")
+    order = F.when(F.col("_seen").isNull(), F.col("try")).otherwise(F.lit(2 * tries) - F.col("try"))
+    return cand.groupBy("slot", "src", "t").agg(F.min_by("new_tgt", order).alias("tgt"))
+
+
+# --- test sets without times ---------------------------------------------
+
+
+def anomaly_count(n_test: int, share: float) -> int:
+    """Anomalies that make up ``share`` of the test set once added."""
+    return max(0, int(n_test * share / (1.0 - share + 1e-10)))
+
+
+def labelled_test_set(edges: DataFrame, train: float, share: float, seed: object = 0) -> DataFrame:
+    """Test rows plus unseen pairs of train nodes, labelled and shuffled.
+
+    ``edges`` has a gap-free ``edge_pos``; the first part is train.  ``place``
+    is the shuffled position.
+    """
+    if not 0.0 <= train <= 1.0 or not 0.0 <= share <= 1.0:
+        raise ValueError("shares must be in [0, 1]")
+    n = edges.count()
+    cut = int(n * train)
+    pool, size = indexed(
+        edges.filter(F.col("edge_pos") < cut).select(F.explode(F.array("src", "tgt")).alias("v")), "v"
+    )
+    normal = edges.filter(F.col("edge_pos") >= cut).select("src", "tgt", F.lit(0).alias("label"))
+
+    def draw(cand: DataFrame) -> DataFrame:
+        out = cand.withColumns(
+            {"_a": pick(size, seed, F.lit("a"), "cand"), "_b": pick(size, seed, F.lit("b"), "cand")}
+        )
+        return lookup(lookup(out, "_a", pool, "_i", "v", "u"), "_b", pool, "_i", "v", "v")
+
+    m = anomaly_count(n - cut, share)
+    new = unseen_pairs(edges.sparkSession, m, draw, observed_pairs(edges))
+    new = new.select(F.col("u").alias("src"), F.col("v").alias("tgt"), F.lit(1).alias("label"))
+    both = normal.unionByName(new)
+    shuffled = both.withColumn("_u", u01(seed, F.lit("place"), "src", "tgt", "label"))
+    return shuffled
+
+
+def uniform_unseen(edges: DataFrame, num_nodes: int, n: int, seed: object = 0) -> DataFrame:
+    """n unseen pairs of any nodes, with time and message of random rows."""
+
+    def draw(cand: DataFrame) -> DataFrame:
+        return cand.select(
+            "cand",
+            pick(num_nodes, seed, F.lit("a"), "cand").alias("u"),
+            pick(num_nodes, seed, F.lit("b"), "cand").alias("v"),
+        )
+
+    new = unseen_pairs(edges.sparkSession, n, draw, observed_pairs(edges))
+    total = edges.count()
+    take = [c for c in ("t", "msg") if c in edges.columns]
+    rows = edges.select(F.col("edge_pos").alias("_r"), *take)
+    return (
+        new.select("slot", F.col("u").alias("src"), F.col("v").alias("tgt"))
+        .withColumn("_r", pick(total, seed, F.lit("row"), "slot"))
+        .join(rows, "_r")
+        .drop("_r")
+    )
+
+
+def between_communities(edges: DataFrame, communities: DataFrame, n: int, seed: object = 0) -> DataFrame:
+    """n unseen pairs whose ends are in different communities."""
+    pool = materialize(global_position(communities, ["node_id"], "_i"), "communities")
+    size = pool.count()
+    lookup_side = maybe_broadcast(pool)
+
+    def draw(cand: DataFrame) -> DataFrame:
+        out = cand
+        for tag, end, c in (("a", "u", "_cu"), ("b", "v", "_cv")):
+            side = lookup_side.select(
+                F.col("_i").alias("_d"), F.col("node_id").alias(end), F.col("cluster").alias(c)
+            )
+            out = out.withColumn("_d", pick(size, seed, F.lit(tag), "cand")).join(side, "_d").drop("_d")
+        return out.filter(F.col("_cu") != F.col("_cv")).drop("_cu", "_cv")
+
+    new = unseen_pairs(edges.sparkSession, n, draw, observed_pairs(edges))
+    return new.select("slot", F.col("u").alias("src"), F.col("v").alias("tgt"))
+
+
+def scatter_into(test: DataFrame, new: DataFrame, seed: object = 0) -> DataFrame:
+    """Put new pairs at random places among the test rows, order kept.
+
+    A new edge takes a random slot of the combined sequence; ``place`` is the
+    final position.
+    """
+    n, m = test.count(), new.count()
+    spots = test.sparkSession.range(n + m).withColumn("_u", u01(seed, F.lit("spot"), "id"))
+    chosen = smallest(spots.select("id", "_u"), m, F.col("_u"), ["id"]).select("id")
+    taken = global_position(chosen, ["id"], "slot")
+    free = global_position(
+        spots.select("id").join(chosen, "id", "left_anti"), ["id"], "_i"
+    )
+    rows = global_position(test.select("src", "tgt", "edge_pos"), ["edge_pos"], "_i")
+    normal = rows.join(free, "_i").select(F.col("id").alias("place"), "src", "tgt", F.lit(0).alias("label"))
+    odd = new.select("slot", "src", "tgt").join(taken, "slot").select(
+        F.col("id").alias("place"), "src", "tgt", F.lit(1).alias("label")
+    )
+    return normal.unionByName(odd)
+
+
+def draw_product(edges: DataFrame, n: int, seed: object) -> DataFrame:
+    """n (source, target) draws from the observed ends."""
+    return product_sample(
+        edges.sparkSession, [("src", edges, "src"), ("tgt", edges, "tgt")], n, seed
+    )
+
+
+def report_rows(report: Mapping[str, Any], splits: Sequence[str] = ("train", "val", "test")) -> list[tuple]:
+    """The injection report as rows (split, ratio, requested, generated)."""
+    return [
+        (s, float(r["ratio"]), int(r["requested"]), int(r["generated"]))
+        for s in splits
+        if (r := report["splits"].get(s))
+    ]

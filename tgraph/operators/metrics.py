@@ -31,14 +31,17 @@ def curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: own and cumulative positives/negatives, descending."""
     by = list(by)
     y = (F.col("label") != 0).cast("bigint")
-    counted = scored.groupBy(*by, "score").agg(
-        F.sum(y).alias("pos"), F.sum(F.lit(1).cast("bigint") - y).alias("neg")
+    counted = materialize(
+        scored.groupBy(*by, "score").agg(
+            F.sum(y).alias("pos"), F.sum(F.lit(1).cast("bigint") - y).alias("neg")
+        ),
+        "curve",
     )
     summed = running(
         counted, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}
     )
-    totals = scored.groupBy(*by).agg(
-        F.sum(y).alias("n_pos"), F.sum(F.lit(1).cast("bigint") - y).alias("n_neg")
+    totals = counted.groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
     )
     return _keyed(summed, totals, by)
 

@@ -20,6 +20,12 @@ CHUNK_ROWS = 1 << 16
 
 _ROW_BITS = 33
 
+_FOLDS = {
+    "sum": (F.sum, lambda a, b: a + b),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+}
+
 
 def global_position(
     df: DataFrame, order: Sequence[str | Column], name: str = "edge_pos"
@@ -69,19 +75,22 @@ def running(
     order: Sequence[str | Column],
     sums: Mapping[str, Column],
     group_rows: int = GROUP_ROWS,
+    how: str = "sum",
 ) -> DataFrame:
-    """Inclusive running sums inside each group, in ``order`` (a total order).
+    """Inclusive running sums (or max, min) inside each group, in ``order``.
 
-    Groups that one task can sort use a plain window. If any group is larger,
-    or there is no group, the rows are range-partitioned by (group, order),
-    summed per partition, and shifted by the totals of earlier partitions.
+    ``order`` must be total.  Groups that one task can sort use a plain
+    window. If any group is larger, or there is no group, the rows are
+    range-partitioned by (group, order), folded per partition, and combined
+    with the totals of earlier partitions.
     """
     group = list(group)
     names = list(sums)
+    fold, join_up = _FOLDS[how]
     if group and largest_group(df, group) <= group_rows:
         w = Window.partitionBy(*group).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+        return df.select("*", *[fold(c).over(w).alias(n) for n, c in sums.items()])
 
     n = parallelism(df.sparkSession)
     parts = materialize(
@@ -94,22 +103,25 @@ def running(
     w = Window.partitionBy(*keys).orderBy(*order)
     w = w.rowsBetween(Window.unboundedPreceding, 0)
     local = parts.select(
-        "*", *[F.sum(f"_v_{k}").over(w).alias(f"_l_{k}") for k in names]
+        "*", *[fold(f"_v_{k}").over(w).alias(f"_l_{k}") for k in names]
     )
-    totals = parts.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in names])
+    totals = parts.groupBy(*keys).agg(*[fold(f"_v_{k}").alias(f"_s_{k}") for k in names])
     # at most one row per partition in each group
     across = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     across = across.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
         *keys,
-        *[
-            F.coalesce(F.sum(f"_s_{k}").over(across), F.lit(0)).alias(f"_b_{k}")
-            for k in names
-        ],
+        *[fold(f"_s_{k}").over(across).alias(f"_b_{k}") for k in names],
     )
     out = local.join(before, keys)
     return out.select(
-        *df.columns, *[(F.col(f"_l_{k}") + F.col(f"_b_{k}")).alias(k) for k in names]
+        *df.columns,
+        *[
+            F.when(F.col(f"_b_{k}").isNull(), F.col(f"_l_{k}"))
+            .otherwise(join_up(F.col(f"_l_{k}"), F.col(f"_b_{k}")))
+            .alias(k)
+            for k in names
+        ],
     )
 
 
@@ -178,10 +190,11 @@ def group_quantiles(
     order statistics of each quantile; no group's values are gathered.
     """
     group = list(group)
-    counted = (
+    counted = materialize(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        .agg(F.count("*").alias("_c")),
+        "counted",
     )
     cumulative = running(counted, group, ["_v"], {"_hi": F.col("_c")}, group_rows)
     sizes = counted.groupBy(*group).agg(F.sum("_c").alias("_n"))
