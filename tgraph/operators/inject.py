@@ -126,7 +126,7 @@ def candidate_edges(
             "members",
         )
         sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-        sizes = materialize(global_position(sizes, ["cluster"], "c"), "clusters")
+        sizes = global_position(sizes, ["cluster"], "c")
         k = sizes.count()
         if k < 2:
             raise ValueError("bridge needs at least two communities")
@@ -159,12 +159,8 @@ def accept_groups(cand: DataFrame, observed: DataFrame, target: int) -> tuple[Da
     )
     edges = materialize(first.select("f.*"), "accepted")
     sizes = edges.groupBy("g").agg(F.count("*").alias("n"))
-    summed = running(
-        materialize(sizes, "sizes"), [], ["g"], {"upto": F.col("n"), "group_id": F.lit(1).cast("bigint")}
-    )
-    kept = materialize(
-        summed.filter(F.col("upto") - F.col("n") < target).select("g", "group_id", "upto"), "groups"
-    )
+    summed = running(sizes, [], ["g"], {"upto": F.col("n"), "group_id": F.lit(1).cast("bigint")})
+    kept = summed.filter(F.col("upto") - F.col("n") < target).select("g", "group_id", "upto")
     reached = kept.agg(F.max("upto").alias("u"), F.max("group_id").alias("k")).first()
     return edges.join(kept.select("g", "group_id"), "g"), reached["u"] or 0
 

@@ -13,11 +13,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tgraph.session import GROUP_ROWS, materialize, parallelism
+from tgraph.session import GROUP_ROWS, at_most, materialize, parallelism
 
 # Rows per window group once a global position exists.
 CHUNK_ROWS = 1 << 16
 
+# A whole table up to this many rows may be folded by one sorted task.
+SMALL_ROWS = 100_000
+
 _ROW_BITS = 33
 
 _FOLDS = {
@@ -79,16 +82,20 @@ def running(
 ) -> DataFrame:
     """Inclusive running sums (or max, min) inside each group, in ``order``.
 
-    ``order`` must be total.  Groups that one task can sort use a plain
-    window. If any group is larger, or there is no group, the rows are
+    ``order`` must be total.  Groups (or a whole table) whose counted size one
+    task can sort use a plain window.  Otherwise the rows are
     range-partitioned by (group, order), folded per partition, and combined
     with the totals of earlier partitions.
     """
     group = list(group)
     names = list(sums)
     fold, join_up = _FOLDS[how]
-    if group and largest_group(df, group) <= group_rows:
-        w = Window.partitionBy(*group).orderBy(*order)
+    if group:
+        small = largest_group(df, group) <= group_rows
+    else:
+        small = at_most(df, min(SMALL_ROWS, group_rows))
+    if small:
+        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[fold(c).over(w).alias(n) for n, c in sums.items()])
 

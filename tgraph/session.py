@@ -72,8 +72,8 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows."""
+    return df.count() <= rows
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
