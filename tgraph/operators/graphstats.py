@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tgraph.functions.random import pick, u01
+from tgraph.session import materialize
+
 
 def degrees(edges: DataFrame, name: str = "node_id") -> DataFrame:
     """Degree with multiplicity, both directions."""
@@ -21,3 +28,309 @@ def degree_stats(train: DataFrame, num_nodes: int) -> DataFrame:
     return degrees(train).agg(
         mean.alias("mean_degree"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("std_degree")
     )
+
+
+def symmetric_adjacency(edges: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (node, nbr, w) in both directions; w counts parallel edges."""
+    pairs = edges.groupBy(
+        *on, F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b")
+    ).agg(F.count("*").alias("w"))
+    both = F.when(
+        F.col("a") != F.col("b"),
+        F.array(
+            F.struct(F.col("a").alias("node"), F.col("b").alias("nbr")),
+            F.struct(F.col("b").alias("node"), F.col("a").alias("nbr")),
+        ),
+    ).otherwise(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("nbr"))))
+    # a self-loop counts twice on the diagonal of A + A'
+    weight = F.when(F.col("a") == F.col("b"), F.col("w") * 2).otherwise(F.col("w"))
+    return pairs.select(*on, F.explode(both).alias("e"), weight.alias("w")).select(
+        *on, "e.node", "e.nbr", "w"
+    )
+
+
+def normalized_adjacency(
+    adj: DataFrame, how: str = "sym", on: tuple[str, ...] = (), self_loops: bool = False
+) -> DataFrame:
+    """Weights over degrees: ``row`` 1/d, ``sym`` 1/sqrt(d_i d_j); 0 for d = 0.
+
+    Degrees are row sums, joined on the row end and, for ``sym``, on the other
+    end too.
+    """
+    if self_loops:
+        ids = adj.select(*on, "node").unionByName(adj.select(*on, F.col("nbr").alias("node"))).distinct()
+        loops = ids.select(*on, "node", F.col("node").alias("nbr"), F.lit(1).cast("bigint").alias("w"))
+        adj = adj.unionByName(loops).groupBy(*on, "node", "nbr").agg(F.sum("w").alias("w"))
+    d = adj.groupBy(*on, "node").agg(F.sum("w").cast("double").alias("d"))
+    out = adj.join(d, [*on, "node"])
+    if how == "row":
+        return out.select(*on, "node", "nbr", (F.col("w") / F.col("d")).alias("w"))
+    other = d.select(*on, F.col("node").alias("nbr"), F.col("d").alias("d2"))
+    out = out.join(other, [*on, "nbr"], "left")
+    w = F.when(F.col("d2") > 0, F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).otherwise(F.lit(0.0))
+    return out.select(*on, "node", "nbr", w.alias("w"))
+
+
+def symmetrize_max(adj: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Each direction gets the larger of both weights."""
+    both = adj.select(*on, "node", "nbr", "w").unionByName(
+        adj.select(*on, F.col("nbr").alias("node"), F.col("node").alias("nbr"), "w")
+    )
+    return both.groupBy(*on, "node", "nbr").agg(F.max("w").alias("w"))
+
+
+def hop_distances(
+    adj: DataFrame, roots: DataFrame, max_hops: int | None = None, on: tuple[str, ...] = ()
+) -> DataFrame:
+    """Hops from each root (on, root) to the nodes it reaches, the root at 0.
+
+    A breadth-first search of all roots at once: a reached (root, node) is
+    kept once, so the frontier never exceeds roots x nodes actually reached.
+    """
+    links = adj.select(*on, "node", "nbr").distinct()
+    seen = materialize(
+        roots.select(*on, "root", F.col("root").alias("node"), F.lit(0).alias("hops")), "bfs"
+    )
+    frontier, hop, parts = seen, 0, [seen]
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        step = (
+            frontier.select(*on, "root", "node")
+            .join(links, [*on, "node"])
+            .select(*on, "root", F.col("nbr").alias("node"))
+            .distinct()
+        )
+        for p in parts:
+            step = step.join(p.select(*on, "root", "node"), [*on, "root", "node"], "left_anti")
+        frontier = materialize(step.withColumn("hops", F.lit(hop)), "bfs")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        if len(parts) > 8:
+            parts = [materialize(_union(parts), "bfs")]
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def estimate_diameter(adj: DataFrame, num_nodes: int, sources: int = 500, seed: object = 0) -> float:
+    """90th percentile of the farthest hop from random sources; 5.0 if none.
+
+    Sources are drawn with replacement, and a repeated draw counts again.
+    """
+    draws = adj.sparkSession.range(sources).select(
+        pick(num_nodes, seed, F.lit("bfs"), "id").alias("root")
+    )
+    times = draws.groupBy("root").agg(F.count("*").alias("_n"))
+    far = (
+        hop_distances(adj, times.select("root"))
+        .filter("hops > 0")
+        .groupBy("root")
+        .agg(F.max("hops").alias("far"))
+    )
+    # at most `sources` rows
+    rows = far.join(times, "root").withColumn("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    value = rows.agg(F.percentile("far", F.lit(0.9)).alias("p")).first()["p"]
+    return 5.0 if value is None else float(value)
+
+
+def components(adj: DataFrame, on: tuple[str, ...] = (), max_rounds: int = 100) -> DataFrame:
+    """Smallest node id of each node's connected component.
+
+    Labels take the minimum over neighbours, then jump to their label's label,
+    which halves the remaining distance each round.
+    """
+    links = materialize(adj.select(*on, "node", "nbr").distinct(), "links")
+    labels = materialize(
+        links.groupBy(*on, "node").agg(F.least(F.min("nbr"), F.col("node")).alias("label")), "labels"
+    )
+    for _ in range(max_rounds):
+        theirs = labels.select(*on, F.col("node").alias("nbr"), F.col("label").alias("l2"))
+        near = links.join(theirs, [*on, "nbr"]).groupBy(*on, "node").agg(F.min("l2").alias("l2"))
+        step = labels.join(near, [*on, "node"]).select(
+            *on, "node", F.col("label").alias("old"), F.least("label", "l2").alias("label")
+        )
+        step = materialize(step, "labels")
+        jump = step.select(*on, F.col("node").alias("label"), F.col("label").alias("l3"))
+        step = materialize(
+            step.join(jump, [*on, "label"]).select(*on, "node", "old", F.least("label", "l3").alias("label")),
+            "labels",
+        )
+        labels = step.select(*on, "node", "label")
+        if step.filter(F.col("old") != F.col("label")).isEmpty():
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+def label_propagation(adj: DataFrame, rounds: int = 5) -> DataFrame:
+    """Communities: each node takes its neighbours' heaviest label.
+
+    A node counts its own label once; ties go to the smaller label.
+    """
+    links = adj.select("node", "nbr", "w")
+    labels = links.select("node").distinct().withColumn("cluster", F.col("node"))
+    for _ in range(rounds):
+        votes = links.join(
+            labels.select(F.col("node").alias("nbr"), "cluster"), "nbr"
+        ).select("node", "cluster", "w")
+        votes = votes.unionByName(labels.withColumn("w", F.lit(1).cast("bigint")))
+        tally = votes.groupBy("node", "cluster").agg(F.sum("w").alias("w"))
+        best = F.max_by("cluster", F.struct(F.col("w"), -F.col("cluster")))
+        labels = materialize(tally.groupBy("node").agg(best.alias("cluster")), "communities")
+    return labels.withColumnRenamed("node", "node_id")
+
+
+def triangles(adj: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Each triangle once (a, b, c).
+
+    Edges point from lower to higher degree, which bounds the out-degree by
+    the square root of twice the edge count, hubs included.
+    """
+    links = adj.filter(F.col("node") != F.col("nbr")).select(*on, "node", "nbr").distinct()
+    deg = links.groupBy(*on, "node").agg(F.count("*").alias("d"))
+    far = deg.select(*on, F.col("node").alias("nbr"), F.col("d").alias("d2"))
+    up = links.join(deg, [*on, "node"]).join(far, [*on, "nbr"])
+    up = up.filter(F.struct("d", "node") < F.struct("d2", "nbr"))
+    up = materialize(up.select(*on, F.col("node").alias("a"), F.col("nbr").alias("b")), "oriented")
+    second = up.select(*on, F.col("a").alias("b"), F.col("b").alias("c"))
+    third = up.select(*on, "a", F.col("b").alias("c"))
+    return up.join(second, [*on, "b"]).join(third, [*on, "a", "c"]).select(*on, "a", "b", "c")
+
+
+def snapshot_properties(edges: DataFrame, on: str = "snapshot_id") -> DataFrame:
+    """Size, density, degree, clustering, transitivity, assortativity, components."""
+    key = (on,)
+    adj = materialize(
+        symmetric_adjacency(edges.filter(F.col("src") != F.col("tgt")), key), "adjacency"
+    )
+    deg = materialize(adj.groupBy(on, "node").agg(F.count("*").alias("d")), "degrees")
+    tri = triangles(adj, key)
+    per_node = (
+        tri.select(on, F.explode(F.array("a", "b", "c")).alias("node"))
+        .groupBy(on, "node")
+        .agg(F.count("*").alias("tri"))
+    )
+    pairs = F.col("d") * (F.col("d") - 1) / F.lit(2.0)
+    own = deg.join(per_node, [on, "node"], "left").na.fill(0, ["tri"])
+    local = F.when(F.col("d") > 1, F.col("tri") / pairs).otherwise(F.lit(0.0))
+    n = F.count("*")
+    stats = own.groupBy(on).agg(
+        n.alias("num_nodes"),
+        (F.sum("d") / F.lit(2)).cast("bigint").alias("num_edges"),
+        (F.sum("d") / (n * (n - 1))).alias("density"),
+        F.avg("d").alias("average_degree"),
+        F.avg(local).alias("clustering"),
+        F.coalesce(F.try_divide(F.sum("tri").cast("double"), F.sum(pairs)), F.lit(0.0)).alias("transitivity"),
+    )
+    d2 = deg.select(on, F.col("node").alias("nbr"), F.col("d").cast("double").alias("d2"))
+    ends = adj.join(deg.select(on, "node", F.col("d").cast("double").alias("d")), [on, "node"]).join(d2, [on, "nbr"])
+    mix = ends.groupBy(on).agg(F.corr("d", "d2").alias("assortativity"))
+    parts = components(adj, key).groupBy(on).agg(F.countDistinct("label").alias("components"))
+    return stats.join(mix, on).join(parts, on)
+
+
+def leading_eigenvalues(adj: DataFrame, k: int, rounds: int = 30, seed: object = 0) -> np.ndarray:
+    """The k largest eigenvalues of (I + A_sym) / 2, by subspace iteration.
+
+    Vectors live in the cluster as one array per node; the driver only sees
+    k x k matrices.
+    """
+    links = materialize(normalized_adjacency(adj, "sym"), "normalized")
+    nodes = links.select("node").distinct()
+    cols = [u01(seed, F.lit(i), "node") - F.lit(0.5) for i in range(k)]
+    q = materialize(nodes.withColumn("q", F.array(*cols)), "subspace")
+
+    def gram(df: DataFrame, left: str, right: str) -> np.ndarray:
+        def part(batches):
+            total = np.zeros((k, k))
+            for b in batches:
+                if len(b):
+                    total += np.stack(b[left].to_numpy()).T @ np.stack(b[right].to_numpy())
+            yield pd.DataFrame({"m": [total.ravel().tolist()]})
+
+        sums = [F.sum(F.get("m", F.lit(i))) for i in range(k * k)]
+        cols = [left] if left == right else [left, right]
+        row = df.select(*cols).mapInPandas(part, "m array<double>").agg(F.array(*sums).alias("m"))
+        return np.array(row.first()["m"]).reshape(k, k)
+
+    def rotate(df: DataFrame, m: np.ndarray) -> DataFrame:
+        def part(batches):
+            for b in batches:
+                if len(b):
+                    out = np.stack(b["q"].to_numpy()) @ m
+                    yield pd.DataFrame({"node": b["node"], "q": list(out)})
+
+        return df.select("node", "q").mapInPandas(part, q.schema)
+
+    values = np.zeros(k)
+    for _ in range(rounds):
+        moved = links.join(q.select(F.col("node").alias("nbr"), "q"), "nbr").groupBy("node").agg(
+            *[F.sum(F.col("w") * F.get("q", F.lit(i))).alias(f"_{i}") for i in range(k)]
+        )
+        y = q.withColumnRenamed("q", "o").join(moved, "node").select(
+            "node",
+            "o",
+            F.array(*[(F.get("o", F.lit(i)) + F.col(f"_{i}")) / 2.0 for i in range(k)]).alias("q"),
+        )
+        y = materialize(y, "subspace")
+        base, cross = gram(y, "o", "o"), gram(y, "o", "q")
+        chol = np.linalg.inv(np.linalg.cholesky(base + 1e-12 * np.eye(k)))
+        new = np.sort(np.linalg.eigvalsh(chol @ ((cross + cross.T) / 2) @ chol.T))[::-1]
+        settled = np.max(np.abs(new - values)) < 1e-8
+        values = new
+        if settled:
+            break
+        outer = gram(y, "q", "q")
+        fix = np.linalg.inv(np.linalg.cholesky(outer + 1e-14 * np.eye(k))).T
+        q = materialize(rotate(y, fix), "subspace")
+    return values
+
+
+def eigengap(adj: DataFrame, max_k: int = 50, fallback: int = 10, **kw: Any) -> int:
+    """Number of communities from the largest gap of the Laplacian's spectrum."""
+    n = adj.select("node").distinct().count()
+    k = min(max_k + 1, n - 1)
+    if k < 3:
+        return fallback
+    try:
+        values = leading_eigenvalues(adj, k, **kw)
+    except np.linalg.LinAlgError:
+        return fallback
+    laplacian = np.sort(2.0 - 2.0 * values)
+    return int(np.argmax(np.diff(laplacian)[1:]) + 2)
+
+
+def spectral_vectors(edges: DataFrame, rounds: int = 10, seed: object = 0, on: str = "snapshot_id") -> DataFrame:
+    """Leading Laplacian eigenvector of each snapshot by power iteration.
+
+    Normalised by the largest absolute entry, which is made positive.
+    """
+    adj = materialize(symmetric_adjacency(edges.filter(F.col("src") != F.col("tgt")), (on,)), "adjacency")
+    deg = adj.groupBy(on, "node").agg(F.sum("w").cast("double").alias("d"))
+    x = materialize(deg.select(on, "node", "d", (u01(seed, on, "node") + 0.5).alias("x")), "vector")
+    for _ in range(rounds):
+        near = adj.join(x.select(on, F.col("node").alias("nbr"), F.col("x").alias("y")), [on, "nbr"])
+        pulled = near.groupBy(on, "node").agg(F.sum(F.col("w") * F.col("y")).alias("s"))
+        raw = x.join(pulled, [on, "node"]).select(on, "node", "d", (F.col("d") * F.col("x") - F.col("s")).alias("x"))
+        raw = materialize(raw, "vector")
+        # rounded, so that equal sizes tie and the smaller id sets the sign
+        top = raw.groupBy(on).agg(
+            F.max_by("x", F.struct(F.round(F.abs("x"), 6), -F.col("node"))).alias("m")
+        )
+        x = raw.join(top, on).select(
+            on, "node", "d", F.coalesce(F.try_divide(F.col("x"), F.col("m")), F.lit(0.0)).alias("x")
+        )
+        x = materialize(x, "vector")
+    return x.select(on, "node", "x")
+
+
+def spectral_change(vectors: DataFrame, on: str = "snapshot_id") -> DataFrame:
+    """Absolute change of each node's entry since the snapshot before."""
+    before = vectors.select((F.col(on) + 1).alias(on), "node", F.col("x").alias("x0"))
+    out = vectors.join(before, [on, "node"], "left")
+    return out.select(on, "node", F.abs(F.col("x") - F.col("x0")).alias("change")).na.fill(0.0, ["change"])
