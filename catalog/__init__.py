@@ -1,5 +1,5 @@
 """Registered queries and the SQL that must give the same rows."""
 
-from catalog import cleaning, detection, features, graphs, injection, reports
+from catalog import cleaning, detection, features, graphs, injection, reports, scoring
 
-MODULES = (cleaning, detection, reports, injection, features, graphs)
+MODULES = (cleaning, detection, reports, injection, features, graphs, scoring)

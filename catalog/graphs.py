@@ -64,14 +64,14 @@ def enclosing_subgraph(spark, sf):
 
 @query("drnl", f"""
 WITH RECURSIVE {LINKS},
-ie AS (SELECT a.id, a.node, adj.nbr FROM nd a JOIN adj USING (snapshot_id, node) JOIN nd b ON b.id = a.id AND b.node = adj.nbr JOIN li ON li.id = a.id
+ie AS (SELECT a.id, a.node, adj.nbr FROM nd a JOIN adj ON adj.snapshot_id = a.snapshot_id AND adj.node = a.node JOIN nd b ON b.id = a.id AND b.node = adj.nbr JOIN li ON li.id = a.id
        WHERE NOT (a.node = u AND adj.nbr = v) AND NOT (a.node = v AND adj.nbr = u)),
-r0 AS (SELECT id, u AS node, 0 AS d FROM li UNION SELECT r.id, nbr, d + 1 FROM r0 r JOIN ie USING (id, node) JOIN li ON li.id = r.id WHERE nbr <> v AND d < 12),
-r1 AS (SELECT id, v AS node, 0 AS d FROM li UNION SELECT r.id, nbr, d + 1 FROM r1 r JOIN ie USING (id, node) JOIN li ON li.id = r.id WHERE nbr <> u AND d < 12),
+r0 AS (SELECT id, u AS node, 0 AS d FROM li UNION SELECT r.id, nbr, d + 1 FROM r0 r JOIN ie ON ie.id = r.id AND ie.node = r.node JOIN li ON li.id = r.id WHERE nbr <> v AND d < 12),
+r1 AS (SELECT id, v AS node, 0 AS d FROM li UNION SELECT r.id, nbr, d + 1 FROM r1 r JOIN ie ON ie.id = r.id AND ie.node = r.node JOIN li ON li.id = r.id WHERE nbr <> u AND d < 12),
 m0 AS (SELECT id, node, min(d) AS d0 FROM r0 GROUP BY 1, 2), m1 AS (SELECT id, node, min(d) AS d1 FROM r1 GROUP BY 1, 2),
-lb AS (SELECT nd.id, node, CASE WHEN node = u OR node = v THEN 1 WHEN d0 IS NULL OR d1 IS NULL THEN 0
+lb AS (SELECT nd.id, nd.node, CASE WHEN nd.node = u OR nd.node = v THEN 1 WHEN d0 IS NULL OR d1 IS NULL THEN 0
          ELSE 1 + least(d0, d1) + ((d0 + d1) // 2) * ((d0 + d1) // 2 + (d0 + d1) % 2 - 1) END AS label
-       FROM nd JOIN li ON li.id = nd.id LEFT JOIN m0 USING (id, node) LEFT JOIN m1 USING (id, node))
+       FROM nd JOIN li ON li.id = nd.id LEFT JOIN m0 ON m0.id = nd.id AND m0.node = nd.node LEFT JOIN m1 ON m1.id = nd.id AND m1.node = nd.node)
 SELECT id, CAST(label AS INTEGER) AS label, count(*) AS nodes, CAST(sum(node) AS BIGINT) AS ids FROM lb GROUP BY 1, 2""")
 def drnl(spark, sf):
     _, links, adj = snap_links(spark, sf)
@@ -283,12 +283,13 @@ def walks(spark, sf):
 
 
 def biased_sql(steps, seed):
+    # the null first "prev" is folded into later steps unless each is kept apart
     out = ["b0 AS (SELECT walk, start, NULL::BIGINT AS prev, tip, path FROM w0)"]
     for i in range(1, steps):
         at, acc = pick("deg", seed, "'n'", "walk", str(i), "try"), u01(seed, "'a'", "walk", str(i), "try")
-        out.append(f"""c{i} AS (SELECT s.walk, try, x.nbr, CASE WHEN s.prev IS NULL THEN 2.0::DOUBLE WHEN x.nbr = s.prev THEN 2.0 WHEN l.node IS NOT NULL THEN 1.0 ELSE 0.5 END AS wt, {acc} * 2.0::DOUBLE AS a
+        out.append(f"""c{i} AS MATERIALIZED (SELECT s.walk, try, x.nbr, CASE WHEN s.prev IS NULL THEN 2.0::DOUBLE WHEN x.nbr = s.prev THEN 2.0 WHEN l.node IS NOT NULL THEN 1.0 ELSE 0.5 END AS wt, {acc} * 2.0::DOUBLE AS a
   FROM b{i - 1} s JOIN dg ON dg.node = tip CROSS JOIN range(0, 64) r(try) JOIN ix x ON x.node = tip AND x.idx = {at} LEFT JOIN adj l ON l.node = s.prev AND l.nbr = x.nbr),
-n{i} AS (SELECT walk, nbr FROM (SELECT *, row_number() OVER (PARTITION BY walk ORDER BY try) AS rn FROM c{i} WHERE a < wt) WHERE rn = 1),
+n{i} AS (SELECT walk, arg_min(nbr, try) AS nbr FROM c{i} WHERE a < wt GROUP BY 1),
 b{i} AS (SELECT walk, start, tip AS prev, nbr AS tip, path || ',' || nbr AS path FROM b{i - 1} JOIN n{i} USING (walk))""")
     return ",\n".join(out)
 

@@ -182,12 +182,12 @@ def inject_temporal(spark, sf):
     rows = rows_of(spark, sf, "t")
     seen = e.select("src", "tgt", "t", F.lit(1).alias("seen")).distinct()
     known = e.select("src", "tgt", F.lit(1).alias("known")).distinct()
-    span = e.filter(F.col("split") == "test").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    j = rows.join(seen, ["src", "tgt", "t"], "left").join(known, ["src", "tgt"], "left").join(F.broadcast(span))
+    span = e.filter(F.col("split") == "test").agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    j = rows.join(seen, ["src", "tgt", "t"], "left").join(known, ["src", "tgt"], "left")
     return j.agg(
         F.count("*").alias("generated"), F.count("seen").alias("seen_before"),
         F.count("known").alias("known_pairs"),
-        F.count_if((F.col("t") < F.col("a")) | (F.col("t") > F.col("b"))).alias("out_of_range"),
+        F.count_if((F.col("t") < span["a"]) | (F.col("t") > span["b"])).alias("out_of_range"),
     )
 
 
