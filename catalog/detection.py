@@ -23,8 +23,12 @@ def query(name, sql=None):
 
 
 def rounded(df, digits=9):
+    """Round all doubles; adding zero turns a negative zero into zero."""
     return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[
+            (F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            for c, t in df.dtypes
+        ]
     )
 
 

@@ -138,10 +138,10 @@ def standard_scale(spark, sf):
     return rounded(s.transform(e).drop("split"), 7)
 
 
-@query("minmax_scale", f"WITH {FIT} SELECT edge_pos, round((qty - aq) / (bq - aq) * 2 - 1, 7) AS qty, round((disc - ad) / (bd - ad) * 2 - 1, 7) AS disc FROM bs, f")
+@query("minmax_scale", f"WITH {FIT} SELECT edge_pos, round((qty - aq) / (bq - aq) * 2 + 1, 7) AS qty, round((disc - ad) / (bd - ad) * 2 + 1, 7) AS disc FROM bs, f")
 def minmax_scale(spark, sf):
     e = feature_rows(spark, sf)
-    (s,) = ft.fit_on_train(e, [(ft.MinMaxScaler(-1.0, 1.0), ["qty", "disc"])])
+    (s,) = ft.fit_on_train(e, [(ft.MinMaxScaler(1.0, 3.0), ["qty", "disc"])])
     return rounded(s.transform(e).drop("split"), 7)
 
 
