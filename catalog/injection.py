@@ -306,7 +306,7 @@ def negatives_upper(spark, sf):
 
 @query("negatives_uniform", f"""
 WITH {SNAP}, o AS (SELECT src, tgt, min(snapshot_id) AS since FROM sn GROUP BY 1, 2),
-{negative_sql('nc', 'u <> v AND (o.since IS NULL OR o.since > c.snapshot_id)', f'LEFT JOIN o ON {PAIR}', 64)}""")
+{negative_sql('nc', 'u <> v AND (o.since IS NULL OR o.since > c.snapshot_id)', f'LEFT JOIN o ON {PAIR}', 248)}""")
 def negatives_uniform(spark, sf):
     e = snaps(spark, sf)
     return ng.against_history(e, num_nodes(e), "nc")
@@ -329,8 +329,8 @@ ids AS (SELECT r.v, coalesce(f, 1000000) AS f FROM nn, range(0, n) r(v) LEFT JOI
 th AS (SELECT s.snapshot_id, coalesce(min(ids.v), (SELECT n FROM nn)) AS bound FROM (SELECT DISTINCT snapshot_id FROM sn) s LEFT JOIN ids ON ids.f > s.snapshot_id GROUP BY 1),
 a AS (SELECT edge_pos AS slot, sn.snapshot_id, bound, CASE WHEN {u01('dw', "'keep'", 'edge_pos')} < x.d / (x.d + y.d)::DOUBLE THEN tgt ELSE src END AS kept
       FROM sn JOIN d x ON x.snapshot_id = sn.snapshot_id AND x.v = src JOIN d y ON y.snapshot_id = sn.snapshot_id AND y.v = tgt JOIN th ON th.snapshot_id = sn.snapshot_id),
-c AS (SELECT slot, snapshot_id, kept AS u, try, {pick('bound', 'dw', "'v'", 'slot', 'try')} AS v FROM a, range(0, 80) r(try)),
-c2 AS (SELECT slot, snapshot_id, kept AS u, 1000 + try AS try, {pick('n', 'dw-any', "'v'", 'slot', 'try')} AS v FROM a, nn, range(0, 48) r(try)),
+c AS (SELECT slot, snapshot_id, kept AS u, try, {pick('bound', 'dw', "'v'", 'slot', 'try')} AS v FROM a, range(0, 120) r(try)),
+c2 AS (SELECT slot, snapshot_id, kept AS u, 1000 + try AS try, {pick('n', 'dw-any', "'v'", 'slot', 'try')} AS v FROM a, nn, range(0, 56) r(try)),
 g AS (SELECT q.* FROM (SELECT * FROM c UNION ALL SELECT * FROM c2) q LEFT JOIN o ON {PAIR} WHERE u <> v AND (o.since IS NULL OR o.since > q.snapshot_id)),
 b AS (SELECT slot, v FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY try) AS rn FROM g) WHERE rn = 1)
 SELECT slot, snapshot_id, kept, CAST(coalesce(b.v, CASE WHEN {pick('(n - 1)', 'dw-last', 'slot')} >= kept THEN {pick('(n - 1)', 'dw-last', 'slot')} + 1 ELSE {pick('(n - 1)', 'dw-last', 'slot')} END) AS BIGINT) AS v

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tgraph.functions.arrays import let
 from tgraph.functions.text import STOP_WORDS, tokens
 from tgraph.operators.structure import check_columns
 
@@ -126,8 +127,8 @@ class MinMaxScaler(Normalizer):
 class TextVectorizer(Normalizer):
     """Counts (``bow``) or tf-idf of the most frequent words, one column each.
 
-    Output columns are ``<column>_<kind>_<word>``.  Word counts are kept as
-    maps inside a row, so a text is never exploded across rows on transform.
+    Output columns are ``<column>_<kind>_<word>``.  On transform a text is
+    split once and counted inside its row, without a shuffle.
     """
 
     kind: str = "bow"
@@ -171,20 +172,19 @@ class TextVectorizer(Normalizer):
         out = df
         for c in self.columns:
             words = self.vocabulary[c]
-            out = out.withColumn("_w", F.filter(tokens(c, self.stop_words), lambda w: w.isin(*words)))
             listed = F.array(*[F.lit(w) for w in words])
-            counts = F.transform(
-                listed, lambda word: F.size(F.filter("_w", lambda x: x == word)).cast("double")
-            )
-            out = out.withColumn("_v", counts).drop("_w")
+
+            def counts(found: Column, listed: Column = listed) -> Column:
+                return F.transform(
+                    listed, lambda word: F.size(F.filter(found, lambda x: x == word)).cast("double")
+                )
+
+            known = F.filter(tokens(c, self.stop_words), lambda w: w.isin(*words))
+            vector = let(known, lambda found: counts(found))
             if self.kind == "tfidf":
                 idf = F.array(*[F.lit(self.idf[c][w]) for w in words])
-                out = out.withColumn("_x", F.zip_with("_v", idf, lambda x, y: x * y))
-                square = F.aggregate("_x", F.lit(0.0), lambda s, x: s + x * x)
-                out = out.withColumn("_n", F.sqrt(square))
-                share = F.transform("_x", lambda x: F.try_divide(x, F.col("_n")))
-                zeros = F.array_repeat(F.lit(0.0), len(words))
-                out = out.withColumn("_v", F.when(F.col("_n") > 0, share).otherwise(zeros)).drop("_x", "_n")
+                vector = let(F.zip_with(vector, idf, lambda x, y: x * y), unit_length)
+            out = out.withColumn("_v", vector)
             named = {f"{c}_{self.kind}_{w}": F.get("_v", F.lit(i)) for i, w in enumerate(words)}
             out = out.withColumns(named).drop("_v", c)
         return out
@@ -193,6 +193,15 @@ class TextVectorizer(Normalizer):
         raise NotImplementedError("the text cannot be recovered from word weights")
 
 
+def unit_length(v: Column) -> Column:
+    """A vector over its length; zeros stay zeros."""
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    return let(
+        F.sqrt(square),
+        lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))),
+    )
+
+
 def fit_on_train(df: DataFrame, specs: Sequence[tuple[Normalizer, Sequence[str]]]) -> list[Normalizer]:
     """Fit each normaliser on train rows only (all rows without a split)."""
     train = df.filter(F.col("split") == "train") if "split" in df.columns else df

@@ -29,7 +29,7 @@ def first_seen(edges: DataFrame) -> DataFrame:
 def against_history(edges: DataFrame, num_nodes: int, seed: object) -> DataFrame:
     """One non-edge per edge, absent from everything up to its snapshot."""
     slots = edges.select(F.col("edge_pos").alias("slot"), "snapshot_id")
-    return non_edges(slots, num_nodes, first_seen(edges), seed, since="since", rounds=12)
+    return non_edges(slots, num_nodes, first_seen(edges), seed, since="since", max_tries=248)
 
 
 def corrupt_endpoint(edges: DataFrame, num_nodes: int, seed: object) -> DataFrame:
@@ -91,14 +91,14 @@ def degree_weighted(edges: DataFrame, num_nodes: int, seed: object) -> DataFrame
     rows = rows.select("slot", "snapshot_id", "kept", "bound")
     history = first_seen(edges)
     low = non_edges(
-        rows, num_nodes, history, seed, since="since", anchor="kept", below="bound", rounds=10
+        rows, num_nodes, history, seed, since="since", anchor="kept", below="bound", max_tries=120
     )
     done = low.filter(F.col("u").isNotNull())
     left = low.filter(F.col("u").isNull()).select("slot", "snapshot_id", "kept", "bound")
     if left.isEmpty():
         return done.drop("bound", "u")
     rest = non_edges(
-        left, num_nodes, history, f"{seed}-any", since="since", anchor="kept", rounds=6
+        left, num_nodes, history, f"{seed}-any", since="since", anchor="kept", max_tries=56
     )
     last = pick(num_nodes - 1, f"{seed}-last", "slot")
     last = F.when(last >= F.col("kept"), last + 1).otherwise(last)

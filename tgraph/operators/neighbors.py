@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tgraph.functions.arrays import left_pad
 from tgraph.functions.random import pick
 from tgraph.operators.ordering import group_position, running
-from tgraph.session import materialize
+from tgraph.session import GROUP_ROWS, materialize
 
 
 def incidence(edges: DataFrame, eid: str = "edge_pos") -> DataFrame:
@@ -119,9 +119,9 @@ def recent_excluding(inc: DataFrame, queries: DataFrame, k: int, exclude: DataFr
         rows = state.withColumn("rn", F.explode(F.sequence(low, F.col("c")))).join(hits, ["node", "rn"])
         rows = rows.join(exclude, ["root", "nbr"], "left_anti")
         # at most `block` rows per query
-        rows = materialize(
-            group_position(rows, ["qid"], [F.col("rn").desc()], "_o").filter("_o <= need"), "block"
-        )
+        small = block <= GROUP_ROWS
+        placed = group_position(rows, ["qid"], [F.col("rn").desc()], "_o", bounded=small)
+        rows = materialize(placed.filter("_o <= need"), "block")
         part = rows.select("qid", "root", "node", "rn", "nbr", "nbr_t", "eid")
         found = part if found is None else found.unionByName(part)
         got = rows.groupBy("qid").agg(F.count("*").alias("_g"))

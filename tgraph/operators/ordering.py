@@ -79,19 +79,21 @@ def running(
     sums: Mapping[str, Column],
     group_rows: int = GROUP_ROWS,
     how: str = "sum",
+    bounded: bool = False,
 ) -> DataFrame:
     """Inclusive running sums (or max, min) inside each group, in ``order``.
 
     ``order`` must be total.  Groups (or a whole table) whose counted size one
     task can sort use a plain window.  Otherwise the rows are
     range-partitioned by (group, order), folded per partition, and combined
-    with the totals of earlier partitions.
+    with the totals of earlier partitions.  ``bounded`` says that the groups
+    cannot be large by construction, which saves counting them.
     """
     group = list(group)
     names = list(sums)
     fold, join_up = _FOLDS[how]
     if group:
-        small = largest_group(df, group) <= group_rows
+        small = bounded or largest_group(df, group) <= group_rows
     else:
         small = at_most(df, min(SMALL_ROWS, group_rows))
     if small:
@@ -138,9 +140,11 @@ def group_position(
     order: Sequence[str | Column],
     name: str = "rn",
     group_rows: int = GROUP_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add the 1-based position inside each group, hot groups included."""
-    return running(df, group, order, {name: F.lit(1).cast("bigint")}, group_rows)
+    ones = {name: F.lit(1).cast("bigint")}
+    return running(df, group, order, ones, group_rows, bounded=bounded)
 
 
 def shifted(

@@ -144,7 +144,7 @@ def non_edges(
     anchor: str | None = None,
     below: str | None = None,
     tries: int = 8,
-    rounds: int = 8,
+    max_tries: int = 120,
 ) -> DataFrame:
     """One non-edge (u, v) per row of ``slots`` (key ``slot``).
 
@@ -152,12 +152,15 @@ def non_edges(
     (lo, hi, plus the ``on`` columns), or, with ``since``, if the pair was
     first seen no later than the slot's ``at``.  The first good try wins.
     ``upper`` asks for u < v; ``anchor`` fixes u to a column; ``below`` draws v
-    under a per-row bound.  Slots still open after all rounds have null ends.
+    under a per-row bound.  Open slots get twice as many tries each round, up
+    to ``max_tries`` in all; slots still open then have null ends.
     """
     keep = list(slots.columns)
-    remaining, found = slots, []
-    for r in range(rounds):
-        numbers = F.sequence(F.lit(r * tries), F.lit((r + 1) * tries - 1))
+    remaining, found, start = slots, [], 0
+    while start < max_tries:
+        stop = min(max_tries, start + tries)
+        numbers = F.sequence(F.lit(start), F.lit(stop - 1))
+        start, tries = stop, tries * 2
         bound = F.col(below) if below else F.lit(num_nodes)
         u = F.col(anchor) if anchor else pick(num_nodes, seed, F.lit("u"), "slot", "try")
         cand = remaining.withColumn("try", F.explode(numbers)).withColumns(
