@@ -411,9 +411,7 @@ SELECT CAST(a.snapshot_id AS BIGINT) AS snapshot_id, count(*) AS shared
 FROM n a JOIN n b ON a.v = b.v AND b.snapshot_id = a.snapshot_id - 1 GROUP BY 1""")
 def shared_nodes(spark, sf):
     e = tl.continued_snapshots(base.ugraph_split(spark, sf), 500)
-    n = e.select("snapshot_id", F.explode(F.array("src", "tgt")).alias("v")).distinct()
-    before = n.select((F.col("snapshot_id") + 1).alias("snapshot_id"), "v")
-    return n.join(before, ["snapshot_id", "v"]).groupBy("snapshot_id").agg(F.count("*").alias("shared"))
+    return tl.shared_nodes(e).groupBy("snapshot_id").agg(F.count("*").alias("shared"))
 
 
 @query("time_since_last", f"""

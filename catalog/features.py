@@ -51,10 +51,7 @@ WITH {INC}, j AS (SELECT qid, q.node, count(*) AS n, sum(nbr) AS nbrs, max(inc.t
 SELECT qid, node, n, CAST(nbrs AS BIGINT) AS nbrs, last_t FROM j""")
 def earlier_neighbors(spark, sf):
     e = base.ugraph(spark, sf)
-    rows = nb.earlier_neighbors(nb.ranked_incidence(e), nb.edge_queries(e))
-    return rows.groupBy("qid", "node").agg(
-        F.count("*").alias("n"), F.sum("nbr").alias("nbrs"), F.max("nbr_t").alias("last_t")
-    )
+    return nb.history_stats(nb.incidence(e), nb.edge_queries(e)).filter("n > 0")
 
 
 @query("sampled_neighbors", f"""

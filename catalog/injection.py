@@ -159,7 +159,7 @@ s AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS i, count(*) OVER () AS
 g AS (SELECT tgt, row_number() OVER (ORDER BY tgt) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT tgt FROM te)),
 c AS (SELECT cand, s.src AS u, g.tgt AS v FROM (
   SELECT cand, {pick('(SELECT count(*) FROM s)', 'x-structural', "'s'", 'cand')} AS a, {pick('(SELECT count(*) FROM g)', 'x-structural', "'t'", 'cand')} AS b
-  FROM range(0, 4 * (SELECT m FROM tn)) r(cand)) q JOIN s ON s.i = a JOIN g ON g.i = b),
+  FROM range(0, 400 * (SELECT m FROM tn)) r(cand)) q JOIN s ON s.i = a JOIN g ON g.i = b),
 f AS (SELECT u, v, min(cand) AS cand FROM c LEFT JOIN (SELECT DISTINCT src, tgt FROM bs) o ON o.src = u AND o.tgt = v
       WHERE u <> v AND o.src IS NULL GROUP BY 1, 2),
 k AS (SELECT u, v FROM (SELECT *, row_number() OVER (ORDER BY cand) AS rn FROM f), tn WHERE rn <= m),

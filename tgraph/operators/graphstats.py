@@ -226,7 +226,9 @@ def snapshot_properties(edges: DataFrame, on: str = "snapshot_id") -> DataFrame:
     )
     d2 = deg.select(on, F.col("node").alias("nbr"), F.col("d").cast("double").alias("d2"))
     ends = adj.join(deg.select(on, "node", F.col("d").cast("double").alias("d")), [on, "node"]).join(d2, [on, "nbr"])
-    mix = ends.groupBy(on).agg(F.corr("d", "d2").alias("assortativity"))
+    # null where all degrees are equal
+    spread = F.sqrt(F.var_pop("d") * F.var_pop("d2"))
+    mix = ends.groupBy(on).agg(F.try_divide(F.covar_pop("d", "d2"), spread).alias("assortativity"))
     parts = components(adj, key).groupBy(on).agg(F.countDistinct("label").alias("components"))
     return stats.join(mix, on).join(parts, on)
 

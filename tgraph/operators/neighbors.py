@@ -48,6 +48,27 @@ def history_size(inc: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(before, ["node", "t"])
 
 
+def history_stats(inc: DataFrame, queries: DataFrame) -> DataFrame:
+    """Count, sum of neighbour ids and latest time of each query's history.
+
+    Running totals per node over (time, kind), queries placed before rows of
+    the same time, so earlier interactions are never listed per query.
+    """
+    steps = inc.groupBy("node", "t").agg(
+        F.lit(1).alias("_kind"), F.count("*").alias("_n"), F.sum("nbr").alias("_s"), F.max("t").alias("_m")
+    )
+    zero = F.lit(0).cast("bigint")
+    asked = queries.select("node", "t").distinct().select(
+        "node", "t", F.lit(0).alias("_kind"), zero.alias("_n"), zero.alias("_s"),
+        F.lit(None).cast(inc.schema["t"].dataType).alias("_m"),
+    )
+    marks = materialize(steps.select(*asked.columns).unionByName(asked), "marks")
+    sums = running(marks, ["node"], ["t", "_kind"], {"n": F.col("_n"), "nbrs": F.col("_s")})
+    tops = running(sums, ["node"], ["t", "_kind"], {"last_t": F.col("_m")}, how="max")
+    known = tops.filter("_kind = 0").select("node", "t", "n", "nbrs", "last_t")
+    return queries.join(known, ["node", "t"]).select("qid", "node", "n", "nbrs", "last_t")
+
+
 def edge_queries(edges: DataFrame) -> DataFrame:
     """One query per edge end: qid is edge_pos * 2 (+1 for the target)."""
     ends = F.array(

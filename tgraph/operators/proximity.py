@@ -73,6 +73,7 @@ def edge_context(
         .groupBy("edge_pos", "lookback", "_s", "node")
         .agg(F.round(F.sum("p"), 9).alias("p"))
     )
+    near = materialize(near, "near")
     top = group_position(near, ["edge_pos", "lookback"], [F.col("p").desc(), "node"], "rank")
     top = top.filter(F.col("rank") <= k).select("edge_pos", "lookback", "_s", "rank", "node")
     own = ends.select("edge_pos", "lookback", "_s", F.lit(0).cast("bigint").alias("rank"), F.col("root").alias("node"))

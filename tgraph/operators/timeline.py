@@ -275,6 +275,13 @@ def present_nodes(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id")
     return nodes.join(seen, node_id, "left_semi")
 
 
+def shared_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes each snapshot has in common with the one before."""
+    n = edges.select("snapshot_id", F.explode(F.array("src", "tgt")).alias("node_id")).distinct()
+    before = n.select((F.col("snapshot_id") + 1).alias("snapshot_id"), "node_id")
+    return n.join(before, ["snapshot_id", "node_id"])
+
+
 def lookback(edges: DataFrame, width: int, name: str = "lookback_id") -> DataFrame:
     """Each edge once per snapshot n-width+1 .. n; ids below 0 do not exist."""
     _check_size(width)

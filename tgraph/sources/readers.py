@@ -35,9 +35,11 @@ def pivot_features(df: DataFrame, id_col: str, kind: str, prefix: str = "feat_")
     return wide.select(id_col, *[F.col(f"`{i}`").alias(f"{prefix}{i}_{kind}") for i in ids])
 
 
-def long_features(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Wide feature columns to (ids, feature_id, value)."""
-    cast = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
+def long_features(
+    df: DataFrame, ids: Sequence[str], columns: Sequence[str], kind: str = "double"
+) -> DataFrame:
+    """Wide feature columns to (ids, feature_id, value), values cast to ``kind``."""
+    cast = df.select(*ids, *[F.col(c).cast(kind).alias(c) for c in columns])
     return cast.unpivot(list(ids), list(columns), "feature_id", "value")
 
 
