@@ -72,8 +72,6 @@ def test_earlier_neighbors_are_strictly_earlier(graph):
     e = graph(rows)
     inc, q = nb.ranked_incidence(e), nb.edge_queries(e)
     full = [(v, n, t, i) for i, (a, b, t) in enumerate(rows) for v, n in ((a, b), (b, a))]
-    for qid, node, t in [(r["qid"], r["node"], r["t"]) for r in q.collect()]:
-        pass
     want = {}
     for r in q.collect():
         past = sorted(((t, i, n) for v, n, t, i in full if v == r["node"] and t < r["t"]), reverse=True)

@@ -56,22 +56,6 @@ def add(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") + y.cast("double"))
 
 
-def scale(a: Column | str, w: Column | float) -> Column:
-    w = w if isinstance(w, Column) else F.lit(float(w))
-    return F.transform(_c(a), lambda x: x.cast("double") * w)
-
-
-def weighted_sum(arrays: Column | str, weights: list[float], size: int) -> Column:
-    """Sum of ``weights[i] * arrays[i]`` over an array of vectors."""
-    zero = F.array(*[F.lit(0.0)] * size)
-    items = F.zip_with(
-        _c(arrays),
-        F.slice(F.array(*[F.lit(float(w)) for w in weights]), 1, F.size(_c(arrays))),
-        lambda v, w: F.transform(v, lambda x: x.cast("double") * w),
-    )
-    return F.aggregate(items, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-
-
 def pad(a: Column | str, size: int, fill: Column) -> Column:
     """Right-pad to ``size``; longer arrays stay as they are."""
     missing = F.greatest(F.lit(0), F.lit(size) - F.size(_c(a)))

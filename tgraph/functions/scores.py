@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tgraph.functions.arrays import add, dot, scale
+from tgraph.functions.arrays import add, cosine, dot
 
 
 def _c(x: Column | str) -> Column:
@@ -80,8 +80,6 @@ def drift_score(
     ``both`` is ``(2 - cos(now, before) - cos(seen, now)) / 4``; ``drift`` and
     ``recovery`` use one part, as ``(1 - cos) / 2``.
     """
-    from tgraph.functions.arrays import cosine
-
     drift, recovery = cosine(now, before), cosine(seen, now)
     if kind == "drift":
         return (F.lit(1.0) - drift) / 2.0
@@ -94,7 +92,3 @@ def softmax_weights(n: int, decay: float = 1.0) -> list[float]:
     """Fixed attention weights over the last n states, the newest highest."""
     raw = [math.exp(-decay * i) for i in range(n)]
     return [x / sum(raw) for x in raw]
-
-
-def mean_vector(a: Column | str, n: float) -> Column:
-    return scale(a, 1.0 / n)

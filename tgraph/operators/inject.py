@@ -23,7 +23,6 @@ from tgraph.operators.sampling import (
     indexed,
     lookup,
     observed_pairs,
-    product_sample,
     smallest,
     unseen_pairs,
     weighted_pick,
@@ -84,15 +83,30 @@ def _pair(u: Column, v: Column) -> Column:
     return F.struct(u.alias("u"), v.alias("v"))
 
 
+def index_communities(communities: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Members numbered per cluster, clusters numbered with sizes, their count."""
+    placed = group_position(communities.select("node_id", "cluster"), ["cluster"], ["node_id"], "m")
+    members = materialize(placed, "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    sizes = global_position(sizes, ["cluster"], "c")
+    k = sizes.count()
+    if k < 2:
+        raise ValueError("bridge needs at least two communities")
+    return members, sizes, k
+
+
 def candidate_edges(
     groups: DataFrame,
     kind: str,
     num_nodes: int,
     size: int,
     seed: object,
-    communities: DataFrame | None = None,
+    communities: tuple[DataFrame, DataFrame, int] | None = None,
 ) -> DataFrame:
-    """Edges ``(g, i, u, v)`` of numbered candidate groups, before any check."""
+    """Edges ``(g, i, u, v)`` of numbered candidate groups, before any check.
+
+    ``bridge`` needs ``communities`` as given by ``index_communities``.
+    """
     if kind in ("random", "burst"):
         rows = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
         u = pick(num_nodes, seed, F.lit("c"), "g")
@@ -119,17 +133,7 @@ def candidate_edges(
             )
         return rows.select("g", F.posexplode(pairs).alias("i", "e")).select("g", "i", "e.u", "e.v")
     if kind == "bridge":
-        if communities is None:
-            raise ValueError("bridge needs communities(node_id, cluster)")
-        members = materialize(
-            group_position(communities.select("node_id", "cluster"), ["cluster"], ["node_id"], "m"),
-            "members",
-        )
-        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-        sizes = global_position(sizes, ["cluster"], "c")
-        k = sizes.count()
-        if k < 2:
-            raise ValueError("bridge needs at least two communities")
+        members, sizes, k = communities
         first = pick(k, seed, F.lit("a"), "g")
         second = F.pmod(first + 1 + pick(k - 1, seed, F.lit("b"), "g"), F.lit(k))
         rows = groups.select("g", F.lit(0).alias("i"), first.alias("ca"), second.alias("cb"))
@@ -190,7 +194,10 @@ def inject(
     """
     if kind not in GROUP_TYPES:
         raise ValueError(f"unknown anomaly type '{kind}'")
+    if kind == "bridge" and communities is None:
+        raise ValueError("bridge needs communities(node_id, cluster)")
     spark = edges.sparkSession
+    indexed_communities = index_communities(communities) if kind == "bridge" else None
     rate = duration_rate(duration)
     size = group_size(kind, stats or {})
     per_group = {"clique": size * (size - 1) // 2, "path": size - 1}.get(kind, size)
@@ -212,7 +219,7 @@ def inject(
         n_groups = 2 * math.ceil(target / per_group) + 8
         for _ in range(rounds):
             groups = spark.range(n_groups).withColumnRenamed("id", "g")
-            cand = candidate_edges(groups, kind, num_nodes, size, salt, communities)
+            cand = candidate_edges(groups, kind, num_nodes, size, salt, indexed_communities)
             new, made = accept_groups(cand, observed, target)
             if made >= target:
                 break
@@ -621,13 +628,6 @@ def scatter_into(test: DataFrame, new: DataFrame, seed: object = 0) -> DataFrame
     return normal.unionByName(odd)
 
 
-def draw_product(edges: DataFrame, n: int, seed: object) -> DataFrame:
-    """n (source, target) draws from the observed ends."""
-    return product_sample(
-        edges.sparkSession, [("src", edges, "src"), ("tgt", edges, "tgt")], n, seed
-    )
-
-
 def report_rows(report: Mapping[str, Any], splits: Sequence[str] = ("train", "val", "test")) -> list[tuple]:
     """The injection report as rows (split, ratio, requested, generated)."""
     return [

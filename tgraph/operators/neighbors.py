@@ -166,15 +166,21 @@ def layered_neighbors(edges: DataFrame, roots: DataFrame, k: int, layers: int) -
     inc = ranked_incidence(edges)
     times = roots.select("root", "t")
     frontier = roots.select("root", "node", "t")
-    exclude = roots.select("root", F.col("node").alias("nbr")).limit(0)
-    out = None
+    exclude, out = None, None
     for layer in range(1, layers + 1):
         q = frontier.withColumn("qid", F.concat_ws("|", "root", "node"))
-        got = materialize(recent_excluding(inc, q.select("qid", "root", "node", "t"), k, exclude), "layer")
+        if layer == 1:
+            ids = q.select("qid", "root")
+            got = recent_neighbors(inc, q.select("qid", "node", "t"), k).drop("slot").join(ids, "qid")
+            got = materialize(got, "layer")
+        else:
+            got = recent_excluding(inc, q.select("qid", "root", "node", "t"), k, exclude)
         rows = got.select("root", F.lit(layer).alias("layer"), "node", "nbr", "nbr_t", "eid")
         out = rows if out is None else out.unionByName(rows)
-        exclude = frontier.select("root", F.col("node").alias("nbr"))
-        frontier = materialize(got.select("root", F.col("nbr").alias("node")).distinct().join(times, "root"), "frontier")
+        if layer < layers:
+            exclude = frontier.select("root", F.col("node").alias("nbr"))
+            reached = got.select("root", F.col("nbr").alias("node")).distinct()
+            frontier = materialize(reached.join(times, "root"), "frontier")
     return out
 
 

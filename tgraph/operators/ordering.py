@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tgraph.session import GROUP_ROWS, at_most, materialize, parallelism
+from tgraph.session import GROUP_ROWS, at_most, materialize
 
 # Rows per window group once a global position exists.
 CHUNK_ROWS = 1 << 16
@@ -40,9 +40,9 @@ def global_position(
     partition. The stamped table is written first, so both passes agree.
     """
     spark = df.sparkSession
-    n = parallelism(spark)
+    # adaptive execution may merge neighbouring ranges, which keeps the order
     stamped = materialize(
-        df.repartitionByRange(n, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_row", F.monotonically_increasing_id()),
         name,
@@ -101,10 +101,9 @@ def running(
         w = w.rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[fold(c).over(w).alias(n) for n, c in sums.items()])
 
-    n = parallelism(df.sparkSession)
     parts = materialize(
         df.select("*", *[c.alias(f"_v_{k}") for k, c in sums.items()])
-        .repartitionByRange(n, *group, *order)
+        .repartitionByRange(*group, *order)
         .withColumn("_part", F.spark_partition_id()),
         "running",
     )

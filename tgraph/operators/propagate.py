@@ -75,7 +75,8 @@ def short_term_attention(states: DataFrame, key: str, order: str, size: int, wei
     A state at position n is sent to positions n .. n+w-1, which bounds the
     rows and needs no window over a key; positions are gap-free per key.
     """
-    w = len(weights)
+    if not weights:
+        raise ValueError("there must be at least one weight")
     sent = states.select(
         key, F.posexplode(F.array(*[F.lit(float(x)) for x in weights])).alias("_lag", "_w"), order, "vec"
     ).select(key, (F.col(order) + F.col("_lag")).alias(order), "_w", F.col("vec").alias("v"))
@@ -83,4 +84,4 @@ def short_term_attention(states: DataFrame, key: str, order: str, size: int, wei
     mixed = sent.groupBy(key, order).agg(F.array(*sums).alias("mixed"), F.sum("_w").alias("_total"))
     out = states.join(mixed, [key, order])
     scaled = F.transform("mixed", lambda x: x / F.col("_total"))
-    return out.select(*states.columns, scaled.alias("short_term")) if w else states
+    return out.select(*states.columns, scaled.alias("short_term"))
