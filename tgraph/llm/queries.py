@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tgraph.llm import minhash
+from tgraph.llm import minhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document, learnt from labels that are not held out."""
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by distinct two-word shingles, similarity 0.8."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=2, similarity=80)
 
 
-QUERIES = {"op6_minhash": op6_minhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_minhash": op6_minhash}
 
 ORACLE: dict[str, str] = {}
