@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tgraph.llm import minhash, toxicity
+from tgraph.llm import langid, minhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,11 +16,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by Viterbi over its words."""
+    return langid.languages(_read(spark, sf_dir, "documents"), spans=False)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by distinct two-word shingles, similarity 0.8."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=2, similarity=80)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_minhash": op6_minhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_language": op4_language, "op6_minhash": op6_minhash}
 
 ORACLE: dict[str, str] = {}
