@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tgraph.llm import langid, minhash, toxicity
+from tgraph.llm import decontam, langid, minhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,33 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=2, similarity=80)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_language": op4_language, "op6_minhash": op6_minhash}
-
-ORACLE: dict[str, str] = {}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word windows of the benchmark."""
+    return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_language": op4_language, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination}
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op7_decontamination": f"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), 10) AS k
+  FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT item_id, k, list_slice(w, s, s + k - 1) AS words FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM item)),
+doc AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+gram AS (
+  SELECT doc_id, k, s, list_slice(w, s, s + k - 1) AS words
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, s, k, item_id FROM gram JOIN win USING (k, words)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+}
