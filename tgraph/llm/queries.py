@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tgraph.llm import decontam, langid, minhash, toxicity
+from tgraph.llm import decontam, langid, linededup, minhash, mixing, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,11 +17,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are boilerplate of their source."""
+    return linededup.drop_boilerplate(_read(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("_lines.total").alias("n_lines"), F.col("_lines.dropped").alias("n_dropped"), "text"
+    )
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by Viterbi over its words."""
     return langid.languages(_read(spark, sf_dir, "documents"), spans=False)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and fate of every document in a mix raked by source, language and topic."""
+    return mixing.mix(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "_mix.topic", "_mix.tokens", F.round("_mix.probability", 6).alias("probability"), "_mix.kept"
+    )
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by distinct two-word shingles, similarity 0.8."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=2, similarity=80)
@@ -31,11 +46,81 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_language": op4_language, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _raked_sql(sweeps: int = 40) -> str:
+    """Sweeps over the cells' weights, one marginal after the other."""
+    out, name = [], "w0"
+    for i in range(sweeps * 3):
+        dim = ("source", "lang", "topic")[i % 3]
+        out.append(
+            f"w{i + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * target / sum(w) OVER (PARTITION BY {dim}) AS w"
+            f" FROM {name} JOIN (SELECT {dim} AS value, target FROM t_{dim}) ON {dim} IS NOT DISTINCT FROM value)"
+        )
+        name = f"w{i + 1}"
+    return ",\n".join(out) + f",\nraked AS (SELECT * FROM {name})"
+
+
+def _targets_sql() -> str:
+    return ",\n".join(
+        f"t_{d} AS (SELECT {d}, pow(t, {p}) / sum(pow(t, {p})) OVER () AS target FROM (SELECT {d}, CAST(sum(tokens) AS DOUBLE) AS t FROM cell GROUP BY {d}) WHERE t > 0)"
+        for d, p in mixing.EXPONENTS.items()
+    )
+
+
+_TOPIC = (
+    "CASE "
+    + " ".join(f"WHEN {' OR '.join(f"contains(text, '{m}')" for m in marks)} THEN '{name}'" for name, marks in mixing.TOPICS)
+    + " ELSE 'prose' END"
+)
+
 ORACLE: dict[str, str] = {
+    "op2_linededup": f"""
+WITH page AS (SELECT source, text FROM documents WHERE text IS NOT NULL GROUP BY ALL),
+total AS (SELECT source, count(*) AS pages FROM page GROUP BY source),
+line AS (SELECT DISTINCT source, text, trim(l, ' ' || chr(9) || chr(13)) AS line FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS l FROM page)),
+common AS (
+  SELECT source, list(line) AS common
+  FROM (SELECT source, line, count(*) AS n FROM line WHERE line <> '' GROUP BY ALL) JOIN total USING (source)
+  WHERE n >= {linededup.LEAST_PAGES} AND n > {linededup.RATIO} * pages GROUP BY source),
+cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS every,
+    list_filter(string_split(text, chr(10)), lambda l: NOT list_contains(coalesce(common, []), trim(l, ' ' || chr(9) || chr(13)))) AS rest
+  FROM documents LEFT JOIN common USING (source)),
+judged AS (
+  SELECT *, length(array_to_string(rest, '')) >= length(array_to_string(every, '')) * {1 - linededup.MOST_DROPPED} AND len(rest) < len(every) AS cuts FROM cut)
+SELECT doc_id, CAST(len(every) AS BIGINT) AS n_lines, CAST(CASE WHEN cuts THEN len(every) - len(rest) ELSE 0 END AS BIGINT) AS n_dropped,
+  CASE WHEN cuts THEN array_to_string(rest, chr(10)) ELSE text END AS text
+FROM judged
+""",
+    "op5_mixing": f"""
+WITH doc AS (
+  SELECT doc_id, text, source, lang, {_TOPIC} AS topic,
+    CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, ' +')) END AS tokens
+  FROM (SELECT *, trim(translate(coalesce(text, ''), chr(9) || chr(10) || chr(13), '   '), ' ') AS t FROM documents)),
+cell AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM doc GROUP BY ALL),
+{_targets_sql()},
+w0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w FROM cell WHERE tokens > 0),
+{_raked_sql()},
+ranked AS (
+  SELECT *, w / tokens AS rate, lead(w / tokens, 1, 0) OVER o AS below, sum(tokens) OVER o AS held, sum(w) OVER o AS used,
+    sum(tokens) OVER () AS total, sum(w) OVER () AS every
+  FROM raked WINDOW o AS (ORDER BY w / tokens DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
+scales AS (
+  SELECT max({mixing.SHARE} * total / every) AS scale, max(rate) AS next, NULL AS own FROM ranked
+  UNION ALL SELECT ({mixing.SHARE} * total - held) / (every - used), below, rate FROM ranked WHERE below > 0 AND held < {mixing.SHARE} * total),
+scale AS (SELECT min(scale) AS scale FROM scales WHERE scale > 0 AND scale * next < 1 AND (own IS NULL OR scale * own >= 1)),
+rated AS (SELECT source, lang, topic, least(1.0, rate * scale) AS p FROM ranked, scale),
+final AS (
+  SELECT doc.*, coalesce(p, {mixing.SHARE}) AS p,
+    CAST('0x' || substr(md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM doc LEFT JOIN rated ON doc.source IS NOT DISTINCT FROM rated.source AND doc.lang IS NOT DISTINCT FROM rated.lang AND doc.topic = rated.topic)
+SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(p, 6) AS probability, u < p AS kept FROM final
+""",
     "op7_decontamination": f"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), 10) AS k
