@@ -79,14 +79,14 @@ def find(docs: DataFrame, prefix: DataFrame) -> DataFrame:
 
 # The begins of the windows of an alignment that the document holds.
 _BEGINS = """
-transform(hits, h -> struct(h.item_id as item_id, h.size as size, filter(
+transform(_hits, h -> struct(h.item_id as item_id, h.size as size, filter(
     sequence(greatest(h.first, -h.start), greatest(h.last, -h.start)),
-    s -> s <= h.last and slice(words, h.start + s + 1, h.size) = slice(h.slice, s - h.first + 1, h.size)) as begins, h.start as start))
+    s -> s <= h.last and slice(_words, h.start + s + 1, h.size) = slice(h.slice, s - h.first + 1, h.size)) as begins, h.start as start))
 """
 
 # Number of places covered by sorted [begin, end) pairs.
 _COVERED = """
-aggregate(array_sort(flatten(transform(found, h -> transform(h.begins, s -> struct(h.start + s as b, h.start + s + h.size as e))))),
+aggregate(array_sort(flatten(transform(_found, h -> transform(h.begins, s -> struct(h.start + s as b, h.start + s + h.size as e))))),
     struct(0 as n, 0 as upto),
     (acc, x) -> struct(acc.n + greatest(x.e - greatest(x.b, acc.upto), 0) as n, greatest(x.e, acc.upto) as upto)).n
 """
@@ -95,7 +95,7 @@ aggregate(array_sort(flatten(transform(found, h -> transform(h.begins, s -> stru
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
-    """One row (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per document.
+    """``docs`` with struct ``_contamination`` (n_words, n_hit, n_items, items_sha256, contaminated).
 
     A window is ``window`` consecutive words of an item; an item of fewer words,
     but not none, is one window. ``n_hit`` counts document words inside occurring
@@ -104,20 +104,22 @@ def contamination(
     words and no hits; items that are null, wordless or without an id are ignored;
     an item listed twice counts once, with the windows of all its rows. Repeated
     documents are judged each, a null doc_id too. An empty table of either kind
-    gives no hits. Other columns are ignored; whole texts are read.
+    gives no hits. Other columns pass, but for one called ``_contamination``, which
+    is replaced; whole texts are read.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.drop("_contamination")
     # rows of equal id and text share a key; alignments are compared with each row's own words
-    own = own.withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    held = own.select("doc_key", words(F.col("text")).alias("words"))
+    own = docs.withColumn("_key", F.xxhash64(id_col, text_col))
+    held = own.select(F.col("_key").alias("doc_key"), words(F.col(text_col)).alias("words"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("words"))
     items = items.where("item_id is not null and size(words) > 0").distinct().withColumn("item_key", F.xxhash64("item_id", "words"))
-    hits = find(held, prefixes(held, materialize(items, "items"), window))
-    rows = own.join(hits, "doc_key", "left").select("doc_id", words(F.col("text")).alias("words"), "hits")
-    rows = rows.withColumn("found", F.filter(F.expr(_BEGINS), lambda h: F.size(h["begins"]) > 0))
-    ids = F.coalesce(F.array_sort(F.array_distinct(F.col("found.item_id"))), F.array().cast("array<string>"))
-    rows = rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.expr(_COVERED).alias("n_hit"), ids.alias("ids"))
-    return rows.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size("ids").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    hits = find(held, prefixes(held, materialize(items, "items"), window)).select(F.col("doc_key").alias("_of"), F.col("hits").alias("_hits"))
+    rows = own.join(hits, F.col("_key") == F.col("_of"), "left").withColumn("_words", words(F.col(text_col)))
+    rows = rows.withColumn("_found", F.filter(F.expr(_BEGINS), lambda h: F.size(h["begins"]) > 0))
+    ids = F.coalesce(F.array_sort(F.array_distinct(F.col("_found.item_id"))), F.array().cast("array<string>"))
+    rows = rows.select(*docs.columns, F.size("_words").cast("bigint").alias("_n"), F.coalesce(F.expr(_COVERED), F.lit(0)).cast("bigint").alias("_hit"), ids.alias("_ids"))
+    verdict = F.struct(
+        F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.size("_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("_ids", ","), 256).alias("items_sha256"), (F.col("_hit") > 0).alias("contaminated"),
     )
+    return rows.select(*docs.columns, verdict.alias("_contamination"))

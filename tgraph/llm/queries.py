@@ -14,7 +14,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of every document, learnt from labels that are not held out."""
-    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "_toxicity.*")
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside ten-word windows of the benchmark."""
-    return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    judged = decontam.contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "_contamination.*")
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination}

@@ -13,12 +13,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tgraph.session import materialize
@@ -30,6 +30,7 @@ TERMS = 5_000  # terms kept, by weight and support
 LEAST_WEIGHT = 1.5  # log odds of a term
 THRESHOLD = 0.3
 
+# What ``dense`` returns, in this order.
 FEATURES = (
     "hit_rate weight_rate max_weight top_weights log_hits log_terms second_near second_rate capitals "
     "all_caps marks punctuation obfuscated digits log_words"
@@ -89,9 +90,9 @@ def _count_terms(wanted: frozenset | None):
     return run
 
 
-def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Weights (log odds) of terms, from rows (text, toxic); at most ``TERMS``."""
-    sizes = dict(labelled.groupBy("toxic").count().collect())
+def learn_lexicon(labelled: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
+    """Weights (log odds) of terms, from rows (text, toxic); at most ``TERMS``.
+    ``sizes`` has the number of rows of either label."""
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
@@ -140,27 +141,25 @@ def dense(text: str | None, known: dict[str, float], weight) -> list[float]:
     ]
 
 
-def _features(lexicon: dict[str, float]):
+def features(text: Column, lexicon: dict[str, float]) -> Column:
+    """The dense features of a text column, as an array."""
+
     def weight(token: str) -> float:
         return max((lexicon.get(t, 0.0) for t in terms(token)), default=0.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
         for batch in batches:
-            rows = np.zeros((batch.num_rows, len(FEATURES)))
-            for i, text in enumerate(batch.column(1)):
-                rows[i] = dense(text.as_py(), known, weight)
+            rows = []
+            for t in batch:
+                rows.append(dense(t, known, weight))
                 if len(known) > 200_000:
                     known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, j]) for j in range(len(FEATURES)))], ["doc_id", *FEATURES])
-
-    return run
-
+            yield pd.Series(rows, dtype=object)
 
-def features(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of dense features per document."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_features(lexicon), "doc_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+    # marked so that the optimizer does not evaluate it once for each use
+    return run.asNondeterministic()(text)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -168,10 +167,10 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def toxicity(
+def score(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """One row (doc_id, held_out, score, predicted) per document.
+    """``docs`` with struct ``_toxicity`` (held_out, score, predicted).
 
     ``score`` is the calibrated probability of the label 1, ``predicted`` is 1
     from ``threshold`` on. Labels are learnt from rows that are not held out;
@@ -180,26 +179,31 @@ def toxicity(
     like any other, by features of zero. Repeated rows are scored each; a null
     doc_id is scored and never learnt from. If no training row, or only one
     class, is labelled, every score is the smoothed share of toxic labels. Other
-    columns are ignored; an empty table gives an empty result.
+    columns pass, but for one called ``_toxicity``, which is replaced; an empty
+    table stays empty.
     """
+    docs = docs.drop("_toxicity")
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon = learn_lexicon(own.join(known, "doc_id").select("text", "toxic"))
-    rows = materialize(features(own, lexicon), "features")
-    train = rows.join(known, "doc_id")
+    train = own.join(known, "doc_id")
     sizes = dict(train.groupBy("toxic").count().collect())
     total = sum(sizes.values())
-    result = ["doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")]
+    lexicon = learn_lexicon(train.select("text", "toxic"), sizes)
     draw = lambda seed: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = materialize(train.where(draw(1) < min(1.0, FIT_ROWS / max(total, 1))).repartition(6), "sample")
-    fit, check = (vector.transform(sample.where(c)) for c in (draw(2) >= CALIBRATION, draw(2) < CALIBRATION))
+    sample = train.where(draw(1) < min(1.0, FIT_ROWS / max(total, 1))).select("doc_id", "toxic", features(F.col("text"), lexicon).alias("dense"))
+    sample = materialize(sample, "sample").repartition(6).withColumn("features", array_to_vector("dense"))
+    fit, check = sample.where(draw(2) >= CALIBRATION), sample.where(draw(2) < CALIBRATION)
     if any(part.select("toxic").distinct().count() < 2 for part in (fit, check)):
-        return rows.withColumn("score", F.lit((sizes.get(1, 0) + 1) / (total + 2))).select(*result)
-    trees = GBTClassifier(labelCol="toxic", maxIter=20, maxDepth=4, stepSize=0.3, maxBins=64, seed=7).fit(fit)
-    raw = vector_to_array("probability")[1]
-    rising = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="level").fit(trees.transform(check).withColumn("raw", raw))
-    scored = rising.transform(trees.transform(vector.transform(rows)).withColumn("raw", raw))
-    # a little of the uncalibrated probability orders what one step of the calibration holds
-    return scored.withColumn("score", 0.99 * F.col("level") + 0.01 * F.col("raw")).select(*result)
+        scored = docs.withColumn("_score", F.lit((sizes.get(1, 0) + 1) / (total + 2)))
+    else:
+        raw = vector_to_array("_p")[1]
+        boost = GBTClassifier(labelCol="toxic", featuresCol="features", predictionCol="_class", maxIter=20, maxDepth=4, stepSize=0.3, maxBins=64, seed=7)
+        trees = boost.setRawPredictionCol("_raw").setProbabilityCol("_p").fit(fit)
+        rising = IsotonicRegression(labelCol="toxic", featuresCol="_raw1", predictionCol="_level").fit(trees.transform(check).withColumn("_raw1", raw))
+        held = docs.withColumn("_features", array_to_vector(features(F.col(text_col).cast("string"), lexicon)))
+        scored = trees.setFeaturesCol("_features").transform(held).withColumn("_raw1", raw)
+        # a little of the uncalibrated probability orders what one step of the calibration holds
+        scored = rising.transform(scored).withColumn("_score", 0.99 * F.col("_level") + 0.01 * F.col("_raw1"))
+    verdict = F.struct(held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*docs.columns, verdict.alias("_toxicity"))
