@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tgraph.llm import decontam, langid, linededup, minhash, mixing, toxicity
 
 
@@ -48,7 +49,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "_contamination.*")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the corpus pipeline keeps."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
