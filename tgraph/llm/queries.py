@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tgraph.llm import chat, decontam, langid, linededup, minhash, mixing, toxicity, urlfilter
+from tgraph.llm import chat, decontam, embeddup, langid, linededup, minhash, mixing, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "_contamination.*")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by cosine."""
+    return embeddup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op3_chat": op3_chat, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination, "op9_urls": op9_urls}
+QUERIES = {"pipeline": pipeline, "op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op3_chat": op3_chat, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination, "op8_embeddings": op8_embeddings, "op9_urls": op9_urls}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
