@@ -1,7 +1,7 @@
 """Language identification: scripts narrow the candidates, Viterbi labels spans.
 
 A word is a run of letters of one script. Its score for a language is the sum of
-the log probabilities of its character 1- to 4-grams, counted over every training
+the log probabilities of its letters, pairs and threes of letters, and ending, counted over every training
 text. Only languages that use the word's script are candidates. Viterbi's
 algorithm over the words, with a penalty for each switch, gives spans; the
 language with most letters is the text's.
@@ -24,6 +24,7 @@ LANGUAGES = 256  # a model of more is refused: it is broadcast, of LANGUAGES * B
 LEAST_SHARE = 0.005  # of a language's letters, for a script to be one of its own
 SWITCH = 6.0  # log cost of changing the language between two words
 PIECE = 1 << 20  # characters scored at once
+CELLS = 1 << 24  # characters times languages labelled together
 UNKNOWN = "und"
 
 # First and last code point of the blocks of each script. Letters elsewhere are "other".
@@ -63,25 +64,37 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _grams(code: np.ndarray, script: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length, positions in ``code`` and buckets of the n-grams that end there.
+class Letters:
+    """The letters of a piece of text: their places, codes and scripts, and which follow on the one before."""
 
-    An n-gram may begin with a blank before the word; words' last three letters count once more.
-    """
-    size, letter = len(code), script > 0
-    value = np.concatenate((np.ones(4, np.uint64), np.where(letter, code, 0).astype(np.uint64) + np.uint64(1)))
-    joined = np.concatenate((np.zeros(5, bool), (script[1:] == script[:-1]) & letter[1:]))  # to the character before
-    total, inside = np.zeros(size, np.uint64), letter
-    for n in range(1, 5):
-        reach = inside  # the last n - 1 characters are of the word
-        if n > 1:
-            inside = inside & joined[6 - n : 6 - n + size]
-        total = total * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, value[5 - n : 5 - n + size], np.uint64(1))
-        at = np.flatnonzero(reach)
-        yield at, _bucket(total[at] + np.uint64(n))
-        if n == 3:
-            last = np.flatnonzero(letter & ~np.concatenate((joined[5:], [False])))
-            yield last, _bucket(total[last] + np.uint64(99))
+    def __init__(self, text: str):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        script = script_table()[code]
+        self.at = np.flatnonzero(script)
+        self.code, self.script = code[self.at].astype(np.uint64) + np.uint64(1), script[self.at]
+        self.joined = np.zeros(len(self.at), bool)
+        self.joined[1:] = (np.diff(self.at) == 1) & (self.script[1:] == self.script[:-1])
+
+    def buckets(self) -> Iterator[np.ndarray]:
+        """For each kind of n-gram, the bucket of the one that ends at each letter; ``BUCKETS`` is none.
+
+        Kinds are single letters, two and three of them, where a blank may stand
+        before the word, and the last three of a word.
+        """
+        total, inside = self.code, np.ones(len(self.code), bool)
+        yield _bucket(total + np.uint64(1))
+        for n in (2, 3):
+            reach = inside  # the last n - 1 letters are of the word
+            inside = inside & _shift(self.joined, n - 2, False)
+            total = total * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, _shift(self.code, n - 1, np.uint64(1)), np.uint64(1))
+            bucket = _bucket(total + np.uint64(n))
+            yield bucket if n == 2 else np.where(reach, bucket, BUCKETS)
+        last = np.concatenate((~self.joined[1:], [True])) if len(self.joined) else self.joined
+        yield np.where(last, _bucket(total + np.uint64(99)), BUCKETS)
+
+
+def _shift(x: np.ndarray, n: int, fill) -> np.ndarray:
+    return x if n == 0 else np.concatenate((np.full(min(n, len(x)), fill, x.dtype), x[: max(len(x) - n, 0)]))
 
 
 def _bucket(x: np.ndarray) -> np.ndarray:
@@ -89,11 +102,6 @@ def _bucket(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.int64)
 
 
-def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    code = np.frombuffer(_lower(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return code, script_table()[code]
-
-
 def _pieces(text: str) -> Iterator[tuple[int, str]]:
     """A text in parts of bounded length, cut where no word is if there is such a place near."""
     start = 0
@@ -108,15 +116,19 @@ def _pieces(text: str) -> Iterator[tuple[int, str]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, bucket, n); buckets below 0 count the letters of a script."""
     for batch in batches:
-        counts: dict[str, np.ndarray] = {}
+        by_lang: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = counts.setdefault(lang, np.zeros(BUCKETS + OTHER + 1, np.int64))
-            for _, piece in _pieces(text.as_py() or ""):
-                code, script = _codes(piece)
-                own[BUCKETS:] += np.bincount(script, minlength=OTHER + 1)
-                for _, bucket in _grams(code, script):
-                    own[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-        for lang, own in counts.items():
+            by_lang.setdefault(lang, []).append(_lower(text.as_py() or ""))
+        for lang, texts in by_lang.items():
+            own = np.zeros(BUCKETS + 1, np.int64)
+            scripts = np.zeros(OTHER + 1, np.int64)
+            for lo, hi in slices(texts, PIECE):
+                for _, piece in _pieces("\n".join(texts[lo:hi])):
+                    letters = Letters(piece)
+                    scripts += np.bincount(letters.script, minlength=OTHER + 1)
+                    for bucket in letters.buckets():
+                        own += np.bincount(bucket, minlength=BUCKETS + 1)
+            own = np.concatenate((own[:BUCKETS], scripts))
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at), pa.string()), pa.array(np.where(at < BUCKETS, at, BUCKETS - 1 - at)), pa.array(own[at])],
@@ -130,7 +142,8 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, letters: np.ndarray):
         self.langs = langs
         smooth = counts.astype(np.float64) + 0.5
-        self.log_p = np.log(smooth / smooth.sum(0)).astype(np.float32)
+        # the last row is that of no bucket
+        self.log_p = np.concatenate((np.log(smooth / smooth.sum(0)), np.zeros((1, len(langs))))).astype(np.float32)
         share = letters / np.maximum(letters.sum(0), 1)
         self.uses = share >= LEAST_SHARE
         self.prior = letters.sum(0)
@@ -155,26 +168,24 @@ def learn(rows: DataFrame) -> Model:
 
 
 def word_scores(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and scores (word, language) of a text's words."""
+    """Starts, ends and scores (word, language) of the words of a lower-cased text."""
     starts, ends, scores = [], [], []
     for offset, piece in _pieces(text):
-        code, script = _codes(piece)
-        edge = np.flatnonzero(np.diff(script, prepend=0, append=0))
-        start = edge[:-1][script[edge[:-1]] > 0] if len(edge) else edge
-        if not len(start):
+        letters = Letters(piece)
+        if not len(letters.at):
             continue
-        end = edge[np.searchsorted(edge, start, "right")]
-        total = np.zeros((len(code) + 1, len(model.langs)), np.float32)
-        for at, bucket in _grams(code, script):
-            total[at] += model.log_p[bucket]
-        own = np.add.reduceat(total, np.stack((start, end), 1).ravel())[::2]
-        uses = model.uses[script[start]]
+        first = np.flatnonzero(~letters.joined)
+        total = np.zeros((len(letters.at), len(model.langs)), np.float32)
+        for bucket in letters.buckets():
+            total += model.log_p[bucket]
+        own = np.add.reduceat(total, first)
+        uses = model.uses[letters.script[first]]
         # a script that no language uses tells nothing; one that some use rules out the others
         none = ~uses.any(1)
-        own = np.where(uses, own, own.min(1, keepdims=True) - 1e3)
+        own = np.where(uses, own, own.min(1, keepdims=True) - np.float32(1e3))
         own[none] = 0
-        starts.append(start + offset)
-        ends.append(end + offset)
+        starts.append(letters.at[first] + offset)
+        ends.append(letters.at[np.concatenate((first[1:], [len(letters.at)])) - 1] + 1 + offset)
         scores.append(own - own.max(1, keepdims=True))
     if not starts:
         none = np.empty(0, np.int64)
@@ -228,8 +239,12 @@ def _label(model: Model, penalty: float, spans: bool):
         prior = int(model.prior.argmax()) if len(model.langs) else 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts, PIECE):
-                parts = [word_scores(t or "", model) for t in texts[lo:hi]]
+            for lo, hi in slices(texts, max(PIECE // 16, CELLS // max(len(model.langs), 1))):
+                lowered = [_lower(t or "") for t in texts[lo:hi]]
+                start, end, own = word_scores("\n".join(lowered), model)
+                begin = np.cumsum([0] + [len(t) + 1 for t in lowered])
+                cuts = np.searchsorted(start, begin)
+                parts = [(start[x:y] - b, end[x:y] - b, own[x:y]) for x, y, b in zip(cuts, cuts[1:], begin)]
                 langs, scores, found = [], [], []
                 for (start, end, own), labels in zip(parts, viterbi([p[2] for p in parts], penalty)):
                     if not len(start) or not model.langs:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tgraph.llm import chat, decontam, embeddup, langid, linededup, minhash, mixing, toxicity, urlfilter
+from tgraph.llm import chat, decontam, embeddup, langid, linededup, minhash, mixing, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,12 +80,19 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of the WARC record of every page."""
+    folder = warc.new_folder(spark)
+    index = warc.write(_read(spark, sf_dir, "pages"), folder)
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the corpus pipeline keeps."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op3_chat": op3_chat, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination, "op8_embeddings": op8_embeddings, "op9_urls": op9_urls}
+QUERIES = {"pipeline": pipeline, "op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op3_chat": op3_chat, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination, "op8_embeddings": op8_embeddings, "op9_urls": op9_urls, "op10_warc": op10_warc}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -198,6 +205,15 @@ cuts AS (
 cut AS (SELECT coalesce((SELECT score FROM cuts WHERE rate IS NOT NULL ORDER BY rate DESC, score LIMIT 1), 0) AS cut)
 SELECT page_id, host, path, rule, coalesce(told, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
 FROM own LEFT JOIN scored USING (text), cut
+""",
+    "op10_warc": f"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+head AS (SELECT sha, max(page_id) AS head FROM page GROUP BY sha)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (CAST('0x' || substr(sha, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < head THEN head END AS refers_to
+FROM page JOIN head USING (sha)
 """,
     "op5_mixing": f"""
 WITH doc AS (
