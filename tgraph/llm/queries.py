@@ -201,8 +201,8 @@ scored AS (SELECT text, CAST(round(avg(ratio) * 1000) AS BIGINT) AS score FROM a
 by_score AS (
   SELECT score, sum((a >= r)::INT) AS a, sum((a < r)::INT) AS r FROM scored JOIN texts USING (text) WHERE checks AND a + r > 0 GROUP BY score),
 cuts AS (
-  SELECT score, round(1 - (sum(a) OVER (ORDER BY score) - a) / sum(a) OVER () + (sum(r) OVER (ORDER BY score) - r) / sum(r) OVER (), 9) AS rate FROM by_score),
-cut AS (SELECT coalesce((SELECT score FROM cuts WHERE rate IS NOT NULL ORDER BY rate DESC, score LIMIT 1), 0) AS cut)
+  SELECT score, (score + coalesce(lag(score) OVER (ORDER BY score), score)) / 2 AS cut, round(1 - (sum(a) OVER (ORDER BY score) - a) / sum(a) OVER () + (sum(r) OVER (ORDER BY score) - r) / sum(r) OVER (), 9) AS rate FROM by_score),
+cut AS (SELECT coalesce((SELECT cut FROM cuts WHERE rate IS NOT NULL ORDER BY rate DESC, score LIMIT 1), 0) AS cut)
 SELECT page_id, host, path, rule, coalesce(told, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
 FROM own LEFT JOIN scored USING (text), cut
 """,

@@ -82,17 +82,19 @@ def log_ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 def threshold(scores: DataFrame) -> float:
     """The score, of (score, accepted), from which on the mean of both classes' hit rates is best.
 
-    Scores are whole thousandths, so the table of cuts is small whatever the
-    number of rows. Of equal cuts the least is taken; 0 if a class is missing.
+    It lies halfway between the best cut and the next score below. Scores are
+    whole thousandths, so the table of cuts is small whatever the number of rows.
+    Of equal cuts the least is taken; 0 if a class is missing.
     """
     by = scores.groupBy("score").agg(F.sum(F.col("accepted").cast("int")).alias("a"), F.sum((~F.col("accepted")).cast("int")).alias("r"))
     total = by.agg(F.sum("a"), F.sum("r")).first()
     if not total[0] or not total[1]:
         return 0.0
     cuts = by.alias("c").join(F.broadcast(by.alias("x")), F.col("x.score") < F.col("c.score"), "left").groupBy("c.score", "c.a", "c.r")
-    cuts = cuts.agg(F.coalesce(F.sum("x.a"), F.lit(0)).alias("lost"), F.coalesce(F.sum("x.r"), F.lit(0)).alias("out"))
+    below = F.coalesce(F.max("x.score"), F.col("c.score"))
+    cuts = cuts.agg(F.coalesce(F.sum("x.a"), F.lit(0)).alias("lost"), F.coalesce(F.sum("x.r"), F.lit(0)).alias("out"), ((F.col("c.score") + below) / 2).alias("cut"))
     rate = F.round((1 - F.col("lost") / total[0]) + F.col("out") / total[1], 9)
-    return cuts.select("score", rate.alias("rate")).orderBy(F.desc("rate"), "score").first()[0]
+    return cuts.select("cut", rate.alias("rate"), "score").orderBy(F.desc("rate"), "score").first()[0]
 
 
 def calibration(text: Column) -> Column:
