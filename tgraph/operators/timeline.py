@@ -295,6 +295,6 @@ def _check_size(size: int) -> None:
 
 
 def _div(c: Column, size: int) -> Column:
-    """Floor division of longs; exact while the quotient fits a double."""
+    """Floor division of longs, in whole numbers throughout."""
     d = F.lit(size).cast("bigint")
-    return ((c - F.pmod(c, d)) / d).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, d), d)

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from tgraph.operators.ordering import global_position
 from tgraph.operators.report import RESULT_SCHEMA
-from tgraph.operators.structure import check_columns
+from tgraph.operators.structure import canonical, check_columns, drop_self_loops, flip, reindex_nodes
+from tgraph.operators.timeline import continued_snapshots
 from tgraph.plans.graph import TemporalGraph
 
-MAX_FEATURES = 10_000
-
 EDGE_TABLES = ("edge_types", "edge_labels", "edge_features_num", "edge_features_cat", "edge_features_str")
 NODE_TABLES = (
     "node_types", "node_labels", "node_timestamps", "node_features_num", "node_features_cat", "node_features_str",
@@ -23,15 +22,14 @@ NODE_TABLES = (
 def pivot_features(df: DataFrame, id_col: str, kind: str, prefix: str = "feat_") -> DataFrame:
     """Long (id, feature_id, value) to one column per feature; others pass.
 
-    Columns are named ``<prefix><feature_id>_<kind>``.
+    Columns are named ``<prefix><feature_id>_<kind>``; one per feature, so their
+    number is that of the table's features. Of repeated values the largest counts.
     """
     if not {id_col, "feature_id", "value"} <= set(df.columns):
         return df
-    ids = [r[0] for r in df.select("feature_id").distinct().limit(MAX_FEATURES + 1).collect()]
-    if len(ids) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features; keep them in long form")
-    ids.sort()
-    wide = df.groupBy(id_col).pivot("feature_id", ids).agg(F.first("value", ignorenulls=True))
+    ids = sorted(r[0] for r in df.select("feature_id").distinct().collect())
+    # the largest of repeated values, so that a rerun gives the same table
+    wide = df.groupBy(id_col).pivot("feature_id", ids).agg(F.max("value"))
     return wide.select(id_col, *[F.col(f"`{i}`").alias(f"{prefix}{i}_{kind}") for i in ids])
 
 
@@ -110,6 +108,73 @@ def load_custom_dataset(
     return TemporalGraph(placed.drop("_o", "_h"))
 
 
+def load_flipped(
+    spark: SparkSession, directory: str, size: int, src: str = "src", tgt: str = "tgt", t: str = "t", label: str = "label"
+) -> TemporalGraph:
+    """train.csv and test.csv whose label 1 means normal, ready for snapshots.
+
+    Labels are flipped, both files get one numbering of nodes 0..N-1 in the order
+    of their ids, and rows are cut into snapshots of ``size`` that do not cross
+    from train to test.
+    """
+    graph = load_custom_dataset(spark, directory, src, tgt, t, label)
+    edges = graph.edges.withColumn("label", flip("label"))
+    edges = reindex_nodes(edges)[0]
+    edges = continued_snapshots(edges, size, pos="edge_id")
+    return graph.with_edges(edges)
+
+
+def preprocess(edges: DataFrame, undirected: bool = True) -> DataFrame:
+    """Parsed edges (src, tgt, t, ...) made canonical: no self-loops, smaller id
+    first, the earliest of repeated pairs, nodes numbered 0..N-1, in time order
+    with ``edge_id`` as the position."""
+    kept = drop_self_loops(edges)
+    kept = canonical(kept) if undirected else kept
+    key = F.xxhash64(*kept.columns)
+    placed = global_position(kept.withColumn("_h", key), ["t", "src", "tgt", "_h"], "_p").drop("_h")
+    first = placed.groupBy("src", "tgt").agg(F.min("_p").alias("_p"))
+    kept = reindex_nodes(placed.join(first, ["src", "tgt", "_p"]))[0]
+    return global_position(kept, ["_p"], "edge_id").drop("_p")
+
+
+PROVENANCE = (
+    "event_id string, src string, tgt string, kind string, t bigint, size bigint, host string, process string, path string, "
+    "sequence bigint, label int, weight double, note string, extra1 string, extra2 string"
+)
+PROVENANCE_COLUMNS = "event_id src tgt kind t size host process path sequence label weight".split()
+
+
+def read_provenance(spark: SparkSession, edges: str, nodes: str) -> TemporalGraph:
+    """Provenance tables: 12 of 15 edge columns, and nodes with attributes.
+
+    Node attributes are categorical (``type``) and text (``name``, ``command``).
+    Ids are texts; they are numbered in their order, and edges keep the time order.
+    """
+    e = spark.read.schema(PROVENANCE).csv(edges, header=True).select(*PROVENANCE_COLUMNS)
+    n = spark.read.schema("uuid string, type string, name string, command string").csv(nodes, header=True)
+    ids = n.select("uuid").unionByName(e.select(F.col("src").alias("uuid"))).unionByName(e.select(F.col("tgt").alias("uuid"))).distinct()
+    ids = global_position(ids, ["uuid"], "node_id")
+    for end in ("src", "tgt"):
+        own = ids.select(F.col("uuid").alias(end), F.col("node_id").alias(f"_{end}"))
+        e = e.join(own, end).drop(end).withColumnRenamed(f"_{end}", end)
+    placed = global_position(e, ["t", "sequence", "event_id"], "edge_id")
+    return TemporalGraph(placed, ids.join(n, "uuid", "left"))
+
+
+def assemble_arrays(features: DataFrame, labels: DataFrame, times: DataFrame, edges: DataFrame) -> TemporalGraph:
+    """A bundle of arrays as tables: node features (node_id, x), labels (node_id,
+    label) and times (node_id, timestamp), and edges (edge_id, src, tgt, edge_type).
+
+    An edge's time is the later of its ends' times.
+    """
+    nodes = features.join(labels, "node_id", "left").join(times, "node_id", "left")
+    for end in ("src", "tgt"):
+        own = times.select(F.col("node_id").alias(end), F.col("timestamp").alias(f"_{end}"))
+        edges = edges.join(own, end, "left")
+    edges = edges.withColumn("t", F.greatest("_src", "_tgt")).drop("_src", "_tgt")
+    return TemporalGraph(edges, nodes)
+
+
 def read_edge_list(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -194,15 +259,16 @@ def read_benchmarks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Per-run array files as rows; the file is named method__dataset.json."""
+def read_sidecars(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Per-run array files as rows; the file is named method__dataset.json, or
+    holds lines with that name as ``slug``."""
     schema = (
         "per_snapshot_latency_ms array<double>, per_snapshot_edges array<bigint>, "
         "per_snapshot_mean_degree array<double>, per_snapshot_span_sec array<double>"
     )
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(schema + ", slug string").option("multiLine", multi_line).json(path)
     slug = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    df = df.withColumn("slug", slug)
+    df = df.withColumn("slug", F.coalesce("slug", slug))
     parts = F.split("slug", "__")
     zipped = F.arrays_zip(
         "per_snapshot_latency_ms", "per_snapshot_edges", "per_snapshot_mean_degree", "per_snapshot_span_sec"

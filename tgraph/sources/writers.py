@@ -129,6 +129,19 @@ def write_benchmark(results: DataFrame, path: str) -> None:
     results.coalesce(1).write.mode("overwrite").json(f"{path}/json")
 
 
+def write_sidecars(rows: DataFrame, path: str, by: str = "run") -> None:
+    """One JSON object per run with its arrays in the order of ``seq``.
+
+    ``rows`` has (run, seq, latency_ms, num_edges, mean_degree, span); a run's
+    arrays are one value by the format.
+    """
+    item = F.struct("seq", "latency_ms", "num_edges", "mean_degree", "span")
+    packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    names = {"per_snapshot_latency_ms": "latency_ms", "per_snapshot_edges": "num_edges", "per_snapshot_mean_degree": "mean_degree", "per_snapshot_span_sec": "span"}
+    out = packed.select(F.col(by).alias("slug"), *[F.col(f"l.{c}").alias(n) for n, c in names.items()])
+    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def pack_graph(graph: TemporalGraph, prefix: str = "feat") -> TemporalGraph:
     """Core columns with all feature columns packed into one array ``msg``.
 
