@@ -195,34 +195,42 @@ def ppr_sql(terms):
         "nw AS (SELECT dw.snapshot_id, dw.node, nbr, w / sqrt(a.r * b.r) AS w FROM dw JOIN ro a ON a.snapshot_id = dw.snapshot_id AND a.node = dw.node JOIN ro b ON b.snapshot_id = dw.snapshot_id AND b.node = nbr)",
         "k0 AS (SELECT DISTINCT snapshot_id, node AS root, node, 0.15::DOUBLE AS m FROM adj)",
     ]
-    for i in range(terms):
-        steps.append(f"k{i + 1} AS (SELECT k.snapshot_id, root, nbr AS node, sum(m * w) * 0.85::DOUBLE AS m FROM k{i} k JOIN nw ON nw.snapshot_id = k.snapshot_id AND nw.node = k.node GROUP BY 1, 2, 3)")
-    union = " UNION ALL ".join(f"SELECT * FROM k{i + 1}" for i in range(terms))
-    steps.append(f"ms AS (SELECT snapshot_id, root, node, sum(m) AS m FROM ({union}) WHERE root <> node GROUP BY 1, 2, 3)")
+    steps.append(
+        "ks AS (SELECT 0 AS n, * FROM k0 UNION ALL SELECT n + 1, k.snapshot_id, root, nbr AS node, sum(m * w) * 0.85::DOUBLE AS m"
+        f" FROM ks k JOIN nw ON nw.snapshot_id = k.snapshot_id AND nw.node = k.node WHERE n < {terms} GROUP BY 1, 2, 3, 4)"
+    )
+    steps.append("ms AS (SELECT snapshot_id, root, node, sum(m) AS m FROM ks WHERE n > 0 AND root <> node GROUP BY 1, 2, 3)")
     steps.append("pr AS (SELECT snapshot_id, root, node, m / sum(m) OVER (PARTITION BY snapshot_id, root) AS p FROM ms)")
     return ",\n".join(steps)
 
 
-def ppr(spark, sf, terms):
+def ppr(spark, sf):
     e = snaps(spark, sf)
     roots = e.select("snapshot_id", F.explode(F.array("src", "tgt")).alias("root")).distinct()
-    return e, px.proximity(px.directed_weights(e), roots, terms=terms)
+    return e, px.proximity(px.directed_weights(e), roots)
+
+
+# 0.85^TERMS is far below what is rounded away
+TERMS = 180
 
 
-@query("ppr", f"WITH {ADJ}, {ppr_sql(5)} SELECT snapshot_id, root, node, round(p, 8) AS p FROM pr")
+@query("ppr", f"WITH RECURSIVE {ADJ}, {ppr_sql(TERMS)} SELECT snapshot_id, root, node, round(p, 8) AS p FROM pr")
 def ppr_rows(spark, sf):
-    return rounded(ppr(spark, sf, 5)[1], 8)
+    return rounded(ppr(spark, sf)[1], 8)
 
 
 CONTEXT = f"""
-WITH RECURSIVE {ADJ}, {ppr_sql(3)},
+WITH RECURSIVE {ADJ}, {ppr_sql(TERMS)},
 vw AS (SELECT edge_pos, snapshot_id - o AS s, o AS lookback, src, tgt FROM sn, range(0, 2) r(o) WHERE snapshot_id >= 1),
 ee AS (SELECT edge_pos, lookback, s, src, tgt, src AS root FROM vw UNION ALL SELECT edge_pos, lookback, s, src, tgt, tgt FROM vw),
 ne AS (SELECT edge_pos, lookback, s, ee.src, ee.tgt, pr.node, round(sum(p), 9) AS p FROM ee JOIN pr ON pr.snapshot_id = ee.s AND pr.root = ee.root WHERE pr.node <> ee.src AND pr.node <> ee.tgt GROUP BY 1, 2, 3, 4, 5, 6),
 tp AS (SELECT edge_pos, lookback, s, node, row_number() OVER (PARTITION BY edge_pos, lookback ORDER BY p DESC, node) AS rank FROM ne),
 mb AS (SELECT edge_pos, lookback, s, root AS node, 0 AS rank FROM ee UNION ALL SELECT edge_pos, lookback, s, node, rank FROM tp WHERE rank <= 3),
-bf AS (SELECT DISTINCT snapshot_id, node AS root, node, 0 AS d FROM adj UNION SELECT b.snapshot_id, root, nbr, d + 1 FROM bf b JOIN adj a ON a.snapshot_id = b.snapshot_id AND a.node = b.node WHERE d < 3),
-bm AS (SELECT snapshot_id, root, node, min(d) AS d FROM bf GROUP BY 1, 2, 3
+bf(snapshot_id, root, node, d) USING KEY (snapshot_id, root, node) AS (
+  SELECT DISTINCT snapshot_id, node, node, 0 FROM adj
+  UNION SELECT DISTINCT b.snapshot_id, b.root, a.nbr, b.d + 1 FROM bf b JOIN adj a ON a.snapshot_id = b.snapshot_id AND a.node = b.node
+    LEFT JOIN recurring.bf r ON r.snapshot_id = b.snapshot_id AND r.root = b.root AND r.node = a.nbr WHERE r.d IS NULL),
+bm AS (SELECT snapshot_id, root, node, d FROM bf
        UNION ALL SELECT DISTINCT ee.s, ee.root, ee.root, 0 FROM ee WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.snapshot_id = ee.s AND adj.node = ee.root)),
 cx AS (SELECT mb.edge_pos, mb.lookback, rank, mb.node, coalesce(min(d), 99) AS hop FROM mb JOIN ee ON ee.edge_pos = mb.edge_pos AND ee.lookback = mb.lookback LEFT JOIN bm ON bm.snapshot_id = mb.s AND bm.root = ee.root AND bm.node = mb.node GROUP BY 1, 2, 3, 4)
 """
@@ -231,8 +239,8 @@ cx AS (SELECT mb.edge_pos, mb.lookback, rank, mb.node, coalesce(min(d), 99) AS h
 @query("edge_context", CONTEXT + """
 SELECT edge_pos, CAST(lookback AS INTEGER) AS lookback, CAST(rank AS BIGINT) AS rank, node, CAST(hop AS INTEGER) AS hop FROM cx""")
 def edge_context(spark, sf):
-    e, p = ppr(spark, sf, 3)
-    return px.edge_context(e, p, 3, 2, 3)
+    e, p = ppr(spark, sf)
+    return px.edge_context(e, p, 3, 2)
 
 
 @query("context_arrays", CONTEXT + """

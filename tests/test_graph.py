@@ -41,7 +41,7 @@ def test_two_triangles(graph):
     row = gs.snapshot_properties(e).first()
     assert row["components"] == 1 and row["num_edges"] == 7
     assert row["transitivity"] == pytest.approx(6 / 10)
-    labels = {r["node_id"]: r["cluster"] for r in gs.label_propagation(gs.symmetric_adjacency(e), 4).collect()}
+    labels = {r["node_id"]: r["cluster"] for r in gs.label_propagation(gs.symmetric_adjacency(e)).collect()}
     assert labels[0] == labels[1] == labels[2] and labels[3] == labels[4] == labels[5]
     assert labels[0] != labels[3]
 
@@ -145,7 +145,7 @@ def test_proximity_matches_inverse(graph):
     full = full / np.where(full.sum(1, keepdims=True) > 0, full.sum(1, keepdims=True), 1)
     roots = e.select("snapshot_id", F.explode(F.array("src", "tgt")).alias("root")).distinct()
     got = np.zeros((9, 9))
-    for x in px.proximity(px.directed_weights(e), roots, terms=60).collect():
+    for x in px.proximity(px.directed_weights(e), roots).collect():
         got[x["root"], x["node"]] = x["p"]
     assert np.abs(got - full).max() < 1e-3
 

@@ -139,7 +139,7 @@ def estimate_diameter(adj: DataFrame, num_nodes: int, sources: int = 500, seed:
     return 5.0 if value is None else float(value)
 
 
-def components(adj: DataFrame, on: tuple[str, ...] = (), max_rounds: int = 100) -> DataFrame:
+def components(adj: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """Smallest node id of each node's connected component.
 
     Labels take the minimum over neighbours, then jump to that label's own
@@ -149,7 +149,7 @@ def components(adj: DataFrame, on: tuple[str, ...] = (), max_rounds: int = 100)
     labels = materialize(
         links.groupBy(*on, "node").agg(F.least(F.min("nbr"), F.col("node")).alias("label")), "labels"
     )
-    for _ in range(max_rounds):
+    while True:
         theirs = labels.select(*on, F.col("node").alias("nbr"), F.col("label").alias("l2"))
         near = links.join(theirs, [*on, "nbr"]).groupBy(*on, "node").agg(F.min("l2").alias("l2"))
         jump = labels.select(*on, F.col("node").alias("l2"), F.col("label").alias("l3"))
@@ -161,17 +161,24 @@ def components(adj: DataFrame, on: tuple[str, ...] = (), max_rounds: int = 100)
         labels = step.select(*on, "node", "label")
         if step.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def label_propagation(adj: DataFrame, rounds: int = 5) -> DataFrame:
-    """Communities: each node takes its neighbours' heaviest label.
+def label_propagation(adj: DataFrame) -> DataFrame:
+    """Communities: each node takes its neighbours' heaviest label, until labels settle.
 
-    A node counts its own label once; ties go to the smaller label.
+    A node counts its own label once; ties go to the smaller label. All nodes
+    change at once, so labels can end in a cycle (of two rounds, as weights are
+    symmetric); each node then keeps the smallest label it has in it.
     """
     links = adj.select("node", "nbr", "w")
-    labels = links.select("node").distinct().withColumn("cluster", F.col("node"))
-    for _ in range(rounds):
+    labels = materialize(links.select("node").distinct().withColumn("cluster", F.col("node")), "communities")
+    rounds, seen = [], {}
+    while True:
+        digest = labels.agg(F.sum(F.xxhash64("node", "cluster").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("cluster", "node"))).first()
+        if tuple(digest) in seen:
+            break
+        seen[tuple(digest)] = len(rounds)
+        rounds.append(labels)
         votes = links.join(
             labels.select(F.col("node").alias("nbr"), "cluster"), "nbr"
         ).select("node", "cluster", "w")
@@ -179,7 +186,10 @@ def label_propagation(adj: DataFrame, rounds: int = 5) -> DataFrame:
         tally = votes.groupBy("node", "cluster").agg(F.sum("w").alias("w"))
         best = F.max_by("cluster", F.struct(F.col("w"), -F.col("cluster")))
         labels = materialize(tally.groupBy("node").agg(best.alias("cluster")), "communities")
-    return labels.withColumnRenamed("node", "node_id")
+    cycle = rounds[seen[tuple(digest)] :]
+    for other in cycle[1:]:
+        labels = labels.unionByName(other)
+    return labels.groupBy(F.col("node").alias("node_id")).agg(F.min("cluster").alias("cluster"))
 
 
 def triangles(adj: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:

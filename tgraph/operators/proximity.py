@@ -24,27 +24,31 @@ def directed_weights(edges: DataFrame, on: str = "snapshot_id") -> DataFrame:
 
 
 def proximity(
-    weights: DataFrame, roots: DataFrame, c: float = 0.15, terms: int = 30, floor: float = 0.0, on: str = "snapshot_id"
+    weights: DataFrame, roots: DataFrame, c: float = 0.15, tolerance: float = 1e-12, floor: float = 0.0, on: str = "snapshot_id"
 ) -> DataFrame:
     """Rows of ``c (I - (1-c) A)^-1`` for the given roots, as a power series.
 
-    Zero diagonal, each row scaled to sum 1.  Mass left after n terms is below
-    (1-c)^n; entries of a term below ``floor`` are dropped.
+    Zero diagonal, each row scaled to sum 1. Terms are added until none has an
+    entry above ``tolerance``; entries of a term up to ``floor`` are dropped.
     """
     step = materialize(weights, "weights")
     x = roots.select(on, "root", F.col("root").alias("node"), F.lit(c).alias("m"))
-    total, term = None, x
-    for i in range(terms):
+    total, term, n = None, x, 0
+    while True:
         moved = term.join(step, [on, "node"]).groupBy(on, "root", F.col("nbr").alias("_n")).agg(
             (F.sum(F.col("m") * F.col("w")) * F.lit(1.0 - c)).alias("m")
         )
         term = materialize(
             moved.filter(F.col("m") > floor).select(on, "root", F.col("_n").alias("node"), "m"), "term"
         )
-        if term.isEmpty():
+        largest = term.agg(F.max("m").alias("m")).first()["m"]
+        if largest is None:
             break
         total = term if total is None else total.unionByName(term)
-        if i % 8 == 7:
+        if largest <= tolerance:
+            break
+        n += 1
+        if n % 8 == 0:
             total = materialize(total.groupBy(on, "root", "node").agg(F.sum("m").alias("m")), "mass")
     if total is None:
         return x.filter(F.lit(False)).select(on, "root", "node", F.col("m").alias("p"))
