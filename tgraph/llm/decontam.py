@@ -18,13 +18,15 @@ from tgraph.session import materialize
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20  # a benchmark side is broadcast only if it was counted to be smaller
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS_SQL = (
+    "array_remove(split(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), '')"
+)
 
 
-def words(text: Column) -> Column:
-    """Runs of 0-9, A-Z (lower-cased) and non-ASCII characters; null has none."""
-    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+def words(text: str) -> Column:
+    """Runs of 0-9, A-Z (lower-cased) and non-ASCII characters of a text column; null has none."""
+    return F.expr(_WORDS_SQL.format(text=f"cast(`{text}` as string)"))
 
 
 def _small(df: DataFrame, text: str) -> DataFrame:
@@ -77,18 +79,26 @@ def find(docs: DataFrame, prefix: DataFrame) -> DataFrame:
     return met.groupBy("doc_key").agg(F.collect_list(F.struct("item_id", "start", "first", "last", "size", "slice")).alias("hits"))
 
 
-# The begins of the windows of an alignment that the document holds.
-_BEGINS = """
-transform(_hits, h -> struct(h.item_id as item_id, h.size as size, filter(
+# One expression, so that no part is evaluated once for each use: ``w`` are the
+# document's words, ``begins`` of an alignment those of its windows that occur.
+_FOUND = """
+transform(array({words}), w -> struct(size(w) as n, filter(transform(_hits, h -> struct(h.item_id as item_id, h.size as size, h.start as start, filter(
     sequence(greatest(h.first, -h.start), greatest(h.last, -h.start)),
-    s -> s <= h.last and slice(_words, h.start + s + 1, h.size) = slice(h.slice, s - h.first + 1, h.size)) as begins, h.start as start))
+    s -> s <= h.last and slice(w, h.start + s + 1, h.size) = slice(h.slice, s - h.first + 1, h.size)) as begins)), h -> size(h.begins) > 0) as found))
 """
 
-# Number of places covered by sorted [begin, end) pairs.
-_COVERED = """
-aggregate(array_sort(flatten(transform(_found, h -> transform(h.begins, s -> struct(h.start + s as b, h.start + s + h.size as e))))),
-    struct(0 as n, 0 as upto),
-    (acc, x) -> struct(acc.n + greatest(x.e - greatest(x.b, acc.upto), 0) as n, greatest(x.e, acc.upto) as upto)).n
+# Places covered by the sorted [begin, end) pairs of the windows, and the items' ids.
+_COUNTED = f"""
+transform({_FOUND}, f -> struct(f.n as n,
+    coalesce(aggregate(array_sort(flatten(transform(f.found, h -> transform(h.begins, s -> struct(h.start + s as b, h.start + s + h.size as e))))),
+        struct(0 as n, 0 as upto),
+        (acc, x) -> struct(acc.n + greatest(x.e - greatest(x.b, acc.upto), 0) as n, greatest(x.e, acc.upto) as upto)).n, 0) as hit,
+    coalesce(array_sort(array_distinct(transform(f.found, h -> h.item_id))), cast(array() as array<string>)) as ids))
+"""
+
+_VERDICT = f"""
+transform({_COUNTED}, c -> struct(cast(c.n as bigint) as n_words, cast(c.hit as bigint) as n_hit, cast(size(c.ids) as bigint) as n_items,
+    sha2(array_join(c.ids, ','), 256) as items_sha256, c.hit > 0 as contaminated))[0]
 """
 
 
@@ -110,16 +120,9 @@ def contamination(
     docs = docs.drop("_contamination")
     # rows of equal id and text share a key; alignments are compared with each row's own words
     own = docs.withColumn("_key", F.xxhash64(id_col, text_col))
-    held = own.select(F.col("_key").alias("doc_key"), words(F.col(text_col)).alias("words"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(text_col)).alias("words"))
+    held = own.select(F.col("_key").alias("doc_key"), words(text_col).alias("words"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(text_col).alias("words"))
     items = items.where("item_id is not null and size(words) > 0").distinct().withColumn("item_key", F.xxhash64("item_id", "words"))
     hits = find(held, prefixes(held, materialize(items, "items"), window)).select(F.col("doc_key").alias("_of"), F.col("hits").alias("_hits"))
-    rows = own.join(hits, F.col("_key") == F.col("_of"), "left").withColumn("_words", words(F.col(text_col)))
-    rows = rows.withColumn("_found", F.filter(F.expr(_BEGINS), lambda h: F.size(h["begins"]) > 0))
-    ids = F.coalesce(F.array_sort(F.array_distinct(F.col("_found.item_id"))), F.array().cast("array<string>"))
-    rows = rows.select(*docs.columns, F.size("_words").cast("bigint").alias("_n"), F.coalesce(F.expr(_COVERED), F.lit(0)).cast("bigint").alias("_hit"), ids.alias("_ids"))
-    verdict = F.struct(
-        F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.size("_ids").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("_ids", ","), 256).alias("items_sha256"), (F.col("_hit") > 0).alias("contaminated"),
-    )
-    return rows.select(*docs.columns, verdict.alias("_contamination"))
+    rows = own.join(hits, F.col("_key") == F.col("_of"), "left").withColumn("_text", F.col(text_col).cast("string"))
+    return rows.select(*docs.columns, F.expr(_VERDICT.format(words=_WORDS_SQL.format(text="_text"))).alias("_contamination"))

@@ -170,7 +170,7 @@ def learn(rows: DataFrame) -> Model:
 def word_scores(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and scores (word, language) of the words of a lower-cased text."""
     starts, ends, scores = [], [], []
-    for offset, piece in _pieces(text):
+    for offset, piece in _pieces(text) if model.langs else ():
         letters = Letters(piece)
         if not len(letters.at):
             continue
