@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.registry import register
 from catalog.sql import BIP, BIP_S, UG, UG_S, pick, u01
 from tgraph.operators import structure as st
 from tgraph.operators import timeline as tl
@@ -11,18 +12,7 @@ from tgraph.operators.metrics import average_precision, roc_auc
 from tgraph.operators.ordering import global_position, shifted
 from tgraph.plans import base
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = register()
 
 
 def raw_links(spark, sf):

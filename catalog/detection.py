@@ -4,22 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.registry import register
 from catalog.sql import SCORED
 from tgraph.operators import metrics as m
 from tgraph.plans import base
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = register()
 
 
 def rounded(df, digits=9):

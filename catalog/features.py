@@ -6,23 +6,13 @@ from pyspark.sql import functions as F
 
 from catalog.detection import rounded
 from catalog.injection import SNAP, num_nodes, snaps, with_msg
+from catalog.registry import register
 from catalog.sql import BIP, UG, UG_S, pick, u01
 from tgraph.operators import graphstats as gs
 from tgraph.operators import neighbors as nb
 from tgraph.plans import base
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = register()
 
 
 INC = UG + """,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.detection import rounded
 from catalog.features import ADJ, GADJ, INC
 from catalog.injection import N2, NN, num_nodes, snaps, unseen_sql
+from catalog.registry import register
 from catalog.sql import BIP, UG, UG_S, pick, u01
 from tgraph.functions import scores as sc
 from tgraph.operators import graphstats as gs
@@ -19,22 +20,11 @@ from tgraph.operators import walks as wk
 from tgraph.operators.ordering import group_position
 from tgraph.plans import base
 
-QUERIES = {}
-ORACLE = {}
+QUERIES, ORACLE, query = register()
 
 ON = ("snapshot_id",)
 
 
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
-
-
 def snap_links(spark, sf):
     e = snaps(spark, sf)
     links = e.select(F.col("edge_pos").alias("id"), "snapshot_id", F.col("src").alias("u"), F.col("tgt").alias("v"))

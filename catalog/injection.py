@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.registry import register
 from catalog.sql import BIP_S, UG, UG_S, pick, u01
 from tgraph.operators import inject as ij
 from tgraph.operators import negatives as ng
@@ -11,18 +12,7 @@ from tgraph.operators import timeline as tl
 from tgraph.operators.sampling import observed_pairs, pair_product, product_sample
 from tgraph.plans import base
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = register()
 
 
 def num_nodes(edges):

@@ -4,24 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.registry import register
 from catalog.detection import rounded
 from tgraph.operators import profile as pf
 from tgraph.operators import report as rp
 from tgraph.operators.ordering import global_position
 from tgraph.plans import base
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = register()
 
 
 def cube(spark, sf):

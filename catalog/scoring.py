@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.detection import rounded
 from catalog.graphs import vectors
 from catalog.injection import num_nodes, with_msg
+from catalog.registry import register
 from catalog.sql import BIP, BIP_S, UG
 from tgraph.functions import arrays as ar
 from tgraph.functions import scores as sc
@@ -23,18 +24,7 @@ from tgraph.plans.steps import clean
 from tgraph.sources import readers as rd
 from tgraph.sources import writers as wr
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = register()
 
 
 # --- loading and reshaping ---------------------------------------------------

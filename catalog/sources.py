@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog.registry import register
 from catalog.sql import BIP_S, UG, UG_S
 from tgraph.operators import structure as st
 from tgraph.plans import base
@@ -15,18 +16,7 @@ from tgraph.session import scratch_dir
 from tgraph.sources import readers as rd
 from tgraph.sources import writers as wr
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
+QUERIES, ORACLE, query = register()
 
 
 def folder(spark: SparkSession) -> str:

@@ -6,29 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from catalog.registry import register
 from catalog.sql import BIP_S, UG
 from tgraph.plans import base
 from tgraph.session import scratch_dir
 from tgraph.streaming import operators as op
 from tgraph.streaming import replay as rp
 
-QUERIES = {}
-ORACLE = {}
+QUERIES, ORACLE, query = register()
 
 SLICES = 3
 DAY = 86_400_000_000
 
 
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
-
-
 def edge_stream(spark, edges, closing=False):
     """``edges`` replayed in slices; ``closing`` adds a last edge years later.
 

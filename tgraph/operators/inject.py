@@ -413,17 +413,25 @@ def temporal(
 ) -> DataFrame:
     """n existing pairs at plausible times at which they were not seen.
 
-    Each slot tries several times; a slot whose tries are all taken is filled
-    by the surplus of others, as all slots are alike.
+    As many draws as there are slots are tried four times over, then eight times
+    and so on, until n different ones remain; the first n are kept. If two rounds
+    on end find no more, there are none, which is an error.
     """
-    tries = 4
-    picked = weighted_edges(edges, n * tries, seed).select("slot", "src", "tgt", "msg")
-    timed = plausible_times(picked, deltas, first, last, f"{seed}-t")
-    new = timed.select("slot", "src", "tgt", F.col("new_t").alias("t"), "msg")
-    new = new.join(observed_t, ["src", "tgt", "t"], "left_anti")
-    new = new.groupBy("src", "tgt", "t").agg(F.min_by(F.struct("slot", "msg"), "slot").alias("f"))
-    new = global_position(new.select("f.slot", "src", "tgt", "t", "f.msg"), ["slot"], "_p")
-    return new.filter(F.col("_p") < n).drop("slot").withColumnRenamed("_p", "slot")
+    tries, before, idle = 4, -1, 0
+    while True:
+        picked = weighted_edges(edges, n * tries, seed).select("slot", "src", "tgt", "msg")
+        timed = plausible_times(picked, deltas, first, last, f"{seed}-t")
+        new = timed.select("slot", "src", "tgt", F.col("new_t").alias("t"), "msg")
+        new = new.join(observed_t, ["src", "tgt", "t"], "left_anti")
+        new = new.groupBy("src", "tgt", "t").agg(F.min_by(F.struct("slot", "msg"), "slot").alias("f"))
+        new = global_position(new.select("f.slot", "src", "tgt", "t", "f.msg"), ["slot"], "_p")
+        found = new.count()
+        if found >= n:
+            return new.filter(F.col("_p") < n).drop("slot").withColumnRenamed("_p", "slot")
+        idle = idle + 1 if found == before else 0
+        if idle == 2:
+            raise ValueError(f"only {found} of {n} unseen times can be drawn")
+        before, tries = found, tries * 2
 
 
 def dissimilar_messages(
@@ -507,26 +515,33 @@ def generate(
     return out
 
 
-def nearby_targets(edges: DataFrame, n: int, width: int, seed: object, tries: int = 8) -> DataFrame:
-    """Drawn edges whose target is taken from a row up to ``width`` away.
+def nearby_targets(edges: DataFrame, n: int, width: int, seed: object) -> DataFrame:
+    """n drawn edges whose target is taken from a row up to ``width`` away.
 
-    The first try that gives an unseen ordered pair wins; without one, the
-    last try stays.
+    Of the targets around an edge that its source was never seen with, one is
+    drawn. An edge without such a target is passed over and another drawn in its
+    place; if two rounds on end find no further edge, there are none, an error.
     """
     rows = global_position(edges.select("src", "tgt", "t", "edge_pos"), ["edge_pos"], "_i")
-    last = rows.count() - 1
-    drawn = weighted_edges(edges, n, seed).select("slot", "edge_pos").join(
-        rows.select("edge_pos", "_i", "src", "t"), "edge_pos"
-    )
-    step = pick(2 * width, seed, F.lit("step"), "slot", "try") - width
-    step = F.when(step >= 0, step + 1).otherwise(step)
-    cand = drawn.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    cand = cand.withColumn("_j", F.greatest(F.lit(0), F.least(F.lit(last), F.col("_i") + step)))
-    cand = cand.join(rows.select(F.col("_i").alias("_j"), F.col("tgt").alias("new_tgt")), "_j")
-    seen = edges.select("src", F.col("tgt").alias("new_tgt"), F.lit(1).alias("_seen")).distinct()
-    cand = cand.join(seen, ["src", "new_tgt"], "left")
-    order = F.when(F.col("_seen").isNull(), F.col("try")).otherwise(F.lit(2 * tries) - F.col("try"))
-    return cand.groupBy("slot", "src", "t").agg(F.min_by("new_tgt", order).alias("tgt"))
+    seen = edges.select("src", F.col("tgt").alias("new_tgt")).distinct()
+    steps = F.explode(F.array([F.lit(s) for s in range(-width, width + 1) if s])).alias("_s")
+    draws, before, idle = 2 * n, -1, 0
+    while True:
+        drawn = weighted_edges(edges, draws, seed).select("slot", "edge_pos")
+        drawn = drawn.join(rows.select("edge_pos", "_i", "src", "t"), "edge_pos")
+        cand = drawn.select("*", steps).withColumn("_j", F.col("_i") + F.col("_s"))
+        cand = cand.join(rows.select(F.col("_i").alias("_j"), F.col("tgt").alias("new_tgt")), "_j")
+        cand = cand.filter("src <> new_tgt").join(seen, ["src", "new_tgt"], "left_anti")
+        best = F.min_by("new_tgt", F.struct(u01(seed, F.lit("step"), "slot", "_j"), "_j"))
+        made = cand.groupBy("slot", "src", "t").agg(best.alias("tgt"))
+        made = global_position(made, ["slot"], "_p")
+        found = made.count()
+        if found >= n:
+            return made.filter(F.col("_p") < n).drop("slot").withColumnRenamed("_p", "slot")
+        idle = idle + 1 if found == before else 0
+        if idle == 2:
+            raise ValueError(f"only {found} of {n} edges have an unseen target nearby")
+        before, draws = found, draws * 4
 
 
 # --- test sets without times ---------------------------------------------

@@ -108,17 +108,16 @@ def unseen_pairs(
     draw: Callable[[DataFrame], DataFrame],
     observed: DataFrame,
     ordered: bool = False,
-    rounds: int = 6,
 ) -> DataFrame:
     """The first ``n`` drawn pairs that are new, with their number ``slot``.
 
     ``draw`` turns candidate numbers ``cand`` into columns u, v.  Self-loops,
-    observed pairs and repeats are dropped; the number of candidates doubles
-    until enough remain or ``rounds`` are used up.
+    observed pairs and repeats are dropped; four times as many candidates are
+    drawn until enough remain. If two rounds on end find no further pair, the
+    pairs that can be drawn are used up, which is an error.
     """
-    factor = 2
-    kept = None
-    for _ in range(rounds):
+    factor, before, idle = 2, -1, 0
+    while True:
         cand = draw(spark.range(n * factor + 16).withColumnRenamed("id", "cand"))
         lo = F.col("u") if ordered else F.least("u", "v")
         hi = F.col("v") if ordered else F.greatest("u", "v")
@@ -126,10 +125,13 @@ def unseen_pairs(
         fresh = fresh.join(observed.select("lo", "hi"), ["lo", "hi"], "left_anti")
         first = fresh.groupBy("lo", "hi").agg(F.min_by(F.struct("cand", "u", "v"), "cand").alias("f"))
         kept = global_position(first.select("f.*"), ["cand"], "slot")
-        if kept.filter(F.col("slot") == n - 1).count() == 1:
-            break
-        factor *= 4
-    return kept.filter(F.col("slot") < n)
+        found = kept.count()
+        if found >= n:
+            return kept.filter(F.col("slot") < n)
+        idle = idle + 1 if found == before else 0
+        if idle == 2:
+            raise ValueError(f"only {found} of {n} unseen pairs can be drawn")
+        before, factor = found, factor * 4
 
 
 def non_edges(
