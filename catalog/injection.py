@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import register
-from catalog.sql import BIP_S, UG, UG_S, pick, u01
+from catalog.sql import BIP, BIP_S, UG, UG_S, pick, u01
 from tgraph.operators import inject as ij
 from tgraph.operators import negatives as ng
 from tgraph.operators import timeline as tl
@@ -193,6 +193,51 @@ def inject_mixed(spark, sf):
     )
 
 
+UNSEEN = f"""
+WITH {BIP}, cand AS (SELECT a.edge_pos AS slot, a.src, b.tgt FROM bip a JOIN bip b ON b.edge_pos = a.edge_pos + 7),
+mk AS (SELECT c.*, o.src IS NOT NULL AS seen FROM cand c LEFT JOIN (SELECT DISTINCT src, tgt FROM bip WHERE edge_pos % 3 > 0) o ON o.src = c.src AND o.tgt = c.tgt),
+nw AS (SELECT *, row_number() OVER (ORDER BY {u01('un', "'pick'", 'slot')}, slot) AS rn FROM mk WHERE NOT seen),
+od AS (SELECT *, row_number() OVER (ORDER BY slot) - 1 AS i, count(*) OVER () AS n FROM mk WHERE seen)"""
+
+
+def selected(spark, sf, more, fallbacks):
+    """Each edge's source with the target of the seventh edge after it, as a candidate."""
+    e = base.bip(spark, sf)
+    after = e.select((F.col("edge_pos") - 7).alias("slot"), "tgt")
+    cand = e.select(F.col("edge_pos").alias("slot"), "src").join(after, "slot")
+    seen = e.filter("edge_pos % 3 > 0")
+    n = 500 if more is None else cand.join(seen.select("src", "tgt").distinct(), ["src", "tgt"], "left_anti").count() + more
+    return ij.select_unseen(cand, seen, n, "un", fallbacks=fallbacks).select("slot", "src", "tgt")
+
+
+@query("select_unseen", UNSEEN + " SELECT slot, src, tgt FROM nw WHERE rn <= 500")
+def select_unseen(spark, sf):
+    return selected(spark, sf, None, False)
+
+
+@query("select_fallback", UNSEEN + f"""
+SELECT slot, src, tgt FROM nw
+UNION ALL SELECT od.slot, src, tgt FROM (SELECT {pick('(SELECT max(n) FROM od)', 'un', "'fallback'", 'id')} AS i FROM range(0, 300) r(id)) JOIN od USING (i)""")
+def select_fallback(spark, sf):
+    """300 more than there are unseen candidates: the rest are observed ones."""
+    return selected(spark, sf, 300, True)
+
+
+@query("inject_report", f"""
+WITH {BIP_S}, ra AS (SELECT unnest(['val', 'test', 'train']) AS split, unnest([0.02, 0.05, 0.0]) AS ratio),
+n AS (SELECT split, ratio::DOUBLE AS ratio, CAST(floor((SELECT count(*) FROM bs WHERE bs.split = ra.split) * ratio::DOUBLE) AS BIGINT) AS n FROM ra)
+SELECT split, ratio, n AS requested, n AS generated, (SELECT count(*) FROM bs) + (SELECT sum(n) FROM n)::BIGINT AS total, 0::BIGINT AS out_of_order FROM n""")
+def inject_report(spark, sf):
+    """Structural anomalies in two splits: requested and generated, and the final order."""
+    e = with_msg(base.bip_split(spark, sf)).select("src", "tgt", "t", "edge_pos", "split", "msg")
+    out, report = ij.inject_rows(e, "structural", {"val": 0.02, "test": 0.05, "train": 0.0}, "rep")
+    after = out.select((F.col("edge_pos") - 1).alias("edge_pos"), F.col("t").alias("t2"), F.col("src").alias("s2"))
+    wrong = out.join(after, "edge_pos", "left").agg(
+        F.count("*").alias("total"), F.count_if(F.col("t2").isNotNull() & (F.struct("t", "src") > F.struct(F.col("t2").alias("t"), F.col("s2").alias("src")))).alias("out_of_order")
+    )
+    return report.join(F.broadcast(wrong))
+
+
 @query("nearby_targets")
 def nearby_targets(spark, sf):
     e = base.bip_split(spark, sf).filter(F.col("split") == "test").select("src", "tgt", "t", "edge_pos")

@@ -115,3 +115,29 @@ def test_full_graph_has_no_negatives(spark):
 def test_product_limit(edges):
     with pytest.raises(ValueError):
         pair_product(edges, edges, 10)
+
+
+def test_selection_falls_back(spark):
+    cand = spark.createDataFrame([(i, 1, i) for i in range(10)], "slot bigint, src bigint, tgt bigint")
+    seen = lambda ids: spark.createDataFrame([(1, i) for i in ids], "src bigint, tgt bigint")
+    slots = lambda df: sorted(r["slot"] for r in df.collect())
+    assert len(set(slots(ij.select_unseen(cand, seen(range(4)), 3, "a")))) == 3
+    assert slots(ij.select_unseen(cand, seen(range(4)), 8, "a")) == [4, 5, 6, 7, 8, 9]
+    more = slots(ij.select_unseen(cand, seen(range(4)), 9, "a", fallbacks=True))
+    assert len(more) == 9 and set(more) >= {4, 5, 6, 7, 8, 9} and sum(x < 4 for x in more) == 3
+    again = slots(ij.select_unseen(cand, seen([99]), 14, "a", fallbacks=True))
+    assert len(again) == 14 and set(again) == set(range(10))
+    assert len(set(slots(ij.select_unseen(cand, seen(range(10)), 4, "a", fallbacks=True)))) == 4
+
+
+def test_rows_are_injected_in_order_or_refused(spark):
+    rows = [(i % 7, 10 + (i * 5) % 11, i // 2, i, "test" if i > 30 else "train", [float(i)]) for i in range(60)]
+    edges = spark.createDataFrame(rows, "src bigint, tgt bigint, t bigint, edge_pos bigint, split string, msg array<double>")
+    out, report = ij.inject_rows(edges, "structural", {"test": 0.2, "train": 0.0}, "s")
+    got = out.orderBy("edge_pos").collect()
+    assert [(r["t"], r["src"]) for r in got] == sorted((r["t"], r["src"]) for r in got)
+    assert {r["split"]: (r["requested"], r["generated"]) for r in report.collect()} == {"test": (5, 5), "train": (0, 0)}
+    with pytest.raises(ValueError, match="already"):
+        ij.inject_rows(out, "structural", {"test": 0.2})
+    with pytest.raises(ValueError, match="unseen pairs"):
+        ij.generate(edges.filter("src < 2 and tgt < 13"), "structural", 1.0, "test", "s")

@@ -515,6 +515,64 @@ def generate(
     return out
 
 
+def select_unseen(
+    cand: DataFrame, observed: DataFrame, n: int, seed: object, keys: Sequence[str] = ("src", "tgt"), fallbacks: bool = False
+) -> DataFrame:
+    """n of the candidates (key ``slot``) whose ``keys`` were not observed, drawn by a hash.
+
+    If there are fewer, all of them; with ``fallbacks`` the rest is drawn, with
+    repeats, from the observed candidates, or from the unseen ones if none is
+    observed, and if all are observed n candidates are drawn without repeats.
+    """
+    seen = observed.select(*keys).distinct().withColumn("_seen", F.lit(True))
+    marked = cand.join(seen, list(keys), "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    marked = materialize(marked, "candidates")
+    size = marked.agg(F.count_if(~F.col("_seen")).alias("new"), F.count("*").alias("all")).first()
+    new = marked.filter(~F.col("_seen"))
+    draw = u01(seed, F.lit("pick"), "slot")
+    if size["new"] >= n:
+        return smallest(new, n, draw, ["slot"]).drop("_seen")
+    if not fallbacks:
+        return new.drop("_seen")
+    if size["new"] == 0:
+        return smallest(marked, n, draw, ["slot"]).drop("_seen")
+    spare = marked.filter("_seen") if size["all"] > size["new"] else new
+    count = size["all"] - size["new"] or size["new"]
+    placed = global_position(spare, ["slot"], "_i")
+    extra = cand.sparkSession.range(n - size["new"]).select(pick(count, seed, F.lit("fallback"), "id").alias("_i"))
+    return new.unionByName(extra.join(placed, "_i").drop("_i")).drop("_seen")
+
+
+def inject_rows(
+    edges: DataFrame, kind: str, ratios: Mapping[str, float], seed: object = 0, window: int | float | None = None, metric: str = "cosine"
+) -> tuple[DataFrame, DataFrame]:
+    """Row-wise anomalies in several splits: all edges in order, and a report.
+
+    Edges (src, tgt, t, edge_pos, split, msg) that already hold anomalies are
+    refused. The result is ordered by time and source, normal edges first, then by
+    target and kind; ``edge_pos`` is the new position. The report has one row per
+    split with the requested and the generated number.
+    """
+    if "label" in edges.columns and not edges.filter(F.col("label") == 1).isEmpty():
+        raise ValueError("the edges already hold anomalies")
+    spark, columns = edges.sparkSession, ["src", "tgt", "t", "msg", "split"]
+    counts = {r["split"]: r["count"] for r in edges.groupBy("split").count().collect()}
+    out = edges.select(*columns, F.lit(0).alias("label"), F.lit(None).cast("string").alias("kind"), F.col("edge_pos").alias("_old"))
+    rows = []
+    for split, ratio in ratios.items():
+        if not 0.0 <= ratio <= 1.0:
+            raise ValueError(f"the ratio of '{split}' must be in [0, 1]")
+        requested = int(counts.get(split, 0) * ratio)
+        if requested == 0:
+            rows.append((split, float(ratio), 0, 0))
+            continue
+        made = materialize(generate(edges, kind, ratio, split, f"{seed}-{split}", window, metric), "generated")
+        rows.append((split, float(ratio), requested, made.count()))
+        out = out.unionByName(made.select(*columns, "label", "kind").withColumn("_old", F.lit(None).cast("bigint")))
+    ordered = global_position(out, ["t", "src", "label", "_old", "tgt", "kind"], "edge_pos").drop("_old")
+    return ordered, spark.createDataFrame(rows, "split string, ratio double, requested bigint, generated bigint")
+
+
 def nearby_targets(edges: DataFrame, n: int, width: int, seed: object) -> DataFrame:
     """n drawn edges whose target is taken from a row up to ``width`` away.
 
