@@ -87,6 +87,15 @@ def test_weighted_pick_follows_weights(spark):
     assert abs(got[1] - 2400) < 150 and abs(got[0] - 400) < 90
 
 
+def test_every_draw_hits_one_item(spark):
+    tiny = F.when(F.col("id") % 3 == 0, F.lit(0.0)).when(F.col("id") % 1000 == 1, F.lit(1e6)).otherwise(u01("w", "id") * 1e-9)
+    items = spark.range(60_000).select(F.col("id").alias("k"), tiny.alias("w"))
+    draws = spark.range(60_000).select("id", u01("d", "id").alias("u"))
+    got = weighted_pick(draws, "u", items, "w", ["k"])
+    row = got.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("w").alias("least")).first()
+    assert row["n"] == row["ids"] == 60_000 and row["least"] > 0
+
+
 def test_negatives_are_new(edges):
     e = edges.withColumn("snapshot_id", F.floor(F.col("edge_pos") / 100).cast("bigint"))
     pairs = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tgraph.functions.random import pick
-from tgraph.operators.ordering import global_position, running
+from tgraph.operators.ordering import global_position, running, shifted
 from tgraph.session import materialize, maybe_broadcast
 
 
@@ -74,26 +74,25 @@ def weighted_pick(
     listed in each cell its share touches, so the range test only runs inside
     a cell.  An item with a large share spans many cells and is spread by them.
     """
-    table = running(items, [], list(order), {"_hi": F.col(weight).cast("double")})
-    table = materialize(table, "weighted")
+    placed = global_position(items, list(order), "_pos")
+    table = running(placed, [], ["_pos"], {"_hi": F.col(weight).cast("double")})
+    # an item begins exactly where the one before it ends, so that no draw falls between two or on both
+    table = materialize(shifted(table, "_pos", {"_before": F.col("_hi")}, -1), "weighted")
     row = table.agg(F.max("_hi").alias("t"), F.count("*").alias("n")).first()
     total, cells = row["t"], max(1, row["n"])
     if not total:
         raise ValueError("weights sum to zero")
-    hi = F.col("_hi") / F.lit(total)
-    lo = (F.col("_hi") - F.col(weight).cast("double")) / F.lit(total)
+    # the largest sum is the total, so the last item with a weight ends at 1, which no draw reaches
+    lo, up = (F.coalesce(c, F.lit(0.0)) / F.lit(total) for c in ("_before", "_hi"))
 
     def cell(x: Column) -> Column:
         return F.least(F.floor(x * F.lit(float(cells))).cast("bigint"), F.lit(cells - 1))
 
-    spread = (
-        table.select(*items.columns, lo.alias("_lo"), hi.alias("_up"), F.col("_hi").alias("_cum"))
-        .withColumn("_last", F.col("_cum") == F.lit(total))
-        .withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_up")))))
-    )
-    hit = (F.col(u) >= F.col("_lo")) & ((F.col(u) < F.col("_up")) | F.col("_last"))
+    spread = table.select(*items.columns, lo.alias("_lo"), up.alias("_up")).filter("_lo < _up")
+    spread = spread.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_up")))))
+    hit = (F.col(u) >= F.col("_lo")) & (F.col(u) < F.col("_up"))
     out = draws.withColumn("_cell", cell(F.col(u))).join(spread, "_cell").filter(hit)
-    return out.drop("_cell", "_lo", "_up", "_cum", "_last")
+    return out.drop("_cell", "_lo", "_up")
 
 
 def smallest(df: DataFrame, n: int, draw: Column, key: Sequence[str]) -> DataFrame:
