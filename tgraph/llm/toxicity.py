@@ -1,9 +1,9 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated isotonically.
 
 The lexicon is learnt: words and word beginnings that are far commoner in
-documents labelled toxic. Its counts cover every labelled training row. The
-trees and the calibration are fitted on a hash sample of at most about
-``FIT_ROWS`` labelled training rows; every document is scored on its whole text.
+documents labelled toxic. Lexicon, trees and calibration are fitted on at most
+``FIT_ROWS`` labelled training rows, drawn by a hash of their ids, a part of which
+is kept for the calibration alone; every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tgraph.session import materialize
 
-FIT_ROWS = 20_000  # bound of the labelled sample for trees and calibration
+FIT_ROWS = 30_000  # bound of the labelled sample for lexicon, trees and calibration
 CALIBRATION = 0.25  # its share for the calibration
 CANDIDATES = 50_000  # terms of toxic rows whose other occurrences are counted
 TERMS = 5_000  # terms kept, by weight and support
@@ -186,14 +186,18 @@ def score(
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = own.join(known, "doc_id")
-    sizes = dict(train.groupBy("toxic").count().collect())
+    draw = lambda seed: F.xxhash64(F.col("doc_id"), F.lit(seed))
+    # at most FIT_ROWS short rows, so their documents are found without moving any text
+    chosen = materialize(known.orderBy(draw(1), "doc_id").limit(FIT_ROWS), "chosen")
+    sample = materialize(own.join(F.broadcast(chosen), "doc_id"), "sample")
+    sizes = dict(sample.groupBy("toxic").count().collect())
     total = sum(sizes.values())
-    lexicon = learn_lexicon(train.select("text", "toxic"), sizes)
-    draw = lambda seed: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    sample = train.where(draw(1) < min(1.0, FIT_ROWS / max(total, 1))).select("doc_id", "toxic", features(F.col("text"), lexicon).alias("dense"))
-    sample = materialize(sample, "sample").repartition(6).withColumn("features", array_to_vector("dense"))
-    fit, check = sample.where(draw(2) >= CALIBRATION), sample.where(draw(2) < CALIBRATION)
+    checks = F.pmod(draw(2), F.lit(100)) < int(100 * CALIBRATION)
+    learnt = sample.where(~checks)
+    lexicon = learn_lexicon(learnt.select("text", "toxic"), dict(learnt.groupBy("toxic").count().collect()))
+    dense_rows = sample.select("doc_id", "toxic", features(F.col("text"), lexicon).alias("dense"))
+    dense_rows = materialize(dense_rows, "dense").withColumn("features", array_to_vector("dense"))
+    fit, check = dense_rows.where(~checks), dense_rows.where(checks)
     if any(part.select("toxic").distinct().count() < 2 for part in (fit, check)):
         scored = docs.withColumn("_score", F.lit((sizes.get(1, 0) + 1) / (total + 2)))
     else:
