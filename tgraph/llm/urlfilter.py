@@ -9,7 +9,7 @@ a threshold calibrated on a held-out quarter of the URLs that rules judged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tgraph.session import materialize
@@ -90,11 +90,14 @@ def threshold(scores: DataFrame) -> float:
     total = by.agg(F.sum("a"), F.sum("r")).first()
     if not total[0] or not total[1]:
         return 0.0
-    cuts = by.alias("c").join(F.broadcast(by.alias("x")), F.col("x.score") < F.col("c.score"), "left").groupBy("c.score", "c.a", "c.r")
-    below = F.coalesce(F.max("x.score"), F.col("c.score"))
-    cuts = cuts.agg(F.coalesce(F.sum("x.a"), F.lit(0)).alias("lost"), F.coalesce(F.sum("x.r"), F.lit(0)).alias("out"), ((F.col("c.score") + below) / 2).alias("cut"))
-    rate = F.round((1 - F.col("lost") / total[0]) + F.col("out") / total[1], 9)
-    return cuts.select("cut", rate.alias("rate"), "score").orderBy(F.desc("rate"), "score").first()[0]
+    # one small row per thousandth, so one task may run over them in order
+    order = Window.orderBy("score")
+    lower = order.rowsBetween(Window.unboundedPreceding, -1)
+    lost, out = (F.coalesce(F.sum(c).over(lower), F.lit(0)) for c in ("a", "r"))
+    below = F.coalesce(F.lag("score").over(order), F.col("score"))
+    rate = F.round((1 - lost / total[0]) + out / total[1], 9)
+    cuts = by.select(((F.col("score") + below) / 2).alias("cut"), rate.alias("rate"), "score")
+    return cuts.orderBy(F.desc("rate"), "score").first()[0]
 
 
 def calibration(text: Column) -> Column:
