@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,14 +117,12 @@ def _pieces(text: str) -> Iterator[tuple[int, str]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, bucket, n); buckets below 0 count the letters of a script."""
     for batch in batches:
-        by_lang: dict[str, list[str]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            by_lang.setdefault(lang, []).append(_lower(text.as_py() or ""))
-        for lang, texts in by_lang.items():
+        langs = batch.column(0)
+        for lang in pc.unique(langs).to_pylist():
             own = np.zeros(BUCKETS + 1, np.int64)
             scripts = np.zeros(OTHER + 1, np.int64)
-            for lo, hi in slices(texts, PIECE):
-                for _, piece in _pieces("\n".join(texts[lo:hi])):
+            for _, _, texts in slices(batch.column(1).filter(pc.equal(langs, lang)), PIECE):
+                for _, piece in _pieces("\n".join(_lower(t or "") for t in texts)):
                     letters = Letters(piece)
                     scripts += np.bincount(letters.script, minlength=OTHER + 1)
                     for bucket in letters.buckets():
@@ -238,9 +237,8 @@ def _label(model: Model, penalty: float, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior = int(model.prior.argmax()) if len(model.langs) else 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts, max(PIECE // 16, CELLS // max(len(model.langs), 1))):
-                lowered = [_lower(t or "") for t in texts[lo:hi]]
+            for lo, hi, texts in slices(batch.column(1), max(PIECE // 16, CELLS // max(len(model.langs), 1))):
+                lowered = [_lower(t or "") for t in texts]
                 start, end, own = word_scores("\n".join(lowered), model)
                 begin = np.cumsum([0] + [len(t) + 1 for t in lowered])
                 cuts = np.searchsorted(start, begin)

@@ -41,7 +41,7 @@ RADIUS = CHUNKS * (ERRORS + 1) - 1
 HUBS = (8,)  # hubs of a run in each further round
 MEMBERS = 512  # documents of a block that is compared as a whole
 COLUMNS = 4096  # shingles counted at once in a block
-BLOCK = 20_000  # signatures whose keys a task holds at once
+BLOCK = 4096  # signatures whose keys a task holds at once
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SYMBOLS // 8))
 WORDS = [f"s{i}" for i in range(SYMBOLS // 8)]
@@ -69,9 +69,9 @@ def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                values, n = shingles(texts[lo:hi], k)
+            ids = batch.column(0)
+            for lo, hi, texts in slices(batch.column(1)):
+                values, n = shingles(texts, k)
                 end = np.cumsum(n)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(s))))) for s in (0x51, 0xA7)]
                 digest = [(x[end] - x[end - n]).view(np.int64) for x in sums]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE = 2 << 20  # bytes handled at once; longer texts are cut between words
+PIECE = 1 << 19  # bytes handled at once; longer texts are cut between words
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POW: list[np.ndarray] = []
 
@@ -97,14 +99,14 @@ def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     return value[keep], np.bincount(doc[keep], minlength=len(n)).astype(np.int64)
 
 
-def slices(texts: list[str | None], most: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts of at most ``most`` characters, or of one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and size + n > most:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Consecutive runs (begin, end, texts) of a text column, of at most ``most``
+    bytes or of one text, so that a batch's texts are not all held as objects."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + most, "right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end

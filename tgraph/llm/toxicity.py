@@ -2,8 +2,8 @@
 
 The lexicon is learnt: words and word beginnings that are far commoner in
 documents labelled toxic. Lexicon, trees and calibration are fitted on at most
-``FIT_ROWS`` labelled training rows, drawn by a hash of their ids, a part of which
-is kept for the calibration alone; every document is scored on its whole text.
+``FIT_ROWS`` labelled training rows, drawn by a hash of their ids; the calibration
+uses a quarter of them that the trees have not seen; every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -13,11 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,16 +143,16 @@ def features(text: Column, lexicon: dict[str, float]) -> Column:
     def weight(token: str) -> float:
         return max((lexicon.get(t, 0.0) for t in terms(token)), default=0.0)
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
         for batch in batches:
             rows = []
             for t in batch:
-                rows.append(dense(t, known, weight))
-                if len(known) > 200_000:
+                rows.append(dense(t.as_py(), known, weight))
+                if len(known) > 100_000:
                     known.clear()
-            yield pd.Series(rows, dtype=object)
+            yield pa.array(rows, pa.list_(pa.float64()))
 
     # marked so that the optimizer does not evaluate it once for each use
     return run.asNondeterministic()(text)
@@ -182,6 +178,11 @@ def score(
     columns pass, but for one called ``_toxicity``, which is replaced; an empty
     table stays empty.
     """
+    # not at the top: executors import this module for its functions alone
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     docs = docs.drop("_toxicity")
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -193,8 +194,7 @@ def score(
     sizes = dict(sample.groupBy("toxic").count().collect())
     total = sum(sizes.values())
     checks = F.pmod(draw(2), F.lit(100)) < int(100 * CALIBRATION)
-    learnt = sample.where(~checks)
-    lexicon = learn_lexicon(learnt.select("text", "toxic"), dict(learnt.groupBy("toxic").count().collect()))
+    lexicon = learn_lexicon(sample.select("text", "toxic"), sizes)
     dense_rows = sample.select("doc_id", "toxic", features(F.col("text"), lexicon).alias("dense"))
     dense_rows = materialize(dense_rows, "dense").withColumn("features", array_to_vector("dense"))
     fit, check = dense_rows.where(~checks), dense_rows.where(checks)
