@@ -49,6 +49,15 @@ def test_line_dedup(spark):
     assert any(d for _, _, d in got) and linededup.drop_boilerplate(docs.where("false")).count() == 0
 
 
+def test_line_on_a_small_share_of_a_host_is_dropped(spark):
+    page = lambda i: [f"body {i} of a page", f"more of body {i}", f"end of body {i}"]
+    rows = [(i, "a", "\n".join((["menu"] if i < 24 else ["rare"] if i < 28 else []) + page(i))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = linededup.drop_boilerplate(docs).select("doc_id", "text", "_lines.dropped").collect()
+    assert sorted(map(tuple, got)) == brute_lines(rows, ratio=0.01)
+    assert {r.doc_id for r in got if r.dropped} == set(range(24))
+
+
 # mixing
 
 

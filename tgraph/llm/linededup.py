@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tgraph.session import materialize
 
-RATIO = 0.1  # of a host's pages
+RATIO = 0.01  # of a host's pages
 LEAST_PAGES = 5  # that a line must be on
 MOST_DROPPED = 0.5  # of a page's characters
 
