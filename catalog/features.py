@@ -233,7 +233,7 @@ def community_count(spark, sf):
     """Number of communities by the eigengap of the training graph."""
     e = base.ugraph_split(spark, sf).filter(F.col("split") == "train")
     adj = gs.symmetric_adjacency(e)
-    k = gs.eigengap(adj, max_k=8, rounds=6, seed="eg")
+    k = gs.eigengap(adj, max_k=50, seed="eg")
     n = num_nodes(e)
     return e.agg(F.count("*").alias("train_edges")).select(
         "train_edges", F.lit(k).alias("k"), F.lit(n / k).alias("avg_cluster_size")

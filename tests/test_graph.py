@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import features
 from tgraph.operators import graphstats as gs
 from tgraph.operators import neighbors as nb
 from tgraph.operators import proximity as px
 from tgraph.operators import subgraph as sg
 from tgraph.operators import walks as wk
+from tgraph.plans import base
 
 PATH5 = [(1, 2, 1), (2, 3, 2), (3, 4, 3), (4, 5, 4)]
 TRI2 = [(0, 1, 1), (1, 2, 1), (0, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1), (2, 3, 2)]
@@ -67,6 +69,40 @@ def test_components_and_eigenvalues(graph):
     assert gs.leading_eigenvalues(adj, 4, rounds=25, seed="e")[:2] == pytest.approx(exact[:2], abs=1e-3)
 
 
+def dense_spectrum(links):
+    """Eigenvalues of (I + A_sym) / 2, the largest first."""
+    nodes = sorted({v for p in links for v in p})
+    a = np.zeros((len(nodes),) * 2)
+    for u, v in links:
+        i, j = nodes.index(u), nodes.index(v)
+        a[i, j] += 1
+        a[j, i] += 1
+    d = a.sum(1)
+    return np.sort(np.linalg.eigvalsh((np.eye(len(nodes)) + a / np.sqrt(np.outer(d, d))) / 2))[::-1]
+
+
+def test_eigengap_counts_more_than_eight_communities(graph):
+    links = [(6 * c + i, 6 * c + j, 0) for c in range(12) for i in range(6) for j in range(i)]
+    links += [(6 * c, (6 * c + 7) % 72, 0) for c in range(12)]
+    adj = gs.symmetric_adjacency(graph(links))
+    exact = dense_spectrum([x[:2] for x in links])
+    assert gs.eigengap(adj) == 12
+    assert gs.leading_eigenvalues(adj, 51, seed="e") == pytest.approx(exact[:51], abs=1e-9)
+    # the same without the dense solve
+    assert gs.leading_eigenvalues(adj, 13, seed="e", dense_nodes=0) == pytest.approx(exact[:13], abs=1e-6)
+    with pytest.raises(RuntimeError, match="not settled"):
+        gs.leading_eigenvalues(adj, 13, rounds=1, seed="e", dense_nodes=0)
+
+
+def test_community_count_is_that_of_a_dense_solve(spark):
+    sf = "/root/testdata/sf0.001"
+    got = features.community_count(spark, sf).first()
+    train = base.ugraph_split(spark, sf).filter("split = 'train'").collect()
+    values = dense_spectrum([(r["src"], r["tgt"]) for r in train])
+    laplacian = 2 - 2 * values[: min(51, len(values) - 1)]
+    assert got["k"] == int(np.argmax(np.diff(laplacian)[1:]) + 2)
+
+
 def test_earlier_neighbors_are_strictly_earlier(graph):
     rows = random_edges(8, 120, 5)
     e = graph(rows)

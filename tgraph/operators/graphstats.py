@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tgraph.functions.random import pick, u01
 from tgraph.session import materialize
 
+DENSE_NODES = 2_000  # up to which a matrix of all nodes may be solved on the driver
+
 
 def degrees(edges: DataFrame, name: str = "node_id") -> DataFrame:
     """Degree with multiplicity, both directions."""
@@ -243,61 +245,94 @@ def snapshot_properties(edges: DataFrame, on: str = "snapshot_id") -> DataFrame:
     return stats.join(mix, on).join(parts, on)
 
 
-def leading_eigenvalues(adj: DataFrame, k: int, rounds: int = 30, seed: object = 0) -> np.ndarray:
-    """The k largest eigenvalues of (I + A_sym) / 2, by subspace iteration.
+def leading_eigenvalues(
+    adj: DataFrame, k: int, rounds: int = 100, seed: object = 0, tol: float = 1e-6, dense_nodes: int = DENSE_NODES
+) -> np.ndarray:
+    """The k largest eigenvalues of (I + A_sym) / 2, each within ``tol`` of one.
 
-    Vectors live in the cluster as one array per node; the driver only sees
-    k x k matrices.
+    Up to ``dense_nodes`` counted nodes the matrix is solved on the driver.
+    Above, a subspace with guard vectors is filtered by Chebyshev polynomials
+    that damp the rest of the spectrum, until the residuals of its k leading
+    vectors are below ``tol``; not so after ``rounds`` rounds is an error. Vectors
+    live in the cluster as one array per node; the driver only sees matrices of
+    the subspace's size.
     """
     links = materialize(normalized_adjacency(adj, "sym"), "normalized")
-    nodes = links.select("node").distinct()
-    cols = [u01(seed, F.lit(i), "node") - F.lit(0.5) for i in range(k)]
-    q = materialize(nodes.withColumn("q", F.array(*cols)), "subspace")
-
-    def gram(df: DataFrame, left: str, right: str) -> np.ndarray:
+    nodes = materialize(links.select("node").distinct(), "nodes")
+    n = nodes.count()
+    k = min(k, n)
+    if n <= dense_nodes:
+        e = links.toPandas()
+        ids, at = np.unique(np.concatenate([e["node"], e["nbr"]]), return_inverse=True)
+        dense = np.eye(len(ids))
+        np.add.at(dense, (at[: len(e)], at[len(e) :]), e["w"].to_numpy())
+        return np.linalg.eigvalsh(dense / 2)[::-1][:k]
+
+    def gram(df: DataFrame, left: str, right: str, rows: int, cols: int) -> np.ndarray:
         def part(batches):
-            total = np.zeros((k, k))
+            total = np.zeros((rows, cols))
             for b in batches:
                 if len(b):
                     total += np.stack(b[left].to_numpy()).T @ np.stack(b[right].to_numpy())
             yield pd.DataFrame({"m": [total.ravel().tolist()]})
 
-        sums = [F.sum(F.get("m", F.lit(i))) for i in range(k * k)]
-        cols = [left] if left == right else [left, right]
-        row = df.select(*cols).mapInPandas(part, "m array<double>").agg(F.array(*sums).alias("m"))
-        return np.array(row.first()["m"]).reshape(k, k)
+        kept = df.select(*dict.fromkeys([left, right])).mapInPandas(part, "m array<double>")
+        sums = kept.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(rows * cols)
+        out[[r["i"] for r in sums]] = [r["x"] for r in sums]
+        return out.reshape(rows, cols)
 
-    def rotate(df: DataFrame, m: np.ndarray) -> DataFrame:
+    def rotate(df: DataFrame, m: np.ndarray, names: tuple[str, ...]) -> DataFrame:
         def part(batches):
             for b in batches:
                 if len(b):
-                    out = np.stack(b["q"].to_numpy()) @ m
-                    yield pd.DataFrame({"node": b["node"], "q": list(out)})
+                    yield pd.DataFrame({"node": b["node"], **{c: list(np.stack(b[c].to_numpy()) @ m) for c in names}})
 
-        return df.select("node", "q").mapInPandas(part, q.schema)
+        kept = df.select("node", *names)
+        return materialize(kept.mapInPandas(part, kept.schema), "subspace")
 
-    values = np.zeros(k)
-    for _ in range(rounds):
-        moved = links.join(q.select(F.col("node").alias("nbr"), "q"), "nbr").groupBy("node").agg(
-            *[F.sum(F.col("w") * F.get("q", F.lit(i))).alias(f"_{i}") for i in range(k)]
-        )
-        y = q.withColumnRenamed("q", "o").join(moved, "node").select(
-            "node",
-            "o",
-            F.array(*[(F.get("o", F.lit(i)) + F.col(f"_{i}")) / 2.0 for i in range(k)]).alias("q"),
+    def moved(q: DataFrame, size: int) -> DataFrame:
+        """Adds ``y``, the product of the matrix and ``q``."""
+        near = links.join(q.select(F.col("node").alias("nbr"), "q"), "nbr").groupBy("node").agg(
+            *[F.sum(F.col("w") * F.get("q", F.lit(i))).alias(f"_{i}") for i in range(size)]
         )
-        y = materialize(y, "subspace")
-        base, cross = gram(y, "o", "o"), gram(y, "o", "q")
-        chol = np.linalg.inv(np.linalg.cholesky(base + 1e-12 * np.eye(k)))
-        new = np.sort(np.linalg.eigvalsh(chol @ ((cross + cross.T) / 2) @ chol.T))[::-1]
-        settled = np.max(np.abs(new - values)) < 1e-8
-        values = new
-        if settled:
-            break
-        outer = gram(y, "q", "q")
-        fix = np.linalg.inv(np.linalg.cholesky(outer + 1e-14 * np.eye(k))).T
-        q = materialize(rotate(y, fix), "subspace")
-    return values
+        y = F.array(*[(F.get("q", F.lit(i)) + F.col(f"_{i}")) / 2.0 for i in range(size)])
+        return materialize(q.join(near, "node").select(*q.columns, y.alias("y")), "subspace")
+
+    size = min(n, k + max(8, k // 2))
+    cols = [u01(seed, F.lit(i), "node") - F.lit(0.5) for i in range(size)]
+    q = materialize(nodes.withColumn("q", F.array(*cols)), "subspace")
+    for _ in range(rounds):
+        g = gram(q, "q", "q", size, size)
+        scale = 1 / np.sqrt(np.diag(g))
+        weight, basis = np.linalg.eigh(g * np.outer(scale, scale))
+        full = weight > 1e-13 * weight[-1]
+        q = moved(rotate(q, scale[:, None] * basis[:, full] / np.sqrt(weight[full]), ("q",)), size := int(full.sum()))
+        if size < k:
+            raise RuntimeError(f"the subspace fell to {size} of {k} directions")
+        own, cross, square = (gram(q, a, b, size, size) for a, b in (("q", "q"), ("q", "y"), ("y", "y")))
+        half = np.linalg.inv(np.linalg.cholesky(own))
+        values, turn = np.linalg.eigh(half @ ((cross + cross.T) / 2) @ half.T)
+        values, turn = values[::-1], half.T @ turn[:, ::-1]
+        residual = np.sqrt(np.maximum(np.einsum("ij,ij->j", turn, square @ turn) - values**2, 0))[:k]
+        if residual.max() <= tol:
+            return values[:k]
+        # the polynomial is 1 at the top and small from 0 to the last guard's value
+        mid = max(values[-1], 1e-6) / 2
+        above = (values[:k][residual > tol][0] - mid) / mid
+        degree = int(np.clip(np.log(1e5) / np.arccosh(max(above, 1 + 1e-9)), 1, 20))
+        q = rotate(q, turn, ("q", "y"))
+        first = ratio = mid / (1 - mid)
+        for i in range(degree):
+            after = 1 / (2 / first - ratio) if i else first
+            lead, back = F.lit((2 if i else 1) * after / mid), F.lit(ratio * after)
+            step = F.zip_with("y", "q", lambda y, x: lead * (y - F.lit(mid) * x))
+            if i:
+                step = F.zip_with(step, "p", lambda s, x: s - back * x)
+            q = q.select("node", F.col("q").alias("p"), step.alias("q"))
+            q = moved(q, size) if i < degree - 1 else materialize(q, "subspace")
+            ratio = after
+    raise RuntimeError(f"eigenvalues not settled after {rounds} rounds: residual {residual.max():.1e} above {tol:.1e}")
 
 
 def eigengap(adj: DataFrame, max_k: int = 50, fallback: int = 10, **kw: Any) -> int:
