@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tgraph.operators import inject as ij
 from tgraph.operators import negatives as ng
-from tgraph.operators.sampling import pair_product, weighted_pick
+from tgraph.operators.sampling import non_edges, observed_pairs, pair_product, weighted_pick
 from tgraph.functions.random import u01
 
 
@@ -54,6 +54,17 @@ def test_groups(edges, kind):
     assert summary["train"]["generated"] == 0 and summary["val"]["generated"] == report["splits"]["val"]["generated"]
 
 
+def test_injection_goes_on_until_no_pair_is_left(spark):
+    # 80 of 100,128 pairs are unseen, of which five rounds found 32
+    e = spark.range(448).withColumnRenamed("id", "a").crossJoin(spark.range(448).withColumnRenamed("id", "b")).filter("a < b and not (a < 80 and b = a + 1)")
+    e = e.select(F.monotonically_increasing_id().alias("edge_pos"), F.col("a").alias("src"), F.col("b").alias("tgt"), (F.col("a") * 448 + F.col("b")).alias("t"))
+    e = e.withColumn("split", F.when(F.pmod("t", F.lit(2)) == 0, "train").otherwise("test"))
+    target = int(e.filter("split = 'test'").count() * 0.0014)
+    new, report = ij.inject(e, "random", {"test": 0.0014}, 448, STATS, "small", None, 3)
+    assert target <= report["splits"]["test"]["generated"] == new.count() <= 80
+    assert all(r["src"] < 81 and abs(r["src"] - r["tgt"]) == 1 for r in new.collect())
+
+
 def test_row_types(edges):
     rows = ij.generate(edges, "combination", 0.2, "test", 5, window=50).collect()
     assert len(rows) == 45 and {r["kind"] for r in rows} == set(ij.ROW_TYPES)
@@ -121,6 +132,31 @@ def test_full_graph_has_no_negatives(spark):
     assert len(rows) == 3 and all(r["u"] is None for r in rows)
 
 
+def test_the_last_non_edges_are_found(spark):
+    # snapshot 0 lacks one pair of 100 nodes, snapshot 1 none; node 0 has met all but 7, then all
+    pairs = [(a, b) for b in range(100) for a in range(b)]
+    rows = [(a, b, 0) for a, b in pairs if (a, b) != (41, 77)] + [(41, 77, 1)]
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "edge_pos bigint, src bigint, tgt bigint, snapshot_id bigint")
+    for upper in (False, True):
+        got = ng.per_snapshot(e.filter("snapshot_id = 0"), 100, 1, upper=upper)
+        ends = {(r["u"], r["v"]) for r in got.collect()}
+        assert ends == ({(41, 77)} if upper else {(41, 77), (77, 41)})
+    assert all((r["u"] is None) == (r["snapshot_id"] == 1) for r in ng.against_history(e, 100, 2).collect())
+    star = [(0, b, 0) for b in range(1, 4000) if b != 7] * 2 + [(0, 7, 1)]
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(star)], "edge_pos bigint, src bigint, tgt bigint, snapshot_id bigint")
+    slots = e.select(F.col("edge_pos").alias("slot"), "snapshot_id", F.lit(0).cast("bigint").alias("kept"), F.lit(4000).cast("bigint").alias("bound"))
+    got = non_edges(slots, 4000, ng.first_seen(e), 1, since="since", anchor="kept", below="bound").collect()
+    assert {(r["snapshot_id"], r["u"], r["v"]) for r in got} == {(0, 0, 7), (1, None, None)} and len(got) == len(star)
+
+
+def test_ranked_non_edges_are_uniform(spark):
+    e = spark.createDataFrame([(0, 0, 1, 0), (1, 1, 3, 0), (2, 2, 4, 0)], "edge_pos bigint, src bigint, tgt bigint, snapshot_id bigint")
+    slots = spark.range(3500).select(F.col("id").alias("slot"), F.lit(0).cast("bigint").alias("snapshot_id"))
+    got = non_edges(slots, 5, observed_pairs(e, extra=["snapshot_id"]), 1, on=["snapshot_id"], upper=True, max_tries=0)
+    n = {(r["u"], r["v"]): r["count"] for r in got.groupBy("u", "v").count().collect()}
+    assert set(n) == {(a, b) for b in range(5) for a in range(b)} - {(0, 1), (1, 3), (2, 4)} and all(400 < c < 600 for c in n.values())
+
+
 def test_product_limit(edges):
     with pytest.raises(ValueError):
         pair_product(edges, edges, 10)

@@ -184,13 +184,14 @@ def inject(
     communities: DataFrame | None = None,
     seed: object = 0,
     msg_size: int | None = None,
-    rounds: int = 5,
 ) -> tuple[DataFrame, dict[str, Any]]:
     """Generate anomalous groups per split; returns new edges and a report.
 
     Splits run in the order train, val, test, and each split's new pairs count
     as observed in the next.  ``edges`` needs src, tgt, t, edge_pos, split and,
-    for messages, ``msg``.
+    for messages, ``msg``. Four times as many groups are drawn until a split has
+    its edges, or two rounds on end find no further edge; the report then has
+    fewer generated than requested.
     """
     if kind not in GROUP_TYPES:
         raise ValueError(f"unknown anomaly type '{kind}'")
@@ -217,13 +218,17 @@ def inject(
             continue
         salt = f"{seed}-{split}"
         n_groups = 2 * math.ceil(target / per_group) + 8
-        for _ in range(rounds):
+        before, idle = -1, 0
+        while True:
             groups = spark.range(n_groups).withColumnRenamed("id", "g")
             cand = candidate_edges(groups, kind, num_nodes, size, salt, indexed_communities)
             new, made = accept_groups(cand, observed, target)
             if made >= target:
                 break
-            n_groups *= 4
+            idle = idle + 1 if made == before else 0
+            if idle == 2:
+                break
+            before, n_groups = made, n_groups * 4
         placed = _place(new, split, spans[split], rate, salt).withColumn(
             "group_id", F.col("group_id") + F.lit(offset)
         )

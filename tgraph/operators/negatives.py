@@ -77,7 +77,8 @@ def degree_weighted(edges: DataFrame, num_nodes: int, seed: object) -> DataFrame
 
     The target end is kept with probability d(src)/(d(src)+d(tgt)).  The new
     end is a node never joined to the kept one so far, below the first node id
-    not seen yet; where no such node is found, any non-neighbour serves.
+    not seen yet; where there is none, any non-neighbour serves, and any other node
+    for a node that has met all.
     """
     ends = edges.select("snapshot_id", F.explode(F.array("src", "tgt")).alias("v"))
     degree = ends.groupBy("snapshot_id", "v").agg(F.count("*").alias("d"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tgraph.functions.random import pick
+from tgraph.functions.random import pick, u01
 from tgraph.operators.ordering import global_position, running, shifted
 from tgraph.session import materialize, maybe_broadcast
 
@@ -133,6 +133,74 @@ def unseen_pairs(
         before, factor = found, factor * 4
 
 
+def ranked_non_edges(
+    slots: DataFrame,
+    num_nodes: int,
+    forbidden: DataFrame,
+    seed: object,
+    on: Sequence[str],
+    since: str | None,
+    at: str,
+    upper: bool,
+    anchor: str | None,
+    below: str | None,
+) -> DataFrame:
+    """``non_edges`` by rank: no tries, null ends only where no non-edge exists.
+
+    What may be drawn is numbered: ids from 0 beside an anchor, else the pairs
+    lo < hi by hi, lo. A slot draws a rank among the free numbers; the taken
+    numbers f_0 < f_1 < ... with f_j - j up to the rank are stepped over. They
+    are counted by one running sum over taken numbers and ranks, so a hub's
+    slots are not multiplied by its neighbours. Taken numbers are listed once a
+    combination of snapshot, anchor and bound that has open slots.
+    """
+    keys = list(dict.fromkeys([*on, *([at] if since else []), *([anchor] if anchor else []), *([below] if below else [])]))
+    rows = slots.withColumn("_all", F.lit(0))
+    keys = ["_all", *keys]
+    groups = rows.select(*keys).distinct()
+    taken = forbidden.select(*on, "lo", "hi", *([F.col(since).alias("_since")] if since else []))
+    if anchor:
+        one = taken.withColumnsRenamed({"lo": anchor, "hi": "_code"})
+        two = taken.withColumnsRenamed({"hi": anchor, "lo": "_code"})
+        taken = groups.join(one.unionByName(two), [*on, anchor])
+        first = F.col(anchor) + 1 if upper else F.lit(0).cast("bigint")
+        total = F.greatest((F.col(below) if below else F.lit(num_nodes)) - first, F.lit(0))
+    else:
+        taken = taken.filter("lo < hi").withColumn("_code", F.expr("shiftright(hi * (hi - 1), 1) + lo"))
+        taken = groups.join(taken, list(on)) if on else taken.crossJoin(maybe_broadcast(groups))
+        first, total = F.lit(0).cast("bigint"), F.lit(num_nodes * (num_nodes - 1) // 2)
+    if since:
+        taken = taken.filter(F.col("_since") <= F.col(at))
+    taken = taken.select(*keys, "_code")
+    if anchor:
+        taken = taken.unionByName(groups.select(*keys, F.col(anchor).alias("_code")))
+    taken = taken.select(*keys, (F.col("_code") - first).alias("_code"), total.alias("_total"))
+    taken = taken.filter((F.col("_code") >= 0) & (F.col("_code") < F.col("_total"))).select(*keys, "_code").distinct()
+    taken = materialize(taken, "taken")
+    free = total - F.coalesce("_n", F.lit(0))
+    asked = rows.join(taken.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "left").withColumn("_free", free)
+    asked = asked.filter("_free > 0").withColumn("_rank", pick(F.col("_free"), seed, F.lit("rank"), "slot"))
+    one = F.lit(1).cast("bigint")
+    steps = running(taken, keys, ["_code"], {"_j": one})
+    steps = steps.select(*keys, (F.col("_code") - F.col("_j") + 1).alias("_rank"), F.col("_code").alias("_tie"), one.alias("_taken"))
+    ranks = asked.select(*keys, "_rank", F.col("slot").alias("_tie"), (one - 1).alias("_taken"))
+    both = materialize(steps.unionByName(ranks), "ranks")
+    placed = running(both, keys, ["_rank", F.col("_taken").desc(), "_tie"], {"_past": F.col("_taken")})
+    placed = placed.filter("_taken = 0").select(F.col("_tie").alias("slot"), (F.col("_rank") + F.col("_past")).alias("_code"))
+    out = rows.join(placed, "slot", "left")
+    if anchor:
+        out = out.withColumns({"u": F.when(F.col("_code").isNotNull(), F.col(anchor)), "v": F.col("_code") + first})
+    else:
+        hi = F.floor((1 + F.sqrt(1 + 8 * F.col("_code").cast("double"))) / 2).cast("bigint")
+        # the root may be off by one
+        out = out.withColumn("_hi", hi).withColumn("_hi", F.expr("_hi - int(shiftright(_hi * (_hi - 1), 1) > _code)"))
+        out = out.withColumn("_hi", F.expr("_hi + int(shiftright(_hi * (_hi + 1), 1) <= _code)"))
+        out = out.withColumn("_lo", F.col("_code") - F.shiftright(F.expr("_hi * (_hi - 1)"), 1))
+        turned = F.lit(False) if upper else u01(seed, F.lit("turn"), "slot") < 0.5
+        out = out.withColumns({"u": F.when(turned, F.col("_hi")).otherwise(F.col("_lo")), "v": F.when(turned, F.col("_lo")).otherwise(F.col("_hi"))})
+    return materialize(out.select(*slots.columns, "u", "v"), "negatives")
+
+
 def non_edges(
     slots: DataFrame,
     num_nodes: int,
@@ -153,9 +221,12 @@ def non_edges(
     (lo, hi, plus the ``on`` columns), or, with ``since``, if the pair was
     first seen no later than the slot's ``at``.  The first good try wins.
     ``upper`` asks for u < v; ``anchor`` fixes u to a column; ``below`` draws v
-    under a per-row bound.  Open slots get twice as many tries each round, up
-    to ``max_tries`` in all; slots still open then have null ends.
+    under a per-row bound, for anchored slots.  Open slots get twice as many
+    tries each round, up to ``max_tries`` in all; slots still open then draw
+    from the listed non-edges, and have null ends only if there are none.
     """
+    if below and not anchor:
+        raise ValueError("below needs an anchor")
     keep = list(slots.columns)
     remaining, found, start = slots, [], 0
     while start < max_tries:
@@ -184,8 +255,7 @@ def non_edges(
             break
         remaining = materialize(remaining, "open")
     else:
-        blank = F.lit(None).cast("bigint")
-        found.append(remaining.select(*keep, blank.alias("u"), blank.alias("v")))
+        found.append(ranked_non_edges(remaining, num_nodes, forbidden, seed, on, since, at, upper, anchor, below))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
