@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tgraph.llm import chat, decontam, embeddup, langid, linededup, minhash, mixing, toxicity, urlfilter, warc
+from tgraph.llm import chat, decontam, embeddup, langid, linededup, minhash, mixing, packing, periodic, spelling, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,12 +87,53 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made periodic from some word on."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def repeated(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    # the array of one binds the words, so that they are split once
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    docs = docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), text).otherwise(F.col("text")))
+    found = periodic.periodic_runs(docs)
+    # the longest run: ties by start, then period
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    length = -F.col("top.less")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", length.alias("length"), "top.period",
+        F.floor(length * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every tokenised document."""
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of all frequent words, a letter of some of which is deleted."""
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"), every=31)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the corpus pipeline keeps."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op3_chat": op3_chat, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination, "op8_embeddings": op8_embeddings, "op9_urls": op9_urls, "op10_warc": op10_warc}
+QUERIES = {"pipeline": pipeline, "op1_toxicity": op1_toxicity, "op2_linededup": op2_linededup, "op3_chat": op3_chat, "op4_language": op4_language, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_decontamination": op7_decontamination, "op8_embeddings": op8_embeddings, "op9_urls": op9_urls, "op10_warc": op10_warc, "op11_runs": op11_runs, "op12_packing": op12_packing, "op13_spelling": op13_spelling}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
