@@ -19,12 +19,21 @@ ODD = (
 
 
 def test_ids_equal_the_plain_tokenizer(monkeypatch):
-    monkeypatch.setattr(packing, "CHUNKS", 60)  # caches that run over
-    monkeypatch.setattr(packing, "CORES", 40)
+    monkeypatch.setattr(packing, "CACHE", 60)  # a cache that runs over
+    monkeypatch.setattr(packing, "PIECE", 5000)  # and texts in pieces
     encoder, plain, rng = packing._Encoder(PATH), Tokenizer.from_file(PATH), random.Random(2)
+    pool = [*ODD, *"'\"<>|_^`~#$%&*+-=/\\@[]{}0129aZéÉß"]
+    texts = []
     for n in [0, 1, 2, 5, 14] * 100 + [30000]:
-        text = "".join(rng.choice(ODD) + rng.choice([" ", "", "\n"]) for _ in range(n)) if n < 100 else " ".join(rng.choice(ODD[:40]) for _ in range(n))
-        assert np.frombuffer(encoder.ids(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        odd = pool if n < 100 else [p for p in pool if len(p) < 70]
+        texts.append("".join(rng.choice(odd) + rng.choice([" ", "", "\n"]) for _ in range(n)))
+    texts += ["".join(rng.choice("abZ .,'!<|>9\t") for _ in range(60)) for _ in range(300)] + ["plain words, only. " * 900]
+    rng.shuffle(texts)
+    for lo in range(0, len(texts), 50):
+        some = texts[lo : lo + 50]
+        got = encoder.ids([t.encode() for t in some])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    assert encoder.ids([None, b""]) == [b"", b""]
 
 
 def test_least_squares_are_non_negative_and_settled():

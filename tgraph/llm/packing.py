@@ -30,20 +30,22 @@ CAPACITY = 4096
 END = 1  # the id after each document
 BINS = 64  # of lengths, for the fit
 MOST = 4  # pieces of a pattern
-CHUNKS, CORES = 1 << 18, 1 << 19  # entries of a worker's caches
-LONGEST = 64  # bytes of what is cached
+CACHE = 1 << 20  # parts of texts whose ids a worker keeps
+LONGEST = 64  # characters of a part that is kept
+PIECE = 1 << 20  # bytes of a text handled at once
 
-# a word in letters of which each is one code point in NFC, and punctuation behind it
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?()]*)").fullmatch
+# letters of one code point in NFC, digits, white space, and punctuation but apostrophes and what begins control strings
+_ODD = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~ \t-\r]").search
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+").findall
 _WORKERS: dict[str, _Encoder] = {}
 
 
 class _Encoder:
-    """Ids of a text, as little-endian bytes, by way of the tokenizer's ids of its parts.
+    """Ids of texts, as little-endian bytes, by way of the tokenizer's ids of their parts.
 
-    The tokenizer never joins what white space separates, so the parts between
-    ASCII white space are encoded one by one and kept; likewise the
-    lower-cased letters of a part and the punctuation behind them.
+    The tokenizer lower-cases, and never joins what white space separates, nor letters,
+    digits and punctuation. So these are the parts of plain text; of other text, the
+    parts are what white space separates. The ids of a part are asked for once and kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,60 +53,72 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
-        self.chunks: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, cores: list[str]) -> None:
-        """Encode parts of one kind each, many at a time; the tokens that end a word tell them apart."""
-        if len(self.cores) + len(cores) > CORES:
-            self.cores = {}
-        for lo in range(0, len(cores), 4096):
-            some = cores[lo : lo + 4096]
-            ids, start, n = self._encode(" ".join(some)), 0, 0
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, parts: list[str]) -> None:
+        plain, odd = [p for p in parts if not _ODD(p)], [p for p in parts if _ODD(p)]
+        for lo in range(0, len(odd), 1024):
+            some = odd[lo : lo + 1024]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[part] = np.array(found.ids, "<u4").tobytes()
+        for lo in range(0, len(plain), 4096):
+            # plain parts many at a time: the tokens that end a word tell them apart
+            some = plain[lo : lo + 4096]
+            ids, start, n = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, 0, 0
             raw = np.array(ids, "<u4").tobytes()
             for i, token in enumerate(ids):
                 if token in self.ends:
-                    self.cores[some[n]] = raw[4 * start : 4 * i + 4]
+                    self.known[some[n]] = raw[4 * start : 4 * i + 4]
                     start, n = i + 1, n + 1
 
-    def _parts(self, new: list[bytes]) -> None:
-        """Keep the ids of parts not met before."""
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks = {}
-        plain, wanted = [], {}
-        for part in new:
-            text = part.decode()
-            match = _PLAIN(text)
-            if match:
-                cores = [c for c in (match[1].lower(), match[2]) if c]
-                plain.append((part, cores))
-                wanted.update((c, None) for c in cores)
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        if not _ODD(text):
+            return _PARTS(text.lower())
+        out = []
+        for chunk in text.encode().split():
+            part = chunk.decode()
+            if _ODD(part):
+                out.append(part)
             else:
-                self.chunks[part] = np.array(self._encode(text), "<u4").tobytes()
-        # what the cache may drop has to be at hand for these parts
-        if len(self.cores) + len(wanted) > CORES:
-            self.cores = {}
-        self._learn([c for c in wanted if c not in self.cores])
-        for part, cores in plain:
-            self.chunks[part] = b"".join([self.cores[c] for c in cores])
-
-    def ids(self, text: bytes) -> bytes:
-        parts, out = text.split(), []
-        for lo in range(0, len(parts), 1 << 14):
-            some = parts[lo : lo + (1 << 14)]
-            new = {p for p in some if p not in self.chunks}
-            long = {p: np.array(self._encode(p.decode()), "<u4").tobytes() for p in new if len(p) > LONGEST}
-            if len(new) > len(long):
-                if len(self.chunks) + len(new) > CHUNKS:  # emptied: all of these parts are new
-                    self.chunks = {}
-                    new = set(some)
-                self._parts([p for p in new if p not in long and len(p) <= LONGEST])
-            get = self.chunks
-            out.append(b"".join([long[p] if p in long else get[p] for p in some] if long else [get[p] for p in some]))
-        return b"".join(out)
+                out += _PARTS(part.lower())
+        return out
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
+        split = [self._split(t.decode()) for t in texts]
+        every = set().union(*split)
+        new = list(every.difference(self.known))
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, list(every)
+        self._learn(new)
+        known = self.known
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        return out
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for text in texts:
+            raw, cut = text or b"", []
+            while len(raw) > PIECE:  # a long text in pieces, between white space
+                at = PIECE
+                while at < len(raw) and raw[at] not in b" \t\n\r\x0b\x0c":
+                    at += 1
+                cut += self._some([raw[:at]])
+                raw = raw[at:]
+            if cut:
+                out += self._some(held)
+                held, size = [], 0
+                out.append(b"".join([*cut, *self._some([raw])]))
+                continue
+            held.append(raw)
+            size += len(raw)
+            if size > PIECE:
+                out += self._some(held)
+                held, size = [], 0
+        return out + self._some(held)
 
 
 def _encoder(path: str) -> _Encoder:
@@ -122,8 +136,8 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
         for batch in batches:
             for lo, hi, texts in slices(batch.column(1), 1 << 20):
                 rows, ids = [], batch.column(0).slice(lo, hi - lo).to_pylist()
-                for doc_id, text in zip(ids, texts):
-                    raw = encoder.ids(text or b"") + tail
+                for doc_id, raw in zip(ids, encoder.ids(texts)):
+                    raw += tail
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[at : at + 4 * capacity]
                         n = len(own) // 4
