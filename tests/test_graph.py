@@ -32,6 +32,27 @@ def test_hops_and_diameter(graph):
     assert gs.estimate_diameter(adj, 6, 200, "s") == 4.0
 
 
+def test_hops_of_pairs_equal_a_full_search(graph):
+    path = [(i, i + 1, i) for i in range(10)]
+    star = [(100, 101 + i, i) for i in range(300)]
+    e = graph(path + star + [(500, 501, 1)] + [(a + 600, b + 600, t) for a, b, t in random_edges(40, 60, 8)])
+    e = e.withColumn("snapshot_id", F.lit(3))
+    adj = gs.symmetric_adjacency(e, ("snapshot_id",))
+    ids = [r["node"] for r in adj.select("node").distinct().collect()]
+    full = {(r["root"], r["node"]): r["hops"] for r in gs.hop_distances(adj, adj.select("snapshot_id", F.col("node").alias("root")).distinct(), None, ("snapshot_id",)).collect()}
+    rng = np.random.default_rng(5)
+    rows = [(3, g, *(int(x) for x in rng.choice(ids, 2))) for g in range(900)]
+    rows += [(3, 1000, 0, 10), (3, 1001, 3, 10), (3, 1001, 9, 0), (3, 1002, 101, 102), (3, 1003, 0, 500), (3, 1004, 9999, 0), (3, 1005, 7, 7), (3, 1006, 9999, 9999)]
+    asked = e.sparkSession.createDataFrame(rows, "snapshot_id int, g bigint, root bigint, node bigint")
+    got = {r["g"]: r["hops"] for r in gs.nearest_hops(adj, asked, ["g"], ("snapshot_id",)).collect()}
+    want = {}
+    for _, g, a, b in rows:
+        d = 0 if a == b else full.get((a, b))
+        if d is not None:
+            want[g] = min(d, want.get(g, d))
+    assert got == want and want[1000] == 10 and want[1001] == 7 and want[1002] == 2
+
+
 def test_star_degrees(graph):
     d = {r["node_id"]: r["degree"] for r in gs.degrees(graph(STAR)).collect()}
     assert d == {0: 8, **{i: 1 for i in range(1, 9)}}

@@ -113,6 +113,78 @@ def hop_distances(
     return _union(parts)
 
 
+def nearest_hops(adj: DataFrame, asked: DataFrame, group: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (on, group, hops): the least hops of any (root, node) pair of a group.
+
+    ``asked`` has columns on, group, root and node. Both ends of every open pair
+    are searched level by level, so a pair that lies d hops apart is met when the
+    levels d/2 around its ends share a node; nothing is searched beyond that. For
+    each pair the nodes of its smaller level are looked up in the other, so a hub's
+    neighbours are not listed once a pair. A group is closed by the first pair
+    met, a pair when the search around one of its ends is exhausted. Groups
+    that no path joins are left out.
+    """
+    key = list(on)
+    links = materialize(adj.filter(F.col("node") != F.col("nbr")).select(*key, "node", "nbr").distinct(), "links")
+    pair = F.struct("root", "node")
+    still = asked.groupBy(*key, *group).agg(F.collect_set(pair).alias("pairs"), F.max(F.col("root") == F.col("node")).alias("met"))
+    still = materialize(still, "asked")
+    parts = [still.filter("met").select(*key, *group, F.lit(0).alias("hops"))]
+    # per side, the last two levels around the ends of open pairs: (on, end, at); the first level is that of all nodes
+    first = links.select(*key, F.col("node").alias("end"), F.col("nbr").alias("at"))
+    own = links.select(*key, F.col("node").alias("end"), F.col("node").alias("at")).distinct()
+    sides = {"root": (first, own), "node": (first, own)}
+    hop = 0
+    while True:
+        hop += 1
+        still = still.filter("not met").select(*key, *group, F.explode("pairs").alias("p")).select(*key, *group, "p.root", "p.node")
+        if still.isEmpty():
+            return _union(parts)
+        pairs = still.select(*key, "root", "node").distinct()
+        side = "root" if hop % 2 else "node"
+        if hop > 2:
+            level, before = sides[side]
+            ends = pairs.select(*key, F.col(side).alias("end")).distinct()
+            step = level.join(ends, [*key, "end"], "left_semi").join(links.withColumnRenamed("node", "at"), [*key, "at"])
+            step = step.select(*key, "end", F.col("nbr").alias("at")).distinct()
+            # a neighbour of a level is in it, in the one before, or in the next
+            for known in (level, before):
+                step = step.join(known, [*key, "end", "at"], "left_anti")
+            sides[side] = (materialize(step, "level"), level)
+        if hop == 1:
+            met = pairs.join(links.withColumnsRenamed({"node": "root", "nbr": "node"}), [*key, "root", "node"], "left_semi")
+            met = met.withColumn("_met", F.lit(True))
+        else:
+            met = _met(pairs, sides["root"][0], sides["node"][0], key)
+        # pairs of an exhausted end are in no row of ``met``
+        judged = still.join(met, [*key, "root", "node"], "left" if hop == 1 else "inner")
+        judged = judged.groupBy(*key, *group).agg(F.collect_list(pair).alias("pairs"), F.max(F.coalesce("_met", F.lit(False))).alias("met"))
+        still = materialize(judged, "open")
+        parts.append(still.filter("met").select(*key, *group, F.lit(hop).alias("hops")))
+        if len(parts) > 16:
+            parts = [materialize(_union(parts), "met")]
+
+
+def _met(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs whose levels are both not empty, and whether they share a node.
+
+    The nodes of the smaller level are looked up in the other.
+    """
+    levels = roots.withColumn("_side", F.lit(0)).unionByName(nodes.withColumn("_side", F.lit(1)))
+    sizes = levels.groupBy(*key, "_side", "end").agg(F.count("*").alias("_n"))
+    for i, end in enumerate(("root", "node")):
+        own = sizes.filter(F.col("_side") == i).select(*key, F.col("end").alias(end), F.col("_n").alias(f"_{end}"))
+        pairs = pairs.join(own, [*key, end])
+    less = F.col("_root") <= F.col("_node")
+    pairs = pairs.select(
+        *key, "root", "node", F.when(less, 0).otherwise(1).alias("_side"), F.when(less, F.col("root")).otherwise(F.col("node")).alias("end"),
+        F.when(less, F.col("node")).otherwise(F.col("root")).alias("_far"),
+    )
+    listed = pairs.join(levels, [*key, "_side", "end"])
+    far = levels.select(*key, (1 - F.col("_side")).alias("_side"), F.col("end").alias("_far"), "at", F.lit(True).alias("_met"))
+    return listed.join(far, [*key, "_side", "_far", "at"], "left").groupBy(*key, "root", "node").agg(F.max("_met").alias("_met"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

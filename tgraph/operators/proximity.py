@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tgraph.operators.graphstats import hop_distances, symmetric_adjacency
+from tgraph.operators.graphstats import nearest_hops, symmetric_adjacency
 from tgraph.operators.ordering import group_position
 from tgraph.session import materialize
 
@@ -58,12 +58,13 @@ def proximity(
 
 
 def edge_context(
-    edges: DataFrame, prox: DataFrame, k: int, width: int = 1, max_hops: int | None = None, on: str = "snapshot_id"
+    edges: DataFrame, prox: DataFrame, k: int, width: int = 1, on: str = "snapshot_id"
 ) -> DataFrame:
     """Both ends plus the k nodes closest to them, per look-back snapshot.
 
     Columns: edge_pos, lookback, rank (0 for the ends), node, hop (from the
     nearer end; 99 if unreachable).  Nodes without proximity are not listed.
+    Hops are searched between an edge's ends and its members only.
     """
     e = edges.filter(F.col(on) >= width - 1).select("edge_pos", on, "src", "tgt")
     views = e.withColumn("lookback", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
@@ -74,23 +75,21 @@ def edge_context(
     near = (
         ends.join(p, ["_s", "root"])
         .filter((F.col("node") != F.col("src")) & (F.col("node") != F.col("tgt")))
-        .groupBy("edge_pos", "lookback", "_s", "node")
+        .groupBy("edge_pos", "lookback", "_s", "src", "tgt", "node")
         .agg(F.round(F.sum("p"), 9).alias("p"))
     )
     near = materialize(near, "near")
     top = group_position(near, ["edge_pos", "lookback"], [F.col("p").desc(), "node"], "rank")
-    top = top.filter(F.col("rank") <= k).select("edge_pos", "lookback", "_s", "rank", "node")
-    own = ends.select("edge_pos", "lookback", "_s", F.lit(0).cast("bigint").alias("rank"), F.col("root").alias("node"))
-    members = materialize(own.unionByName(top), "members")
-
-    graph = symmetric_adjacency(edges, (on,))
-    starts = ends.select(F.col("_s").alias(on), "root").distinct()
-    hops = hop_distances(graph, starts, max_hops, (on,)).select(F.col(on).alias("_s"), "root", "node", "hops")
-    sides = members.join(ends.select("edge_pos", "lookback", "root").distinct(), ["edge_pos", "lookback"])
-    found = sides.join(hops, ["_s", "root", "node"], "left")
-    return found.groupBy("edge_pos", "lookback", "rank", "node").agg(
-        F.coalesce(F.min("hops"), F.lit(UNREACHABLE)).alias("hop")
-    )
+    top = materialize(top.filter(F.col("rank") <= k).drop("p"), "members")
+    # edges with the same ends in one snapshot ask the same
+    ask = top.select("edge_pos", "lookback", "_s", "rank", "node", F.least("src", "tgt").alias("a"), F.greatest("src", "tgt").alias("b"))
+    asked = ask.select(F.col("_s").alias(on), "a", "b", "node", F.col("node").alias("member"), F.explode(F.array("a", "b")).alias("root"))
+    hops = nearest_hops(symmetric_adjacency(edges, (on,)), asked, ["a", "b", "member"], (on,))
+    hops = hops.select(F.col(on).alias("_s"), "a", "b", F.col("member").alias("node"), "hops")
+    found = ask.join(hops, ["_s", "a", "b", "node"], "left")
+    found = found.select("edge_pos", "lookback", "rank", "node", F.coalesce("hops", F.lit(UNREACHABLE)).alias("hop"))
+    own = ends.select("edge_pos", "lookback", F.lit(0).cast("bigint").alias("rank"), F.col("root").alias("node"), F.lit(0).alias("hop"))
+    return own.distinct().unionByName(found)
 
 
 def context_arrays(context: DataFrame, role: Column | None = None) -> DataFrame:
