@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import register
-from catalog.sql import BIP, BIP_S, UG, UG_S, pick, u01
+from catalog.sql import BIP, BIP_S, UG, UG_S, permuted, pick, u01
 from tgraph.operators import inject as ij
 from tgraph.operators import negatives as ng
 from tgraph.operators import timeline as tl
@@ -147,9 +147,8 @@ tn AS (SELECT CAST(floor(count(*) * 0.05::DOUBLE) AS BIGINT) AS m, min(t) AS a,
 WITH {TEST_ROWS},
 s AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT src FROM te)),
 g AS (SELECT tgt, row_number() OVER (ORDER BY tgt) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT tgt FROM te)),
-c AS (SELECT cand, s.src AS u, g.tgt AS v FROM (
-  SELECT cand, {pick('(SELECT count(*) FROM s)', 'x-structural', "'s'", 'cand')} AS a, {pick('(SELECT count(*) FROM g)', 'x-structural', "'t'", 'cand')} AS b
-  FROM range(0, 400 * (SELECT m FROM tn)) r(cand)) q JOIN s ON s.i = a JOIN g ON g.i = b),
+{permuted('pm', '(SELECT (SELECT count(*) FROM s) * (SELECT count(*) FROM g))', 'x-structural', '400 * (SELECT m FROM tn)')},
+c AS (SELECT cand, s.src AS u, g.tgt AS v FROM pm JOIN s ON s.i = code // (SELECT count(*) FROM g) JOIN g ON g.i = code % (SELECT count(*) FROM g)),
 f AS (SELECT u, v, min(cand) AS cand FROM c LEFT JOIN (SELECT DISTINCT src, tgt FROM bs) o ON o.src = u AND o.tgt = v
       WHERE u <> v AND o.src IS NULL GROUP BY 1, 2),
 k AS (SELECT u, v FROM (SELECT *, row_number() OVER (ORDER BY cand) AS rn FROM f), tn WHERE rn <= m),
@@ -225,8 +224,11 @@ def select_fallback(spark, sf):
 
 @query("inject_report", f"""
 WITH {BIP_S}, ra AS (SELECT unnest(['val', 'test', 'train']) AS split, unnest([0.02, 0.05, 0.0]) AS ratio),
-n AS (SELECT split, ratio::DOUBLE AS ratio, CAST(floor((SELECT count(*) FROM bs WHERE bs.split = ra.split) * ratio::DOUBLE) AS BIGINT) AS n FROM ra)
-SELECT split, ratio, n AS requested, n AS generated, (SELECT count(*) FROM bs) + (SELECT sum(n) FROM n)::BIGINT AS total, 0::BIGINT AS out_of_order FROM n""")
+n AS (SELECT split, ratio::DOUBLE AS ratio, CAST(floor((SELECT count(*) FROM bs WHERE bs.split = ra.split) * ratio::DOUBLE) AS BIGINT) AS n FROM ra),
+fr AS (SELECT s.split, count(*) AS free FROM (SELECT DISTINCT split, src FROM bs) s JOIN (SELECT DISTINCT split, tgt FROM bs) g ON g.split = s.split
+       LEFT JOIN (SELECT DISTINCT src, tgt, 1 AS seen FROM bs) o ON o.src = s.src AND o.tgt = g.tgt WHERE seen IS NULL AND s.src <> g.tgt GROUP BY 1),
+md AS (SELECT n.*, least(n, coalesce(free, 0)) AS made FROM n LEFT JOIN fr USING (split))
+SELECT split, ratio, n AS requested, made AS generated, (SELECT count(*) FROM bs) + (SELECT sum(made) FROM md)::BIGINT AS total, 0::BIGINT AS out_of_order FROM md""")
 def inject_report(spark, sf):
     """Structural anomalies in two splits: requested and generated, and the final order."""
     e = with_msg(base.bip_split(spark, sf)).select("src", "tgt", "t", "edge_pos", "split", "msg")
@@ -244,10 +246,11 @@ def nearby_targets(spark, sf):
     return ij.nearby_targets(e, e.count() // 20, 10, "near")
 
 
-def unseen_sql(seed, n, filt="TRUE", pool=None, extra=""):
+def unseen_sql(seed, n, filt="TRUE", extra=""):
     ends = "u, v" if extra else "a AS u, b AS v"
     return f"""
-c AS (SELECT cand, {ends} FROM (SELECT cand, {pick(pool or 'n', seed, "'a'", 'cand')} AS a, {pick(pool or 'n', seed, "'b'", 'cand')} AS b FROM nn, range(0, 40 * ({n}) + 400) r(cand)) q {extra}),
+{permuted('pm', '(SELECT n * n FROM nn)', seed, f'40 * ({n}) + 400')},
+c AS (SELECT cand, {ends} FROM (SELECT cand, code // n AS a, code % n AS b FROM pm, nn) q {extra}),
 f AS (SELECT least(u, v) AS lo, greatest(u, v) AS hi, min(cand) AS cand FROM c WHERE u <> v AND {filt} GROUP BY 1, 2),
 k AS (SELECT cand, row_number() OVER (ORDER BY cand) - 1 AS slot FROM f LEFT JOIN (SELECT DISTINCT src, tgt FROM ug) o ON o.src = lo AND o.tgt = hi WHERE o.src IS NULL),
 w AS (SELECT slot, u, v FROM k JOIN c USING (cand) WHERE slot < ({n}))"""
@@ -290,9 +293,10 @@ def between_communities(spark, sf):
 @query("scattered_anomalies", f"""
 WITH {UG_S}, {NN}, {unseen_sql('sc', N2)},
 te AS (SELECT src, tgt, row_number() OVER (ORDER BY edge_pos) - 1 AS i FROM us WHERE split = 'test'),
-sp AS (SELECT id, row_number() OVER (ORDER BY {u01('sc', "'spot'", 'id')}, id) - 1 AS r FROM range(0, (SELECT count(*) FROM te) + {N2}) q(id)),
-tk AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS slot FROM sp WHERE r < {N2}),
-fr AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM sp WHERE r >= {N2})
+nw AS (SELECT count(*) AS n FROM w),
+sp AS (SELECT id, row_number() OVER (ORDER BY {u01('sc', "'spot'", 'id')}, id) - 1 AS r FROM range(0, (SELECT count(*) FROM te) + (SELECT n FROM nw)) q(id)),
+tk AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS slot FROM sp, nw WHERE r < n),
+fr AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM sp, nw WHERE r >= n)
 SELECT id AS place, src, tgt, CAST(0 AS INTEGER) AS label FROM te JOIN fr USING (i)
 UNION ALL SELECT id, u, v, CAST(1 AS INTEGER) FROM w JOIN tk USING (slot)""")
 def scattered_anomalies(spark, sf):

@@ -56,3 +56,20 @@ def u01(seed: object, *keys: str) -> str:
 
 def pick(size: str, seed: object, *keys: str) -> str:
     return f"CAST(floor({u01(seed, *keys)} * {size}) AS BIGINT)"
+
+
+def permuted(name: str, size: str, seed: object, most: str) -> str:
+    """Table ``name`` (cand, code): the permutation of ``tgraph.functions.random.permuted``.
+
+    ``size`` is a scalar; numbers ``cand`` go up to ``most`` or the whole range.
+    """
+    steps = [
+        f"{name}_h AS (SELECT m, greatest(1, (length(bin(m - 1)) + 1) // 2) AS h FROM (SELECT CAST({size} AS BIGINT) AS m))",
+        f"{name}_0 AS (SELECT id AS cand, m, h, id >> h AS l, id & ((1::BIGINT << h) - 1) AS r FROM {name}_h,"
+        f" range(0, (SELECT CAST(least(1::BIGINT << (2 * h), {most}) AS BIGINT) FROM {name}_h)) q(id))",
+    ]
+    for i in range(4):
+        mixed = pick("(1::BIGINT << h)", seed, f"'round{i}'", "r")
+        steps.append(f"{name}_{i + 1} AS (SELECT cand, m, h, r AS l, xor(l, {mixed}) AS r FROM {name}_{i})")
+    steps.append(f"{name} AS (SELECT cand, (l << h) | r AS code FROM {name}_4 WHERE ((l << h) | r) < m)")
+    return ",\n".join(steps)

@@ -184,5 +184,26 @@ def test_rows_are_injected_in_order_or_refused(spark):
     assert {r["split"]: (r["requested"], r["generated"]) for r in report.collect()} == {"test": (5, 5), "train": (0, 0)}
     with pytest.raises(ValueError, match="already"):
         ij.inject_rows(out, "structural", {"test": 0.2})
-    with pytest.raises(ValueError, match="unseen pairs"):
-        ij.generate(edges.filter("src < 2 and tgt < 13"), "structural", 1.0, "test", "s")
+    # every pair is seen, or all but one of many asked for
+    small = edges.filter("src < 2 and tgt < 13")
+    free = {(s["src"], t["tgt"]) for s in small.filter("split = 'test'").collect() for t in small.filter("split = 'test'").collect()}
+    free -= {(r["src"], r["tgt"]) for r in small.collect()}
+    few = ij.generate(small, "structural", 1.0, "test", "s").collect()
+    assert {(r["src"], r["tgt"]) for r in few} == free and len(few) == len(free)
+    asked = small.filter("split = 'test'").count()
+    full = ij.generate(small, "structural", 1.0, "test", "s", fallbacks=True).collect()
+    assert len(full) == max(asked, len(free)) and free <= {(r["src"], r["tgt"]) for r in full}
+    _, report = ij.inject_rows(small, "structural", {"test": 1.0}, "s")
+    assert report.first()["requested"] == asked and report.first()["generated"] == len(free)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 16, 17, 1000, 4096])
+def test_permutation_has_every_number_once(spark, size):
+    from tgraph.functions.random import permuted, permuted_range
+
+    every = permuted_range(size)
+    assert size <= every <= max(4, 4 * size)
+    got = [r["x"] for r in permuted(spark.range(every), "id", size, "seed", "x").select("x").collect()]
+    assert sorted(got) == list(range(size))
+    other = [r["x"] for r in permuted(spark.range(every), "id", size, "other", "x").select("x").collect()]
+    assert size < 100 or got != other

@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tgraph.functions import arrays as ar
-from tgraph.functions.random import pick, u01
+from tgraph.functions.random import permuted_range, pick, u01
 from tgraph.operators.ordering import global_position, group_position, running, shifted
 from tgraph.operators.sampling import (
     indexed,
     lookup,
+    numbered_pairs,
     observed_pairs,
     smallest,
     unseen_pairs,
@@ -387,11 +388,13 @@ def anchor_window(edges: DataFrame, width: int | float, seed: object) -> DataFra
 
 
 def structural(
-    edges: DataFrame, observed: DataFrame, n: int, seed: object, window: int | float | None = None
+    edges: DataFrame, observed: DataFrame, n: int, seed: object, window: int | float | None = None, fallbacks: bool = False
 ) -> DataFrame:
-    """n unseen ordered pairs of the split's own sources and targets.
+    """n unseen ordered pairs of the split's own sources and targets, or all there are.
 
-    Time and message are those of the source's first row.
+    Time and message are those of the source's first row. With ``fallbacks``, what is
+    missing is drawn as ``select_unseen`` does, from the pools' observed pairs. As
+    fewer than n pairs are free then, the pools have no more pairs than are observed or asked for.
     """
     rows = edges if window is None else anchor_window(edges, window, seed)
     spark = edges.sparkSession
@@ -400,13 +403,17 @@ def structural(
     if ns * nt == 0 or n == 0:
         raise ValueError("nothing to draw from")
 
-    def draw(cand: DataFrame) -> DataFrame:
-        out = cand.withColumns(
-            {"_a": pick(ns, seed, F.lit("s"), "cand"), "_b": pick(nt, seed, F.lit("t"), "cand")}
-        )
-        return lookup(lookup(out, "_a", s, "_i", "src", "u"), "_b", t, "_i", "tgt", "v")
-
-    new = unseen_pairs(spark, n, draw, observed, ordered=True)
+    def ends(cand: DataFrame) -> DataFrame:
+        return lookup(lookup(cand, "a", s, "_i", "src", "u"), "b", t, "_i", "tgt", "v")
+
+    new = unseen_pairs(spark, n, (ns, nt), ends, observed, seed, ordered=True)
+    if fallbacks:
+        new = materialize(new, "unseen")
+        if new.count() < n:
+            every = numbered_pairs(spark.range(permuted_range(ns * nt)).withColumnRenamed("id", "cand"), (ns, nt), seed)
+            every = ends(every).filter(F.col("u") != F.col("v")).select(F.col("cand").alias("slot"), F.col("u").alias("lo"), F.col("v").alias("hi"))
+            new = select_unseen(every, observed, n, seed, ("lo", "hi"), fallbacks=True)
+            new = global_position(new, ["slot", "lo", "hi"], "_p").select(F.col("_p").alias("slot"), F.col("lo").alias("u"), F.col("hi").alias("v"))
     first = rows.groupBy("src").agg(F.min_by(F.struct("t", "msg"), "edge_pos").alias("f"))
     return new.select("slot", F.col("u").alias("src"), F.col("v").alias("tgt")).join(first, "src").select(
         "slot", "src", "tgt", "f.t", "f.msg"
@@ -475,10 +482,13 @@ def generate(
     seed: object = 0,
     window: int | float | None = None,
     metric: str = "cosine",
+    fallbacks: bool = False,
 ) -> DataFrame:
     """Structural, temporal and contextual anomalies or their mixes.
 
-    ``combination`` splits the target evenly over all six types.
+    ``combination`` splits the target evenly over all six types. Where fewer unseen
+    pairs exist than are asked for, all of them are returned; ``fallbacks`` adds
+    observed ones to the full number.
     """
     kind = TYPE_ALIASES.get(kind, kind)
     if kind not in (*ROW_TYPES, "combination"):
@@ -504,7 +514,7 @@ def generate(
             continue
         salt = f"{seed}-{k}"
         if "structural" in k:
-            made = materialize(structural(rows, pairs, m, salt, window), "made")
+            made = materialize(structural(rows, pairs, m, salt, window, fallbacks), "made")
             if "temporal" in k:
                 made = plausible_times(made, deltas, span["a"], span["b"], f"{salt}-t")
                 made = made.withColumn("t", F.col("new_t")).drop("new_t")
@@ -549,14 +559,20 @@ def select_unseen(
 
 
 def inject_rows(
-    edges: DataFrame, kind: str, ratios: Mapping[str, float], seed: object = 0, window: int | float | None = None, metric: str = "cosine"
+    edges: DataFrame,
+    kind: str,
+    ratios: Mapping[str, float],
+    seed: object = 0,
+    window: int | float | None = None,
+    metric: str = "cosine",
+    fallbacks: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Row-wise anomalies in several splits: all edges in order, and a report.
 
     Edges (src, tgt, t, edge_pos, split, msg) that already hold anomalies are
     refused. The result is ordered by time and source, normal edges first, then by
     target and kind; ``edge_pos`` is the new position. The report has one row per
-    split with the requested and the generated number.
+    split with the requested and the generated number; see ``generate`` for ``fallbacks``.
     """
     if "label" in edges.columns and not edges.filter(F.col("label") == 1).isEmpty():
         raise ValueError("the edges already hold anomalies")
@@ -571,7 +587,7 @@ def inject_rows(
         if requested == 0:
             rows.append((split, float(ratio), 0, 0))
             continue
-        made = materialize(generate(edges, kind, ratio, split, f"{seed}-{split}", window, metric), "generated")
+        made = materialize(generate(edges, kind, ratio, split, f"{seed}-{split}", window, metric, fallbacks), "generated")
         rows.append((split, float(ratio), requested, made.count()))
         out = out.unionByName(made.select(*columns, "label", "kind").withColumn("_old", F.lit(None).cast("bigint")))
     ordered = global_position(out, ["t", "src", "label", "_old", "tgt", "kind"], "edge_pos").drop("_old")
@@ -630,14 +646,11 @@ def labelled_test_set(edges: DataFrame, train: float, share: float, seed: object
     )
     normal = edges.filter(F.col("edge_pos") >= cut).select("src", "tgt", F.lit(0).alias("label"))
 
-    def draw(cand: DataFrame) -> DataFrame:
-        out = cand.withColumns(
-            {"_a": pick(size, seed, F.lit("a"), "cand"), "_b": pick(size, seed, F.lit("b"), "cand")}
-        )
-        return lookup(lookup(out, "_a", pool, "_i", "v", "u"), "_b", pool, "_i", "v", "v")
+    def ends(cand: DataFrame) -> DataFrame:
+        return lookup(lookup(cand, "a", pool, "_i", "v", "u"), "b", pool, "_i", "v", "v")
 
     m = anomaly_count(n - cut, share)
-    new = unseen_pairs(edges.sparkSession, m, draw, observed_pairs(edges))
+    new = unseen_pairs(edges.sparkSession, m, (size, size), ends, observed_pairs(edges), seed)
     new = new.select(F.col("u").alias("src"), F.col("v").alias("tgt"), F.lit(1).alias("label"))
     both = normal.unionByName(new)
     shuffled = both.withColumn("_u", u01(seed, F.lit("place"), "src", "tgt", "label"))
@@ -647,14 +660,10 @@ def labelled_test_set(edges: DataFrame, train: float, share: float, seed: object
 def uniform_unseen(edges: DataFrame, num_nodes: int, n: int, seed: object = 0) -> DataFrame:
     """n unseen pairs of any nodes, with time and message of random rows."""
 
-    def draw(cand: DataFrame) -> DataFrame:
-        return cand.select(
-            "cand",
-            pick(num_nodes, seed, F.lit("a"), "cand").alias("u"),
-            pick(num_nodes, seed, F.lit("b"), "cand").alias("v"),
-        )
+    def ends(cand: DataFrame) -> DataFrame:
+        return cand.select("cand", F.col("a").alias("u"), F.col("b").alias("v"))
 
-    new = unseen_pairs(edges.sparkSession, n, draw, observed_pairs(edges))
+    new = unseen_pairs(edges.sparkSession, n, (num_nodes, num_nodes), ends, observed_pairs(edges), seed)
     total = edges.count()
     take = [c for c in ("t", "msg") if c in edges.columns]
     rows = edges.select(F.col("edge_pos").alias("_r"), *take)
@@ -672,16 +681,14 @@ def between_communities(edges: DataFrame, communities: DataFrame, n: int, seed:
     size = pool.count()
     lookup_side = maybe_broadcast(pool)
 
-    def draw(cand: DataFrame) -> DataFrame:
+    def ends(cand: DataFrame) -> DataFrame:
         out = cand
-        for tag, end, c in (("a", "u", "_cu"), ("b", "v", "_cv")):
-            side = lookup_side.select(
-                F.col("_i").alias("_d"), F.col("node_id").alias(end), F.col("cluster").alias(c)
-            )
-            out = out.withColumn("_d", pick(size, seed, F.lit(tag), "cand")).join(side, "_d").drop("_d")
+        for at, end, c in (("a", "u", "_cu"), ("b", "v", "_cv")):
+            side = lookup_side.select(F.col("_i").alias(at), F.col("node_id").alias(end), F.col("cluster").alias(c))
+            out = out.join(side, at).drop(at)
         return out.filter(F.col("_cu") != F.col("_cv")).drop("_cu", "_cv")
 
-    new = unseen_pairs(edges.sparkSession, n, draw, observed_pairs(edges))
+    new = unseen_pairs(edges.sparkSession, n, (size, size), ends, observed_pairs(edges), seed)
     return new.select("slot", F.col("u").alias("src"), F.col("v").alias("tgt"))
 
 

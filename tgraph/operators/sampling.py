@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tgraph.functions.random import pick, u01
+from tgraph.functions.random import permuted, permuted_range, pick, u01
 from tgraph.operators.ordering import global_position, running, shifted
 from tgraph.session import materialize, maybe_broadcast
 
@@ -101,36 +101,48 @@ def smallest(df: DataFrame, n: int, draw: Column, key: Sequence[str]) -> DataFra
     return placed.filter(F.col("_p") < n).drop("_u", "_p")
 
 
+def numbered_pairs(cand: DataFrame, sizes: tuple[int, int], seed: object) -> DataFrame:
+    """Columns cand, a, b: the pair of positions that a permutation gives each number."""
+    out = permuted(cand, "cand", sizes[0] * sizes[1], seed, "_code")
+    width = F.lit(sizes[1])
+    return out.select("cand", F.expr(f"_code div {sizes[1]}").alias("a"), F.pmod("_code", width).alias("b"))
+
+
 def unseen_pairs(
     spark: SparkSession,
     n: int,
-    draw: Callable[[DataFrame], DataFrame],
+    sizes: tuple[int, int],
+    ends: Callable[[DataFrame], DataFrame],
     observed: DataFrame,
+    seed: object,
     ordered: bool = False,
 ) -> DataFrame:
     """The first ``n`` drawn pairs that are new, with their number ``slot``.
 
-    ``draw`` turns candidate numbers ``cand`` into columns u, v.  Self-loops,
-    observed pairs and repeats are dropped; four times as many candidates are
-    drawn until enough remain. If two rounds on end find no further pair, the
-    pairs that can be drawn are used up, which is an error.
+    Pairs of positions in two pools of the given ``sizes`` are drawn without repeats,
+    by a permutation of all pair numbers; ``ends`` turns them (cand, a, b) into cand, u, v.
+    Self-loops, observed pairs and, unless ``ordered``, the second of two turned pairs are dropped.
+    More numbers are drawn until enough pairs remain or all numbers are drawn; then
+    the result holds every pair there is. That only happens if most pairs are observed
+    or asked for, so no more are drawn than those many times over.
     """
-    factor, before, idle = 2, -1, 0
+    if not n or not sizes[0] * sizes[1]:
+        found = ends(spark.range(0).select(F.col("id").alias("cand"), F.col("id").alias("a"), F.col("id").alias("b")))
+        return found.select(F.col("cand").alias("slot"), "cand", "u", "v")
+    every = permuted_range(sizes[0] * sizes[1])
+    count = min(every, 8 * n + 64)
     while True:
-        cand = draw(spark.range(n * factor + 16).withColumnRenamed("id", "cand"))
+        cand = ends(numbered_pairs(spark.range(count).withColumnRenamed("id", "cand"), sizes, seed))
         lo = F.col("u") if ordered else F.least("u", "v")
         hi = F.col("v") if ordered else F.greatest("u", "v")
         fresh = cand.filter(F.col("u") != F.col("v")).withColumns({"lo": lo, "hi": hi})
         fresh = fresh.join(observed.select("lo", "hi"), ["lo", "hi"], "left_anti")
-        first = fresh.groupBy("lo", "hi").agg(F.min_by(F.struct("cand", "u", "v"), "cand").alias("f"))
-        kept = global_position(first.select("f.*"), ["cand"], "slot")
-        found = kept.count()
-        if found >= n:
+        if not ordered:
+            fresh = fresh.groupBy("lo", "hi").agg(F.min_by(F.struct("cand", "u", "v"), "cand").alias("f")).select("f.*")
+        kept = global_position(fresh.select("cand", "u", "v"), ["cand"], "slot")
+        if count == every or kept.count() >= n:
             return kept.filter(F.col("slot") < n)
-        idle = idle + 1 if found == before else 0
-        if idle == 2:
-            raise ValueError(f"only {found} of {n} unseen pairs can be drawn")
-        before, factor = found, factor * 4
+        count = min(every, count * 4)
 
 
 def ranked_non_edges(
