@@ -273,7 +273,7 @@ def _neighbourhoods(classes: DataFrame, sig: DataFrame, similarity: int) -> Data
         if many:
             hubs = materialize(_hubs(rest, many), "hubs")
             found = near(_met(rest, hubs))
-            done = done.union(hubs.select("key", "id"))
+            done = done.union(hubs.select("key", F.explode("hubs.id").alias("id")))
         else:
             found = _within_radius(rest, sig, similarity)
         close = close.union(materialize(found, "close"))
@@ -294,19 +294,24 @@ def _mixed(members: DataFrame, done: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _hubs(rest: DataFrame, many: int) -> DataFrame:
-    """The ``many`` members of each run that are least by a hash, with components."""
+    """(key, hubs): the ``many`` members (id, component) of each run that are least by a hash."""
     least = F.array_sort(F.flatten(F.collect_list("h")))
     top = rest.withColumn("h", F.struct(F.xxhash64("id").alias("x"), "id", "component"))
     # the least of each of some sub-runs first, so that no group is gathered whole
     sub = top.groupBy("key", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4 * many)).alias("s")).agg(F.array(F.min("h")).alias("h"))
-    hubs = sub.groupBy("key").agg(F.slice(least, 1, many).alias("h"))
-    return hubs.select("key", F.explode("h").alias("h")).select("key", "h.id", "h.component")
+    return sub.groupBy("key").agg(F.slice(least, 1, many).alias("hubs"))
 
 
 def _met(rest: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct pairs of a run's hubs and its members of other components."""
-    hubs = hubs.select("key", F.col("id").alias("hub"), F.col("component").alias("of"))
-    met = rest.join(hubs, "key").where("component <> of")
+    """Distinct pairs of a run's hubs and its members of other components.
+
+    Runs that share members share hubs, so a member's hubs of all its keys, at most
+    as many as keys times hubs, are put together before they become rows.
+    """
+    other = F.filter("hubs", lambda h: h["component"] != F.col("component"))
+    met = rest.join(hubs, "key").select("id", F.transform(other, lambda h: h["id"]).alias("hubs"))
+    met = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
+    met = met.select("id", F.explode("hubs").alias("hub"))
     return met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
 
