@@ -259,7 +259,7 @@ def _neighbourhoods(classes: DataFrame, sig: DataFrame, similarity: int) -> Data
         out = pairs.join(sig.alias("x"), F.col("a") == F.col("x.doc_id")).join(sig.alias("y"), F.col("b") == F.col("y.doc_id"))
         return out.where(_size_bound("x", "y", similarity) & (distance("x", "y") <= RADIUS)).select("a", "b").distinct()
 
-    star = materialize(runs(classes), "runs")
+    star = materialize(_different(materialize(runs(classes), "keys")), "runs")
     close = materialize(near(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()), "close")
     label = materialize(components(close), "hoods")
     members = star.select("key", "id").union(star.select("key", F.col("hub").alias("id")).distinct())
@@ -267,7 +267,7 @@ def _neighbourhoods(classes: DataFrame, sig: DataFrame, similarity: int) -> Data
     one = star.groupBy("key").agg(F.min("hub").alias("id"), F.max("hub").alias("hi"))
     done = one.where("id = hi").select("key", "id")
     for many in (*HUBS, 0):
-        rest = _mixed(members, done, label)
+        rest = members = _mixed(members, done, label)
         if rest.isEmpty():
             break
         if many:
@@ -281,13 +281,24 @@ def _neighbourhoods(classes: DataFrame, sig: DataFrame, similarity: int) -> Data
     return label
 
 
+def _different(star: DataFrame) -> DataFrame:
+    """The runs, one of those that have the same hubs and members.
+
+    Documents that agree in a whole chunk share every key of it, so most runs of
+    near copies come many times over. Runs are compared by their size and 128 bits.
+    """
+    x, y = (F.bit_xor(F.xxhash64(F.lit(i), "hub", "id")).alias(f"x{i}") for i in (1, 2))
+    sets = star.groupBy("key").agg(F.count("*").alias("n"), x, y)
+    return star.join(sets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")), "key", "left_semi")
+
+
 def _mixed(members: DataFrame, done: DataFrame, label: DataFrame) -> DataFrame:
     """Members, with components, of runs that still hold unlinked pairs.
 
     A hub has met every member of its run, so it is left out from then on; a
     run all of whose other members are in one component has nothing to add.
     """
-    left = members.join(done, ["key", "id"], "left_anti")
+    left = members.select("key", "id").join(done, ["key", "id"], "left_anti")
     left = left.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return materialize(left.join(mixed.select("key"), "key", "left_semi"), "mixed")
