@@ -386,12 +386,14 @@ def snapshot_lookback(spark, sf):
 
 
 @query("snapshot_iteration", f"""
-WITH {US_SNAP}, n AS (SELECT src AS v FROM sn WHERE snapshot_id <= 3 UNION SELECT tgt FROM sn WHERE snapshot_id <= 3)
-SELECT vec_id AS node_id, label FROM embeddings WHERE vec_id IN (SELECT v FROM n)""")
+WITH {US_SNAP}, n AS (SELECT snapshot_id, src AS v FROM sn UNION SELECT snapshot_id, tgt FROM sn)
+SELECT CAST(snapshot_id AS BIGINT) AS snapshot_id, v AS node_id, snapshot_id = min(snapshot_id) OVER (PARTITION BY v) AS is_new, label
+FROM n LEFT JOIN embeddings ON vec_id = v""")
 def snapshot_iteration(spark, sf):
+    """The nodes of every snapshot, and those that are new in it, with their labels."""
     e = tl.continued_snapshots(base.ugraph_split(spark, sf), 500)
     nodes = base.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), "label")
-    return tl.present_nodes(nodes, tl.snapshot_edges(e, 3, accumulate=True))
+    return tl.iterate_nodes(e).join(nodes, "node_id", "left").select("snapshot_id", "node_id", "is_new", "label")
 
 
 @query("shared_nodes", f"""

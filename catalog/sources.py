@@ -90,16 +90,16 @@ def read_actions(spark, sf):
 @query("read_reviews", """
 SELECT d.doc_id AS src, CAST(n_chars AS BIGINT) AS tgt, CAST(make_date(2010 + CAST(d.doc_id % 12 AS INT), 1 + CAST(d.doc_id % 12 AS INT), 1 + CAST(d.doc_id % 28 AS INT)) AS VARCHAR) AS t,
   CASE WHEN d.doc_id % 2 = 0 THEN 1 ELSE 0 END AS label, CAST(d.doc_id % 5 AS DOUBLE) AS rating, md5(text) AS text_md5
-FROM documents d WHERE text <> '' AND NOT contains(text, chr(92)) AND NOT contains(text, chr(13))""")
+FROM documents d""")
 def read_reviews(spark, sf):
-    """Reviews whose texts hold commas, quotes and line breaks."""
+    """Reviews with any texts: commas, quotes, backslashes, line breaks, empty and absent ones."""
     path = folder(spark)
-    d = base.table(spark, sf, "documents").filter(~F.col("text").contains("\\") & ~F.col("text").contains("\r") & (F.col("text") != ""))
+    d = base.table(spark, sf, "documents")
     month = lambda n: F.pmod("doc_id", F.lit(n))
     date = F.make_date((month(12) + 2010).cast("int"), (month(12) + 1).cast("int"), (month(28) + 1).cast("int"))
     label = F.when(F.col("doc_id") % 2 == 0, -1).otherwise(1)
     rows = d.select("doc_id", "n_chars", (F.col("doc_id") % 5).cast("double").alias("rating"), label.alias("label"), date.cast("string").alias("date"), "text")
-    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.write.csv(path, quoteAll=True, **rd.REVIEW_CSV)
     r = rd.read_reviews(spark, path)
     return r.select("src", "tgt", F.col("t").cast("string").alias("t"), "label", "rating", F.md5("text").alias("text_md5"))
 

@@ -138,3 +138,12 @@ def test_text_vectors(spark):
     unit = ft.TextVectorizer("tfidf", 10).fit(df, ["text"]).transform(df).orderBy("id").collect()
     assert sum(v * v for k, v in unit[1].asDict().items() if k.startswith("text_")) == pytest.approx(1.0)
     assert unit[1]["text_tfidf_übung"] > 0
+
+
+def test_review_texts_come_back_as_they_are(spark, tmp_path):
+    texts = ["a,b", "", None, "\\", 'end \\"', "cr\rlf\r\nnl\n", '"', '""', " lead", "trail ", "\\N?", "\n", "\r", "x\\\\", "é\t"]
+    rows = [(i, 1, 2.0, -1, "2020-01-02", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "user_id bigint, prod_id bigint, rating double, label int, date string, text string")
+    df.coalesce(1).write.csv(str(tmp_path / "r"), quoteAll=True, **rd.REVIEW_CSV)
+    got = {r["src"]: r["text"] for r in rd.read_reviews(spark, str(tmp_path / "r")).collect()}
+    assert got == dict(enumerate(texts))

@@ -275,6 +275,18 @@ def present_nodes(nodes: DataFrame, edges: DataFrame, node_id: str = "node_id")
     return nodes.join(seen, node_id, "left_semi")
 
 
+def iterate_nodes(edges: DataFrame) -> DataFrame:
+    """(snapshot_id, node_id, is_new): the nodes of every snapshot.
+
+    All rows of a snapshot are its nodes; the nodes seen up to it are the rows
+    with ``is_new`` of no later snapshot. So the accumulated views of all snapshots
+    together are no larger than the exact ones.
+    """
+    n = edges.select("snapshot_id", F.explode(F.array("src", "tgt")).alias("node_id")).distinct()
+    first = n.groupBy("node_id").agg(F.min("snapshot_id").alias("_first"))
+    return n.join(first, "node_id").select("snapshot_id", "node_id", (F.col("snapshot_id") == F.col("_first")).alias("is_new"))
+
+
 def shared_nodes(edges: DataFrame) -> DataFrame:
     """Nodes each snapshot has in common with the one before."""
     n = edges.select("snapshot_id", F.explode(F.array("src", "tgt")).alias("node_id")).distinct()

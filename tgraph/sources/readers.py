@@ -227,10 +227,17 @@ def read_actions(spark: SparkSession, directory: str) -> DataFrame:
     return join_features(actions, [wide, labels], "edge_id")
 
 
+# no escape character but the doubled quote, line ends kept as they are, and an empty text told from an absent one
+REVIEW_CSV = {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Review rows with a parsed date, a 0/1 label and the text as a feature."""
+    """Review rows with a parsed date, a 0/1 label and the text as a feature.
+
+    Texts come back as they are if they are quoted, ``\\N`` stands for an absent one.
+    """
     schema = "user_id bigint, prod_id bigint, rating double, label int, date string, text string"
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    df = spark.read.schema(schema).csv(path, multiLine=True, **REVIEW_CSV)
     label = F.when(F.col("label") == -1, 1).when(F.col("label") == 1, 0).otherwise(F.col("label"))
     return df.select(
         F.col("user_id").alias("src"), F.col("prod_id").alias("tgt"), F.to_date("date").alias("t"),
