@@ -163,7 +163,7 @@ s AS (SELECT label, coalesce(common, 0)::DOUBLE AS cn, round(coalesce(aa, 0), 9)
 r AS (SELECT label, rank() OVER (ORDER BY cn) + (count(*) OVER (PARTITION BY cn) - 1) / 2.0::DOUBLE AS rc, rank() OVER (ORDER BY aa) + (count(*) OVER (PARTITION BY aa) - 1) / 2.0::DOUBLE AS ra FROM s),
 t AS (SELECT sum(label) AS p, sum(1 - label) AS n, sum(rc * label) AS c, sum(ra * label) AS a FROM r)
 SELECT round((c - p * (p + 1) / 2.0::DOUBLE) / (p * n), 9) AS auc_common, round((a - p * (p + 1) / 2.0::DOUBLE) / (p * n), 9) AS auc_adamic_adar,
-       CAST(CASE WHEN (a - c) >= 0 THEN 2 ELSE 1 END AS INTEGER) AS hops FROM t""")
+       CAST(CASE WHEN p * n > 0 AND (a - c) >= 0 THEN 2 ELSE 1 END AS INTEGER) AS hops FROM t""")
 def hop_choice(spark, sf):
     e = base.ugraph_split(spark, sf)
     adj = gs.symmetric_adjacency(e.filter(F.col("split") == "train"))
@@ -175,7 +175,7 @@ def hop_choice(spark, sf):
     )
     scored = sg.link_heuristics(pos.unionByName(neg), adj)
     h, cn, aa = sg.choose_hops(scored.withColumn("adamic_adar", F.round("adamic_adar", 9)))
-    return rounded(e.limit(1).select(F.lit(cn).alias("auc_common"), F.lit(aa).alias("auc_adamic_adar"), F.lit(h).alias("hops")))
+    return rounded(e.limit(1).select(F.lit(cn).cast("double").alias("auc_common"), F.lit(aa).cast("double").alias("auc_adamic_adar"), F.lit(h).alias("hops")))
 
 
 def ppr_sql(terms):
