@@ -236,6 +236,22 @@ def test_models_part_good_from_bad(spark):
     assert sum((got[i].verdict == "allow") == (i % 2 == 0) for i in asked) > 0.95 * len(asked)
 
 
+def test_models_read_query_strings_and_fragments(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        good, told = i % 2 == 0, rng.random() < 0.6
+        word = "".join(rng.choice("abcde" if good else "vwxyz") for _ in range(12))
+        host = ("a.org" if good else "a.net") if told else "a.info"
+        rows.append((i, rng.choice([f"http://{host}/fr/?q={word}", f"http://{host}/fr/#{word}"]) if told or i % 4 < 2 else word))
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), RULES).collect()}
+    asked = [i for i, _ in rows if got[i].rule is None]
+    assert any("://" not in rows[i][1] for i in asked) and sum((got[i].verdict == "allow") == (i % 2 == 0) for i in asked) > 0.95 * len(asked)
+    cases = {"HTTP://A.B/c?D#e": "a.b/c?D#e", "x?y": "x?y", "": "", None: "", "a://É.Net?q\n#f": "É.net?q\n#f", "u://": ""}
+    table = spark.createDataFrame([(u,) for u in cases], "url string").select(urlfilter.text_of(F.col("url")).alias("t"))
+    assert [r.t for r in table.collect()] == list(cases.values())
+
+
 def test_urls_without_examples(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c"), (1, None)], "page_id bigint, url string")
     assert [r.verdict for r in urlfilter.judge(pages, RULES).collect()] == ["allow", "allow"]

@@ -227,11 +227,12 @@ FROM told
 """,
     "op9_urls": f"""
 WITH rest AS (
-  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-own AS (SELECT *, host || path AS text, {_rules_sql()} FROM split),
+own AS (
+  SELECT *, CASE WHEN contains(coalesce(url, ''), '://') THEN host || substr(rest, length(host) + 1) ELSE coalesce(url, '') END AS text, {_rules_sql()} FROM split),
 texts AS (
   SELECT text, sum((told IS NOT NULL AND told = 'allow')::INT) AS a, sum((told IS NOT NULL AND told = 'block')::INT) AS r,
     bool_or(told IS NULL) AS open, substr(md5(text), 1, 1) IN ('0', '1', '2', '3') AS checks FROM own GROUP BY text),

@@ -31,6 +31,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def text_of(url: Column) -> Column:
+    """What the models read: the host, then all that follows it, query string and fragment too; without ``://`` the whole url."""
+    host = host_of(url)
+    after = F.substring(_rest(url), F.length(host) + 1, F.length(url))
+    return F.coalesce(F.when(F.locate("://", url) > 0, F.concat(host, after)).otherwise(url), F.lit(""))
+
+
 def _rest(url: Column) -> Column:
     at = F.locate("://", url)
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
@@ -111,14 +118,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     ``rule`` is the longest that fits, else null; ``verdict`` is the rule's, or
     what the models say: allow if the score reaches the threshold, else block.
     ``score``, a whole number of thousandths, is the mean log ratio; null where a
-    rule decides. A null or empty url, or one without ``://``, has an empty host
-    and path and is judged like any other. If rules allow no URL or block none,
+    rule decides. The rules see host and path; the models read the whole url after
+    ``://``, query string and fragment included, or all of it without ``://``. A
+    null or empty url, or one without ``://``, has an empty host and path and is
+    judged like any other. If rules allow no URL or block none,
     the others are allowed, as there is nothing to compare. Repeated rows are
     judged each and teach each; other columns are ignored; an empty table gives
     an empty result.
     """
-    own = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    own = own.withColumn("told", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path"))
+    url = F.col(url_col).cast("string")
+    own = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), text_of(url).alias("text"))
+    own = own.withColumn("told", rule_of(F.col("host"), F.col("path"), rules))
     own = materialize(own, "urls")
     accepted = F.col("told.verdict") == "allow"
     # distinct texts are scored once, whatever the number of their pages
