@@ -178,6 +178,32 @@ def test_unknown_layouts_are_named(spark):
         chat.format_conversations(records(spark, [(1, 0, {"speaker": "x"})])).collect()
 
 
+def test_incomplete_records_and_rejects(spark):
+    rows = [
+        (1, 0, {"messages": []}),
+        (2, 0, {"messages": []}), (2, 1, {"messages": [{"role": "user", "content": "q"}, {"content": "c"}, {"role": "assistant"}, {}]}),
+        (3, 0, {"role": "user"}), (3, 1, {"text": "t"}), (3, 2, {"role": "assistant", "text": "a", "content": "b"}),
+        (4, 0, {"conversations": [{"from": "gpt"}]}),
+    ]
+    unknown = [
+        (3, 3, {"speaker": "x", "said": [{"at": 1.5, "t": None}, {"u": [[True]]}]}), (5, 0, {"said": [{"u": [["q"]], "at": "s", "t": 1}], "speaker": 7}),
+        (5, 1, {"messages": "no list"}), (5, 1, {"messages": "no list"}), (5, 2, "text"),
+    ]
+    table = records(spark, rows + unknown)
+    out = chat.read_back(chat.format_conversations(table, unknown="reject")).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in out} == {
+        1: [], 2: [("user", "q"), ("", "c"), ("assistant", ""), ("", "")], 3: [("user", ""), ("", "t"), ("assistant", "a")], 4: [("assistant", "")]
+    }
+    assert {r.conv_id: r.formatted for r in out}[1] == "" and {r.conv_id: r.loss_text for r in out}[3] == "a"
+    lost = chat.rejected(table).collect()
+    assert sorted((r.conv_id, r.turn) for r in lost) == [(3, 3), (5, 0), (5, 1), (5, 1), (5, 2)]
+    found = {(r.conv_id, r.turn): (r.paths, r.fingerprint) for r in lost}
+    assert found[3, 3] == found[5, 0] and found[3, 3][0] == "OBJECT<said: ARRAY<OBJECT<at: _, t: _, u: ARRAY<ARRAY<_>>>>, speaker: _>"
+    assert len({f for _, f in found.values()}) == 3
+    with pytest.raises(ValueError, match="unknown"):
+        chat.format_conversations(table, unknown="skip")
+
+
 # URLs
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]

@@ -3,7 +3,8 @@
 Records come in many layouts: lists of messages, instruction and output, prompt
 and completion, one row per turn. A record's nested field paths, as far as any
 mapping knows them, are hashed to a fingerprint; the fingerprint selects a
-declarative mapping, which says where the turns' roles and texts are.
+declarative mapping, which says where the turns' roles and texts are. Records
+that no mapping knows are listed by ``rejected``, with a hash of all their paths.
 
 The template is ``<|im_start|>role NEWLINE text<|im_end|>NEWLINE`` per turn. A
 backslash escapes: itself, the bar of ``<|`` in texts and roles, and a newline in
@@ -41,10 +42,12 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("messages", ("$.messages[0].role", "$.messages[0].content"), (("$.role", "$.content"),), "$.messages"),
-    Mapping("sharegpt", ("$.conversations[0].from", "$.conversations[0].value"), (("$.from", "$.value"),), "$.conversations", renamed=True),
-    Mapping("turn", ("$.role", "$.text"), (("$.role", "$.text"),)),
+    Mapping("messages", ("$.messages",), (("$.role", "$.content"),), "$.messages", ("$.messages[0].role", "$.messages[0].content")),
+    Mapping("sharegpt", ("$.conversations",), (("$.from", "$.value"),), "$.conversations", ("$.conversations[0].from", "$.conversations[0].value"), renamed=True),
+    Mapping("turn", ("$.role",), (("$.role", "$.text"),), "", ("$.text",)),
     Mapping("turn_content", ("$.role", "$.content"), (("$.role", "$.content"),)),
+    Mapping("turn_text_first", ("$.role", "$.content", "$.text"), (("$.role", "$.text"),)),
+    Mapping("turn_no_role", ("$.text",), (("$.role", "$.text"),)),
     Mapping("alpaca", ("$.instruction", "$.output"), (("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")), "", ("$.system", "$.input")),
     Mapping("prompt_completion", ("$.prompt", "$.completion"), (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")), "", ("$.system",)),
     Mapping("prompt_response", ("$.prompt", "$.response"), (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")), "", ("$.system",)),
@@ -90,7 +93,12 @@ def _turns(record: Column, mapping: Mapping) -> Column:
     if mapping.items:
         (role, text), *_ = mapping.turns
         return F.transform(F.try_variant_get(record, mapping.items, "array<variant>"), lambda x: one(x, role, text))
-    turns = F.array(*(F.when(F.try_variant_get(record, t, "variant").isNotNull(), one(record, r, t)) for r, t in mapping.turns))
+
+    def there(role: str, text: str) -> Column:
+        found = F.try_variant_get(record, text, "variant").isNotNull()
+        return found | F.try_variant_get(record, role, "variant").isNotNull() if role.startswith("$") else found
+
+    turns = F.array(*(F.when(there(r, t), one(record, r, t)) for r, t in mapping.turns))
     return F.filter(turns, lambda x: x.isNotNull())
 
 
@@ -105,6 +113,29 @@ def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) ->
     return out
 
 
+def paths(record: Column) -> Column:
+    """The nested field paths of a variant, without the types of their values, as one text.
+
+    Elements of a list are taken together. ``{"a": [{"b": 1}], "c": "x"}`` gives
+    ``OBJECT<a: ARRAY<OBJECT<b: _>>, c: _>``; null gives null.
+    """
+    value = r"(?<=: |ARRAY<|^)(?!OBJECT<|ARRAY<)[A-Z_]+(\(\d+,\d+\))?(?=[,>]|$)"
+    return F.regexp_replace(F.schema_of_variant(record), value, "_")
+
+
+def rejected(
+    rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS
+) -> DataFrame:
+    """Rows (conv_id, turn, paths, fingerprint) of records that no mapping knows.
+
+    ``fingerprint`` hashes all nested field paths, so that records of one unknown
+    layout group together; both are null for a null record. Repeated rows are listed each.
+    """
+    own = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.col(record_col).alias("record"))
+    own = own.where(canonical_turns(F.col("record"), mappings).isNull()).withColumn("paths", paths(F.col("record")))
+    return own.select("conv_id", "turn", "paths", F.when(F.col("paths").isNotNull(), F.xxhash64("paths")).alias("fingerprint"))
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
@@ -113,27 +144,36 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", record_col: str = "record") -> DataFrame:
+def format_conversations(
+    rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", record_col: str = "record", unknown: str = "error"
+) -> DataFrame:
     """One row (conv_id, formatted, loss_spans) per conversation.
 
     ``rows`` has one or more records (variants) per conversation, in the order of
     ``turn_col``; equal or null turns are ordered by role and text, nulls first.
-    A null text or role is empty. Records of no known layout raise an error that
-    names their fingerprint. ``loss_spans`` lists (start, size), in characters of
+    A null or missing text or role is empty, and an empty list of messages has no
+    turns; a conversation without any turn is returned with an empty text. Records
+    of no known layout raise an error that names their fingerprint; with ``unknown``
+    = "reject" they are left to ``rejected``, which lists them. ``loss_spans`` lists (start, size), in characters of
     ``formatted``, of the assistant's escaped texts. A null conv_id is a
     conversation of its own; an empty table gives none. Other columns are ignored.
 
     Turns are rendered where they are; a conversation is put together in chunks of
     ``CHUNK`` records, so its rows never meet in one task, only its finished text does.
     """
-    turns = F.coalesce("turns", F.raise_error(F.concat(F.lit("no mapping for records of fingerprint "), fingerprint(F.col("record")).cast("string"))).cast(TURN))
+    if unknown not in ("error", "reject"):
+        raise ValueError("unknown must be error or reject")
+    failed = F.raise_error(F.concat(F.lit("no mapping for records of fingerprint "), fingerprint(F.col("record")).cast("string"))).cast(TURN)
+    turns = F.coalesce("turns", failed) if unknown == "error" else F.col("turns")
     own = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.col(record_col).alias("record"))
-    own = own.withColumn("turns", canonical_turns(F.col("record"))).select("conv_id", "turn", F.posexplode(turns).alias("at", "said"))
+    own = own.withColumn("turns", canonical_turns(F.col("record")))
+    own = own if unknown == "error" else own.where("turns is not null")
+    own = own.select("conv_id", "turn", F.posexplode_outer(turns).alias("at", "said"))
     role = F.replace(escape(F.col("said.role")), F.lit("\n"), F.lit("\\\n"))
     text = escape(F.col("said.text"))
     head = F.concat(F.lit(START), role, F.lit("\n"))
     own = own.select(
-        "conv_id", "turn", "at", "said", F.concat(head, text, F.lit(END + "\n")).alias("line"),
+        "conv_id", "turn", "at", "said", F.coalesce(F.concat(head, text, F.lit(END + "\n")), F.lit("")).alias("line"),
         F.when(F.col("said.role") == "assistant", F.struct(F.length(head).cast("bigint").alias("start"), F.length(text).cast("bigint").alias("size"))).alias("span"),
     )
     turn = F.struct("turn", "at", "said", "line", F.length("line").cast("bigint").alias("n"), "span")
