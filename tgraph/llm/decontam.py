@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tgraph.llm.columns import put_back, set_aside
 from tgraph.session import materialize
 
 WINDOW = 10
@@ -117,12 +118,15 @@ def contamination(
     gives no hits. Other columns pass, but for one called ``_contamination``, which
     is replaced; whole texts are read.
     """
-    docs = docs.drop("_contamination")
+    item_text = text_col
+    docs, away = set_aside(docs.drop("_contamination"), ("_key", "_of", "_hits", "_text"))
+    id_col, text_col = away.get(id_col, id_col), away.get(text_col, text_col)
     # rows of equal id and text share a key; alignments are compared with each row's own words
     own = docs.withColumn("_key", F.xxhash64(id_col, text_col))
     held = own.select(F.col("_key").alias("doc_key"), words(text_col).alias("words"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(text_col).alias("words"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(item_text).alias("words"))
     items = items.where("item_id is not null and size(words) > 0").distinct().withColumn("item_key", F.xxhash64("item_id", "words"))
     hits = find(held, prefixes(held, materialize(items, "items"), window)).select(F.col("doc_key").alias("_of"), F.col("hits").alias("_hits"))
     rows = own.join(hits, F.col("_key") == F.col("_of"), "left").withColumn("_text", F.col(text_col).cast("string"))
-    return rows.select(*docs.columns, F.expr(_VERDICT.format(words=_WORDS_SQL.format(text="_text"))).alias("_contamination"))
+    out = rows.select(*docs.columns, F.expr(_VERDICT.format(words=_WORDS_SQL.format(text="_text"))).alias("_contamination"))
+    return put_back(out, away)

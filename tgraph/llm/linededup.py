@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tgraph.llm.columns import put_back, set_aside
 from tgraph.session import materialize
 
 RATIO = 0.01  # of a host's pages
@@ -50,6 +51,8 @@ def drop_boilerplate(
     its own. Rows that repeat are cleaned each; other columns pass unchanged, but
     for one called ``_lines``, which is replaced. Lines are joined by newlines again.
     """
+    docs, away = set_aside(docs, ("_host", "boilerplate", "_all", "_rest"))
+    host_col, text_col = away.get(host_col, host_col), away.get(text_col, text_col)
     common = materialize(frequent_lines(docs, host_col, text_col, ratio, least_pages), "boilerplate").withColumnRenamed("host", "_host")
     out = docs.drop("_lines").join(common, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     out = out.withColumn("_all", lines(F.col(text_col)))
@@ -65,4 +68,4 @@ def drop_boilerplate(
     )
     text = F.when(keep & (frequent > 0), F.array_join("_rest", "\n")).otherwise(F.col(text_col))
     out = out.withColumn("_lines", report).withColumn(text_col, text)
-    return out.drop("_host", "boilerplate", "_all", "_rest")
+    return put_back(out.drop("_host", "boilerplate", "_all", "_rest"), away)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tgraph.llm.columns import put_back, set_aside
 from tgraph.session import materialize
 
 SHARE = 0.7  # of the tokens to be kept
@@ -132,6 +133,8 @@ def mix(
     """
     exponents = exponents or EXPONENTS
     dims = list(exponents)
+    docs, away = set_aside(docs, ("_p", *(f"_c_{d}" for d in dims)))
+    id_col, text_col = away.get(id_col, id_col), away.get(text_col, text_col)
     own = docs.drop("_mix").withColumn("_mix", F.struct((topic_of(F.col(text_col)) if topic is None else topic).alias("topic"), tokens_of(F.col(text_col)).alias("tokens")))
     at = {d: F.col("_mix.topic") if d == "topic" else F.col(d) for d in dims}
     cells = materialize(own.groupBy(*(c.alias(d) for d, c in at.items())).agg(F.sum("_mix.tokens").alias("tokens")), "cells")
@@ -141,4 +144,4 @@ def mix(
     p = F.coalesce("_p", F.lit(share))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     out = out.withColumn("_mix", F.struct("_mix.topic", "_mix.tokens", p.alias("probability"), (draw(key) < p).alias("kept")))
-    return out.drop("_p", *(f"_c_{d}" for d in dims))
+    return put_back(out.drop("_p", *(f"_c_{d}" for d in dims)), away)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tgraph.llm.columns import put_back, set_aside
 from tgraph.session import materialize
 
 FIT_ROWS = 30_000  # bound of the labelled sample for lexicon, trees and calibration
@@ -183,9 +184,11 @@ def score(
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    docs = docs.drop("_toxicity")
+    label_id = id_col
+    docs, away = set_aside(docs.drop("_toxicity"), ("_features", "_raw", "_raw1", "_p", "_class", "_level", "_score"))
+    id_col, text_col = away.get(id_col, id_col), away.get(text_col, text_col)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
+    known = labels.select(F.col(label_id).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = lambda seed: F.xxhash64(F.col("doc_id"), F.lit(seed))
     # at most FIT_ROWS short rows, so their documents are found without moving any text
@@ -210,4 +213,4 @@ def score(
         # a little of the uncalibrated probability orders what one step of the calibration holds
         scored = rising.transform(scored).withColumn("_score", 0.99 * F.col("_level") + 0.01 * F.col("_raw1"))
     verdict = F.struct(held_out(id_col).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
-    return scored.select(*docs.columns, verdict.alias("_toxicity"))
+    return put_back(scored.select(*docs.columns, verdict.alias("_toxicity")), away)
