@@ -172,6 +172,28 @@ def tfidf(spark, sf):
     return rounded(word_values(spark, sf, "tfidf"), 8)
 
 
+ALL_WORDS = WORDS.replace(" ORDER BY total DESC, word LIMIT 64", "")
+
+
+def all_word_values(spark, sf, kind):
+    """Every word of every document: the vocabulary has no bound and stays a table."""
+    docs = base.table(spark, sf, "documents").select("doc_id", "text")
+    out = ft.TextVectorizer(kind, None).fit(docs, ["text"]).transform(docs)
+    return out.select("doc_id", F.explode(f"text_{kind}").alias("word", "value"))
+
+
+@query("bow_all_words", f"WITH {ALL_WORDS} SELECT doc_id, word, tf::DOUBLE AS value FROM ct JOIN vo USING (word)")
+def bow_all_words(spark, sf):
+    return all_word_values(spark, sf, "bow")
+
+
+@query("tfidf_all_words", f"""
+WITH {ALL_WORDS}, x AS (SELECT doc_id, word, tf * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS v FROM ct JOIN vo USING (word))
+SELECT doc_id, word, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 8) AS value FROM x""")
+def tfidf_all_words(spark, sf):
+    return rounded(all_word_values(spark, sf, "tfidf"), 8)
+
+
 @query("padded_batch", f"""
 WITH {UG}, x AS (SELECT src AS node, tgt AS nbr, t, edge_pos AS eid FROM ug UNION ALL SELECT tgt, src, t, edge_pos FROM ug),
 q AS (SELECT edge_pos * 2 AS qid, src AS node, t FROM ug UNION ALL SELECT edge_pos * 2 + 1, tgt, t FROM ug),

@@ -140,6 +140,22 @@ def test_text_vectors(spark):
     assert unit[1]["text_tfidf_übung"] > 0
 
 
+def test_text_vectors_of_all_words(spark):
+    train = spark.createDataFrame([("the cat sat, Cat!", "x1"), ("dog und Übung", None), (None, "y2")], "text string, note string")
+    df = spark.createDataFrame([(1, "cat cat dog newword", "y2", 5), (1, "cat cat dog newword", "y2", 5), (2, None, "", 6), (3, "the", "zz", 7)], "id int, text string, note string, row_0 int")
+    bow = ft.TextVectorizer("bow", None).fit(train, ["text", "note"])
+    out = bow.transform(df)
+    assert out.columns == ["id", "row_0", "text_bow", "note_bow"]
+    assert sorted(map(tuple, out.collect()), key=str) == [
+        (1, 5, {"cat": 2.0, "dog": 1.0}, {"y2": 1.0}), (1, 5, {"cat": 2.0, "dog": 1.0}, {"y2": 1.0}), (2, 6, {}, {}), (3, 7, {}, {}),
+    ]
+    # of all words, as of as many columns as there are words
+    wide = ft.TextVectorizer("tfidf", 10).fit(train.select("text"), ["text"]).transform(df.select("text")).first().asDict()
+    long = ft.TextVectorizer("tfidf", None).fit(train.select("text"), ["text"]).transform(df.select("text")).where("size(text_tfidf) > 0").first()[0]
+    assert {f"text_tfidf_{w}": v for w, v in long.items()} == pytest.approx({k: v for k, v in wide.items() if v})
+    assert ft.TextVectorizer("bow", None).fit(train.where("false"), ["text"]).transform(df.where("false")).count() == 0
+
+
 def test_review_texts_come_back_as_they_are(spark, tmp_path):
     texts = ["a,b", "", None, "\\", 'end \\"', "cr\rlf\r\nnl\n", '"', '""', " lead", "trail ", "\\N?", "\n", "\r", "x\\\\", "é\t"]
     rows = [(i, 1, 2.0, -1, "2020-01-02", t) for i, t in enumerate(texts)]

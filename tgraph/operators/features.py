@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tgraph.functions.arrays import let
 from tgraph.functions.text import STOP_WORDS, tokens
 from tgraph.operators.structure import check_columns
+from tgraph.session import materialize
 
 EPSILON = 1e-9
 
@@ -129,6 +130,12 @@ class TextVectorizer(Normalizer):
 
     Output columns are ``<column>_<kind>_<word>``.  On transform a text is
     split once and counted inside its row, without a shuffle.
+
+    With ``max_features`` None every word of the fitted texts counts. The
+    vocabulary is then a table that is joined by word, nothing of it passes
+    through the driver, and the output is one column ``<column>_<kind>``, a map
+    from the words that a text has to their values; null, empty and wholly
+    unknown texts get an empty map. Rows that repeat are counted each.
     """
 
     kind: str = "bow"
@@ -137,6 +144,7 @@ class TextVectorizer(Normalizer):
     columns: tuple[str, ...] = ()
     vocabulary: dict[str, list[str]] = field(default_factory=dict)
     idf: dict[str, dict[str, float]] = field(default_factory=dict)
+    words: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.kind not in ("bow", "tfidf"):
@@ -144,8 +152,6 @@ class TextVectorizer(Normalizer):
 
     def fit(self, df: DataFrame, columns: Sequence[str]) -> TextVectorizer:
         check_columns(df, *columns)
-        if self.max_features is None:
-            raise ValueError("max_features must be set; the columns are one per word")
         self.columns = tuple(columns)
         for c in columns:
             texts = df.filter(F.col(c).isNotNull()).select(tokens(c, self.stop_words).alias("w"))
@@ -155,13 +161,12 @@ class TextVectorizer(Normalizer):
             per_text = marked.select("_t", F.explode("w").alias("word")).groupBy("_t", "word").agg(
                 F.count("*").alias("tf")
             )
-            top = (
-                per_text.groupBy("word")
-                .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-                .orderBy(F.col("total").desc(), "word")
-                .limit(self.max_features)
-                .collect()
-            )
+            all_words = per_text.groupBy("word").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+            if self.max_features is None:
+                idf = F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1.0
+                self.words[c] = materialize(all_words.select("word", "total", "df", idf.alias("idf")), "vocabulary")
+                continue
+            top = all_words.orderBy(F.col("total").desc(), "word").limit(self.max_features).collect()
             words = sorted(r["word"] for r in top)
             self.vocabulary[c] = words
             self.idf[c] = {r["word"]: math.log((1 + n) / (1 + r["df"])) + 1.0 for r in top}
@@ -169,6 +174,8 @@ class TextVectorizer(Normalizer):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self._ready(df)
+        if self.max_features is None:
+            return self._sparse(df)
         out = df
         for c in self.columns:
             words = self.vocabulary[c]
@@ -189,6 +196,26 @@ class TextVectorizer(Normalizer):
             out = out.withColumns(named).drop("_v", c)
         return out
 
+    def _sparse(self, df: DataFrame) -> DataFrame:
+        # written once, so that a retried task cannot number the rows anew
+        row = next(n for i in range(len(df.columns) + 1) if (n := f"row_{i}") not in df.columns)
+        out = numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "texts")
+        for c in self.columns:
+            found = numbered.select(row, F.explode(tokens(c, self.stop_words)).alias("word"))
+            counted = found.groupBy(row, "word").agg(F.count("*").cast("double").alias("tf"))
+            value = F.col("tf") * F.col("idf") if self.kind == "tfidf" else F.col("tf")
+            known = counted.join(self.words[c].select("word", "idf"), "word").select(row, "word", value.alias("value"))
+            # sorted by word, so that sums of squares do not depend on the order of arrival
+            pairs = F.array_sort(F.collect_list(F.struct("word", "value")))
+            per_row = known.groupBy(row).agg(pairs.alias("pairs"))
+            values = F.col("pairs.value")
+            values = unit_length(values) if self.kind == "tfidf" else values
+            per_row = per_row.select(F.col(row), F.map_from_arrays("pairs.word", values).alias("weights"))
+            empty = F.create_map().cast("map<string,double>")
+            joined = out.drop(c) if c in out.columns else out
+            out = joined.join(per_row, row, "left").withColumn(f"{c}_{self.kind}", F.coalesce("weights", empty)).drop("weights")
+        return out.drop(row)
+
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError("the text cannot be recovered from word weights")
 
