@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tgraph.functions.arrays import let
+
 # Words of two or more letters, digits or underscores, in any script.
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -34,6 +36,19 @@ STOP_WORDS = tuple(
 )
 
 
+def word_counts(words: Column) -> Column:
+    """Sorted array of (word, tf) of an array's different words, counted inside the row."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        places = F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("word"), (F.coalesce(F.get(at, k + 1), n) - i).cast("double").alias("tf"))))
+
+    return let(F.array_sort(words), runs)
+
+
 def tokens(text: Column | str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-case words without stop words, in text order."""
     c = F.col(text) if isinstance(text, str) else text

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tgraph.functions.arrays import let
-from tgraph.functions.text import STOP_WORDS, tokens
+from tgraph.functions.text import STOP_WORDS, tokens, word_counts
 from tgraph.operators.structure import check_columns
-from tgraph.session import materialize
+from tgraph.session import materialize, maybe_broadcast
 
 EPSILON = 1e-9
 
@@ -156,16 +156,19 @@ class TextVectorizer(Normalizer):
         for c in columns:
             texts = df.filter(F.col(c).isNotNull()).select(tokens(c, self.stop_words).alias("w"))
             n = texts.count()
+            if self.max_features is None:
+                # only words and partial counts are shuffled
+                each = texts.select(F.inline(word_counts(F.col("w")))).groupBy("word")
+                each = each.agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+                idf = F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1.0
+                self.words[c] = materialize(each.withColumn("idf", idf), "vocabulary")
+                continue
             # words of one text are counted together first, then over texts
             marked = texts.withColumn("_t", F.monotonically_increasing_id())
             per_text = marked.select("_t", F.explode("w").alias("word")).groupBy("_t", "word").agg(
                 F.count("*").alias("tf")
             )
             all_words = per_text.groupBy("word").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-            if self.max_features is None:
-                idf = F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1.0
-                self.words[c] = materialize(all_words.select("word", "total", "df", idf.alias("idf")), "vocabulary")
-                continue
             top = all_words.orderBy(F.col("total").desc(), "word").limit(self.max_features).collect()
             words = sorted(r["word"] for r in top)
             self.vocabulary[c] = words
@@ -201,10 +204,9 @@ class TextVectorizer(Normalizer):
         row = next(n for i in range(len(df.columns) + 1) if (n := f"row_{i}") not in df.columns)
         out = numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "texts")
         for c in self.columns:
-            found = numbered.select(row, F.explode(tokens(c, self.stop_words)).alias("word"))
-            counted = found.groupBy(row, "word").agg(F.count("*").cast("double").alias("tf"))
+            counted = numbered.select(row, F.inline(word_counts(tokens(c, self.stop_words))))
             value = F.col("tf") * F.col("idf") if self.kind == "tfidf" else F.col("tf")
-            known = counted.join(self.words[c].select("word", "idf"), "word").select(row, "word", value.alias("value"))
+            known = counted.join(maybe_broadcast(self.words[c].select("word", "idf")), "word").select(row, "word", value.alias("value"))
             # sorted by word, so that sums of squares do not depend on the order of arrival
             pairs = F.array_sort(F.collect_list(F.struct("word", "value")))
             per_row = known.groupBy(row).agg(pairs.alias("pairs"))
