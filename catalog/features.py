@@ -10,6 +10,7 @@ from catalog.registry import register
 from catalog.sql import BIP, UG, UG_S, pick, u01
 from tgraph.operators import graphstats as gs
 from tgraph.operators import neighbors as nb
+from tgraph.operators import spectral as sx
 from tgraph.plans import base
 
 QUERIES, ORACLE, query = register()
@@ -208,24 +209,33 @@ def snapshot_props(spark, sf):
     return rounded(gs.snapshot_properties(snaps(spark, sf)), 8)
 
 
-def power_sql(rounds):
-    steps = [f"x0 AS (SELECT snapshot_id, node, {u01('ev', 'snapshot_id', 'node')} + 0.5 AS x FROM dg)"]
-    for i in range(rounds):
-        steps.append(f"""p{i} AS (SELECT adj.snapshot_id, adj.node, sum(adj.w * x.x) AS s FROM adj JOIN x{i} x ON x.snapshot_id = adj.snapshot_id AND x.node = adj.nbr GROUP BY 1, 2),
-y{i} AS (SELECT p.snapshot_id, p.node, d * x.x - s AS x FROM p{i} p JOIN x{i} x ON x.snapshot_id = p.snapshot_id AND x.node = p.node JOIN dg ON dg.snapshot_id = p.snapshot_id AND dg.node = p.node),
-m{i} AS (SELECT snapshot_id, x AS m FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY round(abs(x), 6) DESC, node) AS rn FROM y{i}) WHERE rn = 1),
-x{i + 1} AS (SELECT y.snapshot_id, node, CASE WHEN m = 0 THEN 0 ELSE x / m END AS x FROM y{i} y JOIN m{i} m ON m.snapshot_id = y.snapshot_id)""")
+def squared_sql(times):
+    """Dense Laplacians squared ``times`` times, each scaled by its largest diagonal entry."""
+    steps = ["""b0 AS (SELECT c.snapshot_id, c.node, list(CASE WHEN c.node = o.node THEN c.d ELSE -coalesce(w, 0)::DOUBLE END ORDER BY o.node) AS v
+FROM dg c JOIN dg o ON o.snapshot_id = c.snapshot_id LEFT JOIN adj ON adj.snapshot_id = c.snapshot_id AND adj.node = c.node AND adj.nbr = o.node GROUP BY 1, 2)"""]
+    for i in range(times):
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT snapshot_id, max(list_max(v)) AS s FROM b{i} GROUP BY 1),
+b{i + 1} AS MATERIALIZED (SELECT a.snapshot_id, a.node, list(list_dot_product(a.v, b.v) / s / s ORDER BY b.node) AS v
+FROM b{i} a JOIN b{i} b ON b.snapshot_id = a.snapshot_id JOIN s{i} s ON s.snapshot_id = a.snapshot_id GROUP BY 1, 2)""")
     return ",\n".join(steps)
 
 
+SQUARED = 16
+
+
 @query("spectral_change", f"""
 WITH {SNAP}, sp AS (SELECT snapshot_id, src, tgt, count(*) AS w FROM sn GROUP BY 1, 2, 3),
 adj AS (SELECT snapshot_id, src AS node, tgt AS nbr, w FROM sp UNION ALL SELECT snapshot_id, tgt, src, w FROM sp),
-dg AS (SELECT snapshot_id, node, sum(w)::DOUBLE AS d FROM adj GROUP BY 1, 2), {power_sql(3)}
-SELECT a.snapshot_id, a.node, round(coalesce(abs(a.x - b.x), 0), 7) AS change FROM x3 a LEFT JOIN x3 b ON b.snapshot_id = a.snapshot_id - 1 AND b.node = a.node""")
+dg AS (SELECT snapshot_id, node, sum(w)::DOUBLE AS d FROM adj GROUP BY 1, 2), {squared_sql(SQUARED)},
+x0 AS (SELECT snapshot_id, list({u01('ev', 'snapshot_id', 'node')} + 0.5::DOUBLE ORDER BY node) AS x FROM dg GROUP BY 1),
+y AS (SELECT b.snapshot_id, node, list_dot_product(v, x) AS x FROM b{SQUARED} b JOIN x0 ON x0.snapshot_id = b.snapshot_id),
+z AS (SELECT snapshot_id, node, x / max(abs(x)) OVER (PARTITION BY snapshot_id) AS x FROM y),
+m AS (SELECT snapshot_id, arg_min(x, node) AS m FROM z WHERE round(abs(x), 6) = 1 GROUP BY 1),
+e AS (SELECT z.snapshot_id, node, x / m AS x FROM z JOIN m ON m.snapshot_id = z.snapshot_id)
+SELECT a.snapshot_id, a.node, round(coalesce(abs(a.x - b.x), 0), 5) AS change FROM e a LEFT JOIN e b ON b.snapshot_id = a.snapshot_id - 1 AND b.node = a.node""")
 def spectral_change(spark, sf):
-    v = gs.spectral_vectors(snaps(spark, sf), 3, "ev")
-    return rounded(gs.spectral_change(v), 7)
+    """The SQL takes the power 2**16 of each dense Laplacian."""
+    return rounded(sx.spectral_change(sx.spectral_vectors(snaps(spark, sf), 1e-11, "ev")), 5)
 
 
 @query("community_count")

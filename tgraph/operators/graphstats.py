@@ -419,34 +419,3 @@ def eigengap(adj: DataFrame, max_k: int = 50, fallback: int = 10, **kw: Any) ->
         return fallback
     laplacian = np.sort(2.0 - 2.0 * values)
     return int(np.argmax(np.diff(laplacian)[1:]) + 2)
-
-
-def spectral_vectors(edges: DataFrame, rounds: int = 10, seed: object = 0, on: str = "snapshot_id") -> DataFrame:
-    """Leading Laplacian eigenvector of each snapshot by power iteration.
-
-    Normalised by the largest absolute entry, which is made positive.
-    """
-    adj = materialize(symmetric_adjacency(edges.filter(F.col("src") != F.col("tgt")), (on,)), "adjacency")
-    deg = adj.groupBy(on, "node").agg(F.sum("w").cast("double").alias("d"))
-    x = materialize(deg.select(on, "node", "d", (u01(seed, on, "node") + 0.5).alias("x")), "vector")
-    for _ in range(rounds):
-        near = adj.join(x.select(on, F.col("node").alias("nbr"), F.col("x").alias("y")), [on, "nbr"])
-        pulled = near.groupBy(on, "node").agg(F.sum(F.col("w") * F.col("y")).alias("s"))
-        raw = x.join(pulled, [on, "node"]).select(on, "node", "d", (F.col("d") * F.col("x") - F.col("s")).alias("x"))
-        raw = materialize(raw, "vector")
-        # rounded, so that equal sizes tie and the smaller id sets the sign
-        top = raw.groupBy(on).agg(
-            F.max_by("x", F.struct(F.round(F.abs("x"), 6), -F.col("node"))).alias("m")
-        )
-        x = raw.join(top, on).select(
-            on, "node", "d", F.coalesce(F.try_divide(F.col("x"), F.col("m")), F.lit(0.0)).alias("x")
-        )
-        x = materialize(x, "vector")
-    return x.select(on, "node", "x")
-
-
-def spectral_change(vectors: DataFrame, on: str = "snapshot_id") -> DataFrame:
-    """Absolute change of each node's entry since the snapshot before."""
-    before = vectors.select((F.col(on) + 1).alias(on), "node", F.col("x").alias("x0"))
-    out = vectors.join(before, [on, "node"], "left")
-    return out.select(on, "node", F.abs(F.col("x") - F.col("x0")).alias("change")).na.fill(0.0, ["change"])
