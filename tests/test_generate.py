@@ -207,3 +207,51 @@ def test_permutation_has_every_number_once(spark, size):
     assert sorted(got) == list(range(size))
     other = [r["x"] for r in permuted(spark.range(every), "id", size, "other", "x").select("x").collect()]
     assert size < 100 or got != other
+
+
+def timed(spark, rows, seen, n, last, **kw):
+    """Temporal anomalies of (src, tgt, t) rows with times of step 10 up to ``last``."""
+    schema = "edge_pos bigint, src bigint, tgt bigint, t bigint"
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema).withColumn("msg", F.array(F.col("edge_pos").cast("double")))
+    deltas = spark.createDataFrame([(10, 1, 1.0, 10)], "delta bigint, n bigint, p double, granularity bigint")
+    observed = spark.createDataFrame(seen, "src bigint, tgt bigint, t bigint")
+    return ij.temporal(e, observed, deltas, n, 0, last, "t", **kw).collect()
+
+
+def test_temporal_draws_every_free_time_once(spark):
+    rows = [(1, 2, 0), (1, 2, 10), (3, 4, 50), (5, 6, 0)]
+    # the third pair was seen at every time; one time of the first lies off the lattice, one beyond it
+    seen = [(1, 2, 0), (1, 2, 10), (1, 2, 70), (1, 2, 13), (1, 2, 200), (3, 4, 50)] + [(5, 6, t) for t in range(0, 100, 10)]
+    free = {(a, b, t) for a, b in ((1, 2), (3, 4)) for t in range(0, 100, 10)} - set(seen)
+    assert len(free) == 16
+    for n in (1, 5, 15, 16, 17, 40):
+        got = timed(spark, rows, seen, n, 95)
+        cells = [(r["src"], r["tgt"], r["t"]) for r in got]
+        assert len(got) == len(set(cells)) == len({r["slot"] for r in got}) == min(n, 16)
+        assert set(cells) <= free
+        assert all(r["msg"][0] in ((0.0, 1.0) if r["src"] == 1 else (2.0,)) for r in got)
+    assert cells and set(cells) == free
+    more = [(r["src"], r["tgt"], r["t"]) for r in timed(spark, rows, seen, 40, 95, fallbacks=True)]
+    assert len(more) == 40 and free < set(more) and set(more) - free <= set(seen)
+
+
+def test_temporal_without_a_free_time(spark):
+    seen = [(1, 2, t) for t in range(0, 100, 10)]
+    assert timed(spark, [(1, 2, 0)], seen, 3, 95) == []
+    again = timed(spark, [(1, 2, 0)], seen, 3, 95, fallbacks=True)
+    assert len({r["t"] for r in again}) == 3
+    # no multiple of ten lies between, so the first time is the only plausible one
+    one = ij.time_lattice(spark.createDataFrame([(10,)], "granularity bigint"), 11, 19)
+    assert one == (11, 10, 1)
+
+
+def test_past_taken_equals_a_list_of_free_cells(spark):
+    taken = [(1, 1, i) for i in (0, 1, 2, 5, 9, 11, 12)] + [(2, 2, 4)]
+    draws = [(g, g, r, g * 100 + r) for g in (1, 2, 3) for r in range(12)]
+    got = ij.past_taken(
+        spark.createDataFrame(draws, "src bigint, tgt bigint, rank bigint, slot bigint"),
+        spark.createDataFrame(taken, "src bigint, tgt bigint, i bigint"),
+    ).collect()
+    held = {(g, i) for g, _, i in taken}
+    want = {g: [i for i in range(30) if (g, i) not in held] for g in (1, 2, 3)}
+    assert {r["slot"]: r["i"] for r in got} == {g * 100 + r: want[g][r] for g in (1, 2, 3) for r in range(12)}

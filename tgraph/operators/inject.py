@@ -420,30 +420,114 @@ def structural(
     )
 
 
+def time_lattice(deltas: DataFrame, first: int, last: int) -> tuple[int, int, int]:
+    """Start, step and count of the plausible times in [first, last].
+
+    They are the multiples of the granularity; if there are none, ``first`` alone.
+    """
+    unit = deltas.agg(F.max("granularity").alias("g")).first()["g"] or 1
+    low, high = -(-first // unit), last // unit
+    return (low * unit, unit, high - low + 1) if low <= high else (first, unit, 1)
+
+
+def _stratum(index: Column, parts: Column, size: Column) -> Column:
+    """Where part ``index`` of ``parts`` integer parts of [0, size) begins, without an overflow."""
+    over = index * F.pmod(size, parts)
+    return index * F.call_function("div", size, parts) + F.call_function("div", over, parts)
+
+
+def _in_strata(index: Column, parts: Column, size: Column, seed: object, *keys: Column | str) -> Column:
+    """A number drawn from the part ``index`` (from 0); parts share no number if there are at most ``size``."""
+    low = _stratum(index, parts, size)
+    return low + pick(_stratum(index + 1, parts, size) - low, seed, *keys)
+
+
+def past_taken(draws: DataFrame, taken: DataFrame) -> DataFrame:
+    """Turn ``rank``, a place among a pair's free cells, into the cell ``i`` itself.
+
+    ``taken`` (src, tgt, i) lists cells once. The k-th taken cell (from 0) has i - k free
+    ones before it, so a draw moves on by the taken cells for which that is at most its rank:
+    one running count over both, and no join of a pair's draws with its cells.
+    """
+    key = ["src", "tgt"]
+    rest = [c for c in draws.columns if c not in (*key, "rank")]
+    near = taken.join(draws.select(*key).distinct(), key, "left_semi")
+    near = group_position(near, key, ["i"], "_k").select(*key, (F.col("i") - F.col("_k") + 1).alias("_at"), F.col("i").alias("_tie"))
+    marks = near.select("*", F.lit(0).alias("_draw"), F.lit(None).cast(draws.select(F.struct(*rest)).schema[0].dataType).alias("_r"))
+    both = marks.unionByName(
+        draws.select(*key, F.col("rank").alias("_at"), F.col("slot").alias("_tie"), F.lit(1).alias("_draw"), F.struct(*rest).alias("_r"))
+    )
+    counted = running(both, key, ["_at", "_draw", "_tie"], {"_n": F.lit(1).cast("bigint") - F.col("_draw")})
+    return counted.filter("_draw = 1").select(*key, (F.col("_at") + F.col("_n")).alias("i"), "_r.*")
+
+
 def temporal(
-    edges: DataFrame, observed_t: DataFrame, deltas: DataFrame, n: int, first: int, last: int, seed: object
+    edges: DataFrame,
+    observed_t: DataFrame,
+    deltas: DataFrame,
+    n: int,
+    first: int,
+    last: int,
+    seed: object,
+    fallbacks: bool = False,
 ) -> DataFrame:
-    """n existing pairs at plausible times at which they were not seen.
+    """n existing pairs at plausible times at which they were not seen, or all there are.
 
-    As many draws as there are slots are tried four times over, then eight times
-    and so on, until n different ones remain; the first n are kept. If two rounds
-    on end find no more, there are none, which is an error.
+    Each slot draws an edge, rare pairs more often, and a pair's slots draw different free
+    cells of its times, numbered past those it was seen at. Slots of a pair without enough free
+    cells draw from all pairs' remaining cells (with the message of the pair's first
+    row; their numbers start at n). ``fallbacks`` adds times the pairs were seen at to the full number.
     """
-    tries, before, idle = 4, -1, 0
-    while True:
-        picked = weighted_edges(edges, n * tries, seed).select("slot", "src", "tgt", "msg")
-        timed = plausible_times(picked, deltas, first, last, f"{seed}-t")
-        new = timed.select("slot", "src", "tgt", F.col("new_t").alias("t"), "msg")
-        new = new.join(observed_t, ["src", "tgt", "t"], "left_anti")
-        new = new.groupBy("src", "tgt", "t").agg(F.min_by(F.struct("slot", "msg"), "slot").alias("f"))
-        new = global_position(new.select("f.slot", "src", "tgt", "t", "f.msg"), ["slot"], "_p")
-        found = new.count()
-        if found >= n:
-            return new.filter(F.col("_p") < n).drop("slot").withColumnRenamed("_p", "slot")
-        idle = idle + 1 if found == before else 0
-        if idle == 2:
-            raise ValueError(f"only {found} of {n} unseen times can be drawn")
-        before, tries = found, tries * 2
+    spark, key = edges.sparkSession, ["src", "tgt"]
+    start, unit, cells = time_lattice(deltas, first, last)
+    picked = materialize(weighted_edges(edges, n, seed).select("slot", *key, "msg"), "picked")
+    firsts = edges.groupBy(*key).agg(F.min_by("msg", "edge_pos").alias("msg"))
+    ahead = F.col("t") - F.lit(start)
+    seen = observed_t.filter((ahead >= 0) & (F.pmod(ahead, F.lit(unit)) == 0) & (ahead <= F.lit(unit * (cells - 1))))
+    seen = seen.select(*key, F.expr(f"(t - {start}) div {unit}").alias("i")).distinct().join(firsts, key, "left_semi")
+    seen = materialize(seen, "taken")
+    room = F.lit(cells).cast("bigint") - F.coalesce("_seen", F.lit(0))
+    asked = picked.groupBy(*key).agg(F.count("*").alias("_asked"))
+    pairs = firsts.join(seen.groupBy(*key).agg(F.count("*").alias("_seen")), key, "left").join(asked, key, "left")
+    pairs = pairs.select(*key, "msg", room.alias("_free"), F.least(F.coalesce("_asked", F.lit(0)), room).alias("_take"))
+    pairs = materialize(pairs, "pairs")
+
+    placed = group_position(picked, key, ["slot"], "_k").join(pairs.drop("msg"), key).filter("_k <= _take")
+    rank = _in_strata(F.col("_k") - 1, F.col("_take"), F.col("_free"), seed, F.lit("time"), *key, "_k")
+    made = materialize(past_taken(placed.select("slot", *key, "msg", rank.alias("rank")), seen), "made")
+
+    left = pairs.filter("_free > _take").select(*key, "msg", (F.col("_free") - F.col("_take")).alias("_free"))
+    missing = n - made.count()
+    total = (left.agg(F.sum("_free").alias("s")).first()["s"] or 0) if missing else 0
+    if total:
+        count = min(missing, total)
+        ordered = running(global_position(left, key, "_p"), [], ["_p"], {"_end": F.col("_free")})
+        ordered = materialize(ordered.withColumn("_at", F.col("_end") - F.col("_free")), "cells")
+        at = _in_strata(F.col("id"), F.lit(count), F.lit(total), seed, F.lit("rest"), "id")
+        draws = materialize(spark.range(count).select("id", at.alias("_g")), "draws")
+        both = ordered.select("_at", F.lit(0).alias("_draw"), F.lit(None).cast("bigint").alias("id")).unionByName(
+            draws.select(F.col("_g").alias("_at"), F.lit(1).alias("_draw"), "id")
+        )
+        both = running(both, [], ["_at", "_draw", "id"], {"_p": F.lit(1).cast("bigint") - F.col("_draw")})
+        owner = both.filter("_draw = 1").select("id", F.col("_at").alias("_g"), (F.col("_p") - 1).alias("_p"))
+        more = owner.join(ordered, "_p").select(
+            (F.col("id") + n).alias("slot"), *key, "msg", (F.col("_g") - F.col("_at")).alias("rank")
+        )
+        taken = seen.unionByName(made.select(*key, "i"))
+        made = materialize(made.unionByName(past_taken(more, taken)), "made")
+        missing -= count
+    if missing and fallbacks:
+        spare = seen.join(firsts, key).select(*key, "i", "msg")
+        if missing == n:
+            again = smallest(spare, n, u01(seed, F.lit("seen"), *key, "i"), [*key, "i"])
+            again = global_position(again, [*key, "i"], "slot")
+        else:
+            spare = spare if not spare.isEmpty() else made.select(*spare.columns)
+            spare = global_position(spare, [*key, "i"], "_i")
+            again = spark.range(missing).select((F.col("id") + 2 * n).alias("slot"), pick(spare.count(), seed, F.lit("seen"), "id").alias("_i"))
+            again = again.join(spare, "_i").drop("_i")
+        made = made.unionByName(again.select(*made.columns))
+    return made.select("slot", *key, (F.lit(start) + F.col("i") * F.lit(unit)).alias("t"), "msg")
 
 
 def dissimilar_messages(
@@ -487,7 +571,7 @@ def generate(
     """Structural, temporal and contextual anomalies or their mixes.
 
     ``combination`` splits the target evenly over all six types. Where fewer unseen
-    pairs exist than are asked for, all of them are returned; ``fallbacks`` adds
+    pairs (or pairs and times) exist than are asked for, all of them are returned; ``fallbacks`` adds
     observed ones to the full number.
     """
     kind = TYPE_ALIASES.get(kind, kind)
@@ -519,7 +603,7 @@ def generate(
                 made = plausible_times(made, deltas, span["a"], span["b"], f"{salt}-t")
                 made = made.withColumn("t", F.col("new_t")).drop("new_t")
         elif "temporal" in k:
-            made = temporal(rows, seen, deltas, m, span["a"], span["b"], salt)
+            made = temporal(rows, seen, deltas, m, span["a"], span["b"], salt, fallbacks)
         else:
             made = contextual(rows, m, salt, metric=metric)
         if k != "contextual" and k.endswith("contextual"):
