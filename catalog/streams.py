@@ -12,6 +12,7 @@ from tgraph.plans import base
 from tgraph.session import scratch_dir
 from tgraph.streaming import operators as op
 from tgraph.streaming import replay as rp
+from tgraph.streaming import runs as rn
 
 QUERIES, ORACLE, query = register()
 
@@ -56,6 +57,45 @@ def stream_sessions(spark, sf):
     return out.drop("batch_id")
 
 
+LATE = 2 * DAY
+BATCHES = 4
+
+ARRIVALS = f"""{UG}, ar AS (SELECT *, edge_pos + CASE WHEN edge_pos % 5 = 0 THEN (SELECT count(*) FROM ug) // 4 ELSE 0 END AS arrival FROM ug),
+bt AS (SELECT *, arrival // (SELECT CAST(ceil((max(arrival) + 1) / {BATCHES}.0::DOUBLE) AS BIGINT) FROM ar) AS b FROM ar),
+bd AS (SELECT b + 1 AS b, max(max(t)) OVER (ORDER BY b) - {LATE} AS bound FROM bt GROUP BY bt.b),
+jd AS (SELECT bt.*, bound IS NOT NULL AND t < bound AS late FROM bt LEFT JOIN bd USING (b))"""
+
+
+def delayed_runs(spark, sf):
+    """Runs of a stream in which each fifth edge arrives a quarter of the table later."""
+    e = ug(spark, sf)
+    n = e.count()
+    e = e.withColumn("arrival", F.col("edge_pos") + F.when(F.col("edge_pos") % 5 == 0, n // 4).otherwise(0))
+    path = rp.write_slices(e, BATCHES, "arrival")
+    schema = spark.read.parquet(path).schema
+    root = f"{scratch_dir(spark)}/tgraph/runs-{uuid.uuid4().hex}"
+    query = rn.event_runs(rp.read_stream(spark, path, schema), root, LATE)
+    query.awaitTermination()
+    rn.finish(spark, root, schema)
+    return root, schema
+
+
+@query("stream_event_runs", f"""
+WITH {ARRIVALS}, o AS (SELECT src, t, CASE WHEN src = lag(src) OVER (ORDER BY t, src, edge_pos) THEN 0 ELSE 1 END AS n, edge_pos FROM jd WHERE NOT late),
+r AS (SELECT *, sum(n) OVER (ORDER BY t, src, edge_pos) - 1 AS run FROM o)
+SELECT run::BIGINT AS run, src, count(*) AS edges, min(t) AS t_min, max(t) AS t_max FROM r GROUP BY run, src""")
+def stream_event_runs(spark, sf):
+    root, schema = delayed_runs(spark, sf)
+    return rn.read_runs(spark, root, schema)
+
+
+@query("stream_event_late", f"""
+WITH {ARRIVALS} SELECT src, tgt, t, edge_pos, b::BIGINT AS batch FROM jd WHERE late""")
+def stream_event_late(spark, sf):
+    root, schema = delayed_runs(spark, sf)
+    return rn.read_late(spark, root, schema).select("src", "tgt", "t", "edge_pos", F.col("batch_id").alias("batch"))
+
+
 @query("stream_degree", f"""
 WITH {UG} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ug UNION ALL SELECT tgt FROM ug) GROUP BY 1""")
 def stream_degree(spark, sf):

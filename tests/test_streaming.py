@@ -1,8 +1,12 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tgraph.streaming import operators as op
 from tgraph.streaming import replay as rp
+from tgraph.streaming import runs as rn
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +63,53 @@ def test_late_edges_are_listed(spark, edges):
     stamped = edges.withColumn("ts", F.timestamp_micros("t"))
     late = op.late_edges(stamped, "1970-01-01 01:00:00", "30 minutes")
     assert late.count() == 30
+
+
+def test_event_runs_of_shuffled_and_late_input(spark, tmp_path):
+    """Batches with edges out of order, too late, at one time, and without source or time."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), i // 3 * 10) for i in range(90)]
+    order = sorted(rows, key=lambda r: r[0] + rng.choice([0, 0, 8, 40]))
+    rows = [(*r, i) for i, r in enumerate(order)] + [(90, 5, None, 90)]
+    e = spark.createDataFrame(rows, "edge_pos bigint, src bigint, t bigint, arrival bigint")
+    path = rp.write_slices(e, 5, "arrival")
+    schema = spark.read.parquet(path).schema
+    root = str(tmp_path / "runs")
+    query = rn.event_runs(rp.read_stream(spark, path, schema), root, 50)
+    query.awaitTermination()
+    assert query.exception() is None
+    rn.finish(spark, root, schema)
+
+    bound, top, used, late = None, None, [], []
+    for k in range(5):
+        part = rows[k * 19 : (k + 1) * 19]
+        for r in part:
+            (late if r[2] is None or (bound is not None and r[2] < bound) else used).append((k, r))
+        top = max([r[2] for _, r in used])
+        bound = top - 50
+    assert {(r["batch_id"], r["edge_pos"]) for r in rn.read_late(spark, root, schema).collect()} == {(k, r[0]) for k, r in late}
+    assert len(late) > 3
+    key = lambda r: (r[2], r[1] is not None, r[1] or 0)
+    want = []
+    for src, group in itertools.groupby(sorted([r for _, r in used], key=key), lambda r: r[1]):
+        t = [r[2] for r in group]
+        want.append((len(want), src, len(t), t[0], t[-1]))
+    got = rn.read_runs(spark, root, schema).orderBy("run").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_a_repeated_batch_gives_the_same_runs(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    part = spark.createDataFrame([(1, 10), (1, 20), (2, 30), (2, 90)], "src bigint, t bigint")
+    for k in (0, 0, 1, 1):
+        rn._step(root, part.withColumn("t", F.col("t") + 100 * k), k, 40)
+    rn._step(root, part.limit(0), 2, None)
+    got = rn.read_runs(spark, root, part.schema).orderBy("run").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 2, 10, 20), (1, 2, 2, 30, 90), (2, 1, 2, 110, 120), (3, 2, 2, 130, 190)]
+
+
+def test_a_stream_without_batches_has_no_runs(spark, tmp_path):
+    schema = spark.createDataFrame([], "src bigint, t bigint").schema
+    root = str(tmp_path / "runs")
+    rn.finish(spark, root, schema)
+    assert rn.read_runs(spark, root, schema).count() == rn.read_late(spark, root, schema).count() == 0
