@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tgraph.llm import minhash, textnum
@@ -94,6 +95,51 @@ def test_keys_meet_within_the_radius():
     assert all(set(x) & set(y) for x, y in zip(ka, kb))
 
 
+@pytest.mark.parametrize("size", [2048, 16])
+def test_runs_of_a_large_group_return_few_links(spark, monkeypatch, size):
+    """Near copies of one text, many too far for a link: runs that are not one component."""
+    monkeypatch.setattr(minhash, "RUN", size, raising=False)  # small: runs in parts
+    monkeypatch.setattr(minhash, "MEMBERS", 16)
+    rng = np.random.default_rng(6)
+    symbols = np.repeat(rng.integers(0, 256, (1, minhash.SYMBOLS), dtype=np.uint8), 240, 0)
+    for row in symbols:
+        at = rng.choice(minhash.SYMBOLS, rng.integers(0, 40), replace=False)
+        row[at] = rng.integers(0, 256, len(at), dtype=np.uint8)
+    rows = [(i, i, int(rng.integers(90, 120)), i, *map(int, x.view("<i8"))) for i, x in enumerate(symbols)]
+    rows.append((-1, -1, 100, 7, *map(int, symbols[9].view("<i8"))))  # a repeated doc_id heads two classes
+    names = ", ".join(f"{w} bigint" for w in minhash.WORDS)
+    classes = spark.createDataFrame(rows, f"d1 bigint, d2 bigint, n_shingles bigint, doc_id bigint, {names}")
+    own, n = [r[3] for r in rows], [r[2] for r in rows]
+    parent = {i: i for i in own}
+    every = np.concatenate((symbols, symbols[9:10]))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (every[i] != every[j]).sum() <= minhash.RADIUS and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]):
+            x, y = find(parent, own[i]), find(parent, own[j])
+            parent[max(x, y)] = min(x, y)
+    given = []
+    monkeypatch.setattr(minhash, "components", lambda links: given.append(links.count()) or components(links))
+    got = dict(minhash._neighbourhoods(classes, classes.select("doc_id", "n_shingles", *minhash.WORDS), 80).collect())
+    assert {i: got.get(i, i) for i in parent} == {i: find(parent, i) for i in parent}
+    assert len(set(got.values())) < len(got)
+    # a spanning set of each of four tasks and each of two rounds, not pairs
+    assert max(given) < 8 * len(rows)
+    assert len(given) == (1 if size == 2048 else 2)
+
+
+def test_slabs_do_not_cut_runs(monkeypatch):
+    monkeypatch.setattr(minhash, "ROWS", 7)
+    rng = np.random.default_rng(7)
+    key = np.sort(rng.integers(0, 12, 100))
+    ids = rng.permutation(100)
+    words = rng.integers(0, 3, (1, 8)).repeat(100, 0)
+    table = pa.table({"key": key, "part": key * 0, "id": ids, "component": ids, "n_shingles": key * 0 + 9} | {w: words[:, i] for i, w in enumerate(minhash.WORDS)})
+    out = pa.Table.from_batches(minhash._compare(80)(iter(table.to_batches(max_chunksize=5))))
+    # equal signatures: each run is one tree
+    assert out.num_rows == 100 - len(set(key.tolist()))
+    at = dict(zip(ids.tolist(), key.tolist()))
+    assert all(at[a] == at[b] for a, b in zip(*(c.to_pylist() for c in out.columns)))
+
+
 def test_native_distance(spark):
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 3, (2, 50, minhash.SYMBOLS), dtype=np.uint8)
@@ -105,6 +151,12 @@ def test_native_distance(spark):
     assert got == (a != b).sum(1).tolist()
 
 
+def test_distance_of_arrays():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 3, (2, 50, minhash.SYMBOLS), dtype=np.uint8)
+    assert minhash.apart(a.view(np.uint64), b.view(np.uint64)).tolist() == (a != b).sum(1).tolist()
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]

@@ -8,10 +8,13 @@ listing, for each chunk, all ways to leave two symbols out gives both documents
 a key in common: no pair within the radius is lost. For a similarity of exactly
 0.8 the radius lies four standard deviations above the mean distance.
 
-Documents that share a key form a run. Runs are never expanded into pairs as
-such: documents with equal shingle sets are one class from the start, and the
-members of a run are compared with hubs of it, by their signatures alone. What a
-run has left, members that no hub connected, is joined under the Hamming radius.
+Documents that share a key form a run; documents with equal shingle sets are one
+class from the start. A run is sorted into one task with its signatures. There its
+smallest document is compared with all others; then those outside the run's largest
+component with every member, whatever other runs of the task have linked being
+known. Only links that join components are returned, never all pairs. A run of more
+than ``RUN`` members is compared in parts first, other ones for each key; where it is
+not one component then, the pairs of its parts that hold two components follow.
 So every pair within the radius ends in one neighbourhood.
 
 Links are confirmed on the full shingle sets, read from the texts: first between
@@ -32,13 +35,15 @@ from pyspark.sql import functions as F
 
 from tgraph.llm.components import components
 from tgraph.llm.textnum import mix, shingles, slices
-from tgraph.session import materialize
+from tgraph.session import materialize, maybe_broadcast
 
 SYMBOLS = 64
 CHUNKS = 9
 ERRORS = 2  # symbols left out of each chunk
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-HUBS = (8,)  # hubs of a run in each further round
+RUN = 2048  # members of a run that are compared in one task
+ROWS = 1 << 16  # rows of runs that a task holds at once
+OTHERS = 256  # members compared with their whole run at once
 MEMBERS = 512  # documents of a block that is compared as a whole
 COLUMNS = 4096  # shingles counted at once in a block
 BLOCK = 4096  # signatures whose keys a task holds at once
@@ -155,21 +160,115 @@ def runs(classes: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("key", "id").mapInArrow(_runs_of_keys, "key bigint, hub bigint, id bigint")
 
 
+# one bit is left of each byte that is not zero
+FOLDS = ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101))
+
+
 def distance(a: str, b: str) -> Column:
     """Number of different symbols of two signatures of eight longs each."""
     total = F.lit(0)
     for w in WORDS:
         x = F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        for shift, mask in FOLDS:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
         total = total + F.bit_count(x)
     return total
 
 
-def _size_bound(a: str, b: str, similarity: int) -> Column:
-    """Sets whose sizes differ too much cannot reach the similarity."""
-    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (F.lit(100) * F.least(n, m)) >= (F.lit(similarity) * F.greatest(n, m))
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``distance``, of arrays whose last axis holds the eight words."""
+    total = np.uint8(0)
+    for i in range(len(WORDS)):
+        z = x[..., i] ^ y[..., i]
+        for shift, mask in FOLDS:
+            z = (z | (z >> np.uint64(shift))) & np.uint64(mask)
+        total = total + np.bitwise_count(z)
+    return total
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = up
+    return x
+
+
+def _join_runs(rows: pa.Table, similarity: int) -> tuple[list[int], list[int]]:
+    """Links that join what pairs within the radius join, of whole runs in order."""
+    key, part, ids, own, n, *words = (c.to_numpy() for c in rows.columns)
+    words = np.stack(words, 1).view(np.uint64)
+    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+    size = np.diff(start, append=len(key))
+    parent, a, b = {}, [], []
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        each, at = np.unique(x, return_inverse=True)
+        return np.array([_root(parent, v) for v in each.tolist()])[at]
+
+    def near(x, y) -> np.ndarray:
+        # sets whose sizes differ too much cannot reach the similarity
+        fits = 100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
+        return fits & (apart(words[x], words[y]) <= RADIUS)
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        _, one = np.unique(np.stack((own[x], own[y]), 1), axis=0, return_index=True)
+        for i, j in zip(x[one].tolist(), y[one].tolist()):
+            u, v = _root(parent, int(own[i])), _root(parent, int(own[j]))
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+
+    lead = np.repeat(start, size)
+    other = np.flatnonzero(own != own[lead])
+    other = other[near(lead[other], other)]
+    link(lead[other], other)
+    now = roots(own)
+    mixed = (np.minimum.reduceat(now, start) != np.maximum.reduceat(now, start)) & (size > 2)
+    for lo, hi in zip(start[mixed].tolist(), (start + size)[mixed].tolist()):
+        run, now = np.arange(lo, hi), roots(own[lo:hi])
+        each, at, many = np.unique(now, return_inverse=True, return_counts=True)
+        others = np.flatnonzero(at != many.argmax())
+        for c in range(0, len(others), OTHERS):
+            x = others[c : c + OTHERS]
+            i, j = np.nonzero((now[x][:, None] != now) & near(run[x][:, None], run[None, :]))
+            if len(i):
+                link(run[x[i]], run[j])
+    return a, b
+
+
+def _compare(similarity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            key, part = (table.column(i).to_numpy() for i in range(2))
+            # the last run may go on in the next batch
+            cut = int(np.flatnonzero((key != key[-1]) | (part != part[-1])).max(initial=-1)) + 1
+            if cut:
+                yield links(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if rows:
+            yield links(pa.Table.from_batches(held))
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _join_runs(table, similarity)], ["a", "b"])
+
+    return run
+
+
+def compare(members: DataFrame, sig: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) within the radius that join the components of each part of a run.
+
+    ``members`` has key, part, id and the component that is known of the id.
+    """
+    rows = members.join(sig, members.id == sig.doc_id).select("key", "part", "id", "component", "n_shingles", *WORDS)
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id")
+    return rows.mapInArrow(_compare(similarity), "a bigint, b bigint")
 
 
 def _confirm(k: int, similarity: int):
@@ -253,86 +352,24 @@ def near_duplicates(
 
 def _neighbourhoods(classes: DataFrame, sig: DataFrame, similarity: int) -> DataFrame:
     """(id, component): components of the pairs within the radius; ids without one are left out."""
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those within the radius and of fitting size."""
-        out = pairs.join(sig.alias("x"), F.col("a") == F.col("x.doc_id")).join(sig.alias("y"), F.col("b") == F.col("y.doc_id"))
-        return out.where(_size_bound("x", "y", similarity) & (distance("x", "y") <= RADIUS)).select("a", "b").distinct()
-
-    star = materialize(_different(materialize(runs(classes), "keys")), "runs")
-    close = materialize(near(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()), "close")
+    star = materialize(runs(classes), "keys")
+    # a run's first hub is its smallest document
+    sizes = materialize(star.groupBy("key").agg(F.min("hub").alias("id"), (F.count("*") + 1).alias("n")), "runs")
+    members = star.select("key", "id").union(sizes.select("key", "id"))
+    large = materialize(sizes.where(F.col("n") > RUN).select("key", F.ceil(F.col("n") * 2 / RUN).alias("parts")), "large")
+    if large.isEmpty():
+        whole = members.select("key", F.lit(0).cast("bigint").alias("part"), "id", F.col("id").alias("component"))
+        return materialize(components(compare(whole, sig, similarity)), "hoods")
+    large = maybe_broadcast(large)
+    # documents that are apart in one run meet in another, as the parts differ by key
+    part = F.coalesce(F.pmod(F.xxhash64("key", "id"), F.col("parts")), F.lit(0))
+    first = members.join(large, "key", "left").select("key", part.alias("part"), "id", F.col("id").alias("component"))
+    close = materialize(compare(first, sig, similarity), "close")
     label = materialize(components(close), "hoods")
-    members = star.select("key", "id").union(star.select("key", F.col("hub").alias("id")).distinct())
-    # a hub has met its whole run if the run has no other hub
-    one = star.groupBy("key").agg(F.min("hub").alias("id"), F.max("hub").alias("hi"))
-    done = one.where("id = hi").select("key", "id")
-    for many in (*HUBS, 0):
-        rest = members = _mixed(members, done, label)
-        if rest.isEmpty():
-            break
-        if many:
-            hubs = materialize(_hubs(rest, many), "hubs")
-            found = near(_met(rest, hubs))
-            done = done.union(hubs.select("key", F.explode("hubs.id").alias("id")))
-        else:
-            found = _within_radius(rest, sig, similarity)
-        close = close.union(materialize(found, "close"))
-        label = materialize(components(close), "hoods")
-    return label
-
-
-def _different(star: DataFrame) -> DataFrame:
-    """The runs, one of those that have the same hubs and members.
-
-    Documents that agree in a whole chunk share every key of it, so most runs of
-    near copies come many times over. Runs are compared by their size and 128 bits.
-    """
-    x, y = (F.bit_xor(F.xxhash64(F.lit(i), "hub", "id")).alias(f"x{i}") for i in (1, 2))
-    sets = star.groupBy("key").agg(F.count("*").alias("n"), x, y)
-    return star.join(sets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")), "key", "left_semi")
-
-
-def _mixed(members: DataFrame, done: DataFrame, label: DataFrame) -> DataFrame:
-    """Members, with components, of runs that still hold unlinked pairs.
-
-    A hub has met every member of its run, so it is left out from then on; a
-    run all of whose other members are in one component has nothing to add.
-    """
-    left = members.select("key", "id").join(done, ["key", "id"], "left_anti")
-    left = left.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return materialize(left.join(mixed.select("key"), "key", "left_semi"), "mixed")
-
-
-def _hubs(rest: DataFrame, many: int) -> DataFrame:
-    """(key, hubs): the ``many`` members (id, component) of each run that are least by a hash."""
-    least = F.array_sort(F.flatten(F.collect_list("h")))
-    top = rest.withColumn("h", F.struct(F.xxhash64("id").alias("x"), "id", "component"))
-    # the least of each of some sub-runs first, so that no group is gathered whole
-    sub = top.groupBy("key", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4 * many)).alias("s")).agg(F.array(F.min("h")).alias("h"))
-    return sub.groupBy("key").agg(F.slice(least, 1, many).alias("hubs"))
-
-
-def _met(rest: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct pairs of a run's hubs and its members of other components.
-
-    Runs that share members share hubs, so a member's hubs of all its keys, at most
-    as many as keys times hubs, are put together before they become rows.
-    """
-    other = F.filter("hubs", lambda h: h["component"] != F.col("component"))
-    met = rest.join(hubs, "key").select("id", F.transform(other, lambda h: h["id"]).alias("hubs"))
-    met = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))
-    met = met.select("id", F.explode("hubs").alias("hub"))
-    return met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-
-
-def _within_radius(rest: DataFrame, sig: DataFrame, similarity: int) -> DataFrame:
-    """All pairs of one run and of different components within the radius."""
-    held = rest.join(sig, rest.id == sig.doc_id).drop("doc_id")
-    x, y = held.alias("x"), held.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-    found = x.join(y, on & _size_bound("x", "y", similarity) & (distance("x", "y") <= RADIUS))
-    return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    held = members.join(large.select("key"), "key", "left_semi").select("id", F.col("key").alias("component"))
+    rest = _block_pairs(held, label).select(F.col("hood").alias("key"), F.col("pair").alias("part"), "id")
+    rest = rest.join(label, "id", "left").select("key", "part", "id", F.coalesce("component", "id").alias("component"))
+    return materialize(components(close.union(compare(rest, sig, similarity))), "hoods")
 
 
 def _block_pairs(hood: DataFrame, label: DataFrame) -> DataFrame:
