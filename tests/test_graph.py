@@ -115,6 +115,18 @@ def test_eigengap_counts_more_than_eight_communities(graph):
         gs.leading_eigenvalues(adj, 13, rounds=1, seed="e", dense_nodes=0)
 
 
+def test_eigenvalues_of_many_chains_settle(graph):
+    # 40 chains of 30 nodes, whose ends meet at random: the leading eigenvalues lie close together
+    rng = np.random.default_rng(3)
+    chains = [(c * 30 + i, c * 30 + i + 1, 0) for c in range(40) for i in range(29) for _ in range(3)]
+    ends = [(int(a) * 30 + 29, int(b) * 30, 0) for a, b in rng.integers(0, 38, (120, 2))]
+    adj = gs.symmetric_adjacency(graph([*chains, *ends]))
+    exact = gs.leading_eigenvalues(adj, 25)
+    # two chains are apart, so the largest eigenvalue is threefold
+    assert exact[2] == pytest.approx(1) and exact[3] < 1 - 1e-4
+    assert gs.leading_eigenvalues(adj, 25, seed="e", dense_nodes=100) == pytest.approx(exact, abs=1e-6)
+
+
 def test_community_count_is_that_of_a_dense_solve(spark):
     sf = "/root/testdata/sf0.001"
     got = features.community_count(spark, sf).first()
