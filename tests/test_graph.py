@@ -90,6 +90,24 @@ def test_components_and_eigenvalues(graph):
     assert gs.leading_eigenvalues(adj, 4, rounds=25, seed="e")[:2] == pytest.approx(exact[:2], abs=1e-3)
 
 
+def test_components_in_tasks_equal_rounds(graph):
+    # chains that cross, in groups below and above the bound
+    links = [(int(a), int(b), 0) for a, b in np.random.default_rng(4).permutation(300).reshape(-1, 2)]
+    links += [(i, i + 1, 0) for i in range(400, 520)] + [(7, 7, 0), (600, 600, 0)]
+    e = graph(links).withColumn("g", F.when(F.col("edge_pos") % 9 == 0, "a").when(F.col("edge_pos") < 150, "b").otherwise("c"))
+    adj = gs.symmetric_adjacency(e, ("g",))
+    ends = [(r["g"], r["src"], r["tgt"]) for r in e.collect()]
+    want = {(g, v): v for g, *pair in ends for v in pair}
+    for _ in range(130):
+        for g, a, b in ends:
+            want[g, a] = want[g, b] = min(want[g, a], want[g, b])
+    for bound in (2_000_000, 60, 5):
+        got = [(r["g"], r["node"], r["label"]) for r in gs.components(adj, ("g",), bound).collect()]
+        assert sorted(got) == sorted((*k, v) for k, v in want.items())
+    one = [tuple(r) for r in gs.components(gs.symmetric_adjacency(e), (), 40).collect()]
+    assert sorted(one) == sorted(tuple(r) for r in gs.components(gs.symmetric_adjacency(e)).collect())
+
+
 def dense_spectrum(links):
     """Eigenvalues of (I + A_sym) / 2, the largest first."""
     nodes = sorted({v for p in links for v in p})

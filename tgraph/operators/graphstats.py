@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -14,6 +15,8 @@ from tgraph.session import materialize
 
 DENSE_NODES = 2_000  # up to which a matrix of all nodes may be solved on the driver
 
+TASK_LINKS = 2_000_000  # that one task may hold to find components (about 100 MB)
+
 # For each of these nodes, the links and the numbers of a Krylov basis that one task may hold (4 M links, 24 M numbers).
 SPARSE_LINKS, SPARSE_NUMBERS = 2_000, 12_000
 
@@ -216,13 +219,91 @@ def estimate_diameter(adj: DataFrame, num_nodes: int, sources: int = 500, seed:
     return 5.0 if value is None else float(value)
 
 
-def components(adj: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+def least_labels(row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
+    """Smallest number of each number's component in the links given by their ends."""
+    label = np.arange(n)
+    while True:
+        a, b = label[row], label[col]
+        open_ = a != b
+        if not open_.any():
+            return label
+        row, col, a, b = row[open_], col[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != (up := label[label])).any():
+            label = up
+
+
+def _stars(on: tuple[str, ...], whole: bool, task_links: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function of batches that replaces their links by (on, node, label), ``task_links`` or more at a time.
+
+    ``whole`` says that rows are sorted by ``on``, and takes the links of one group together.
+    """
+    names = [*on, "node", "label"]
+
+    def solve(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        links = pd.concat(parts, ignore_index=True)
+        group = links.groupby([*on], sort=False).ngroup().to_numpy() if on else np.zeros(len(links), dtype="int64")
+        ids, at = np.unique(np.concatenate([links["node"].to_numpy(), links["nbr"].to_numpy()]), return_inverse=True)
+        codes, at = np.unique(np.concatenate([group, group]) * len(ids) + at, return_inverse=True)
+        label = least_labels(at[: len(links)], at[len(links) :], len(codes))
+        out = pd.DataFrame({"node": ids[codes % len(ids)], "label": ids[codes[label] % len(ids)]})
+        first = np.unique(group, return_index=True)[1]
+        for c in on:
+            out[c] = links[c].to_numpy()[first][codes // len(ids)]
+        return out[names]
+
+    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for b in batches:
+            while len(b):
+                # held links of full tasks end where the next group begins
+                more = np.ones(len(b), dtype=bool) if rows < task_links else np.zeros(len(b), dtype=bool)
+                if whole and rows >= task_links and on:
+                    last = held[-1].iloc[-1]
+                    more = np.logical_and.reduce([(b[c] == last[c]).to_numpy() for c in on])
+                if not more.any():
+                    yield solve(held)
+                    held, rows = [], 0
+                    continue
+                held.append(b[more])
+                rows += int(more.sum())
+                b = b[~more]
+        if held:
+            yield solve(held)
+
+    return stars
+
+
+def components(adj: DataFrame, on: tuple[str, ...] = (), task_links: int = TASK_LINKS) -> DataFrame:
     """Smallest node id of each node's connected component.
 
-    Labels take the minimum over neighbours, then jump to that label's own
-    label, so that distances shrink faster than one hop a round.
+    Groups of up to ``task_links`` counted links are solved in tasks, many at once.
+    In larger ones each task first replaces its own links by stars, then labels
+    take the minimum over neighbours and jump to that label's own label, so that
+    distances shrink faster than one hop a round.
     """
-    links = materialize(adj.select(*on, "node", "nbr").distinct(), "links")
+    links = adj.select(*on, "node", "nbr").na.drop().filter(F.col("node") <= F.col("nbr"))
+    # links are symmetric, so one direction is enough
+    links = materialize(links, "links")
+    schema = links.select(*on, "node", F.col("node").alias("label")).schema
+    sizes = links.groupBy(*on).agg(F.count("*").alias("_n"))
+    large = materialize(sizes.filter(F.col("_n") > task_links).select(*on, F.lit(True).alias("_large")), "large")
+    if large.isEmpty():
+        placed = links.repartition(*on).sortWithinPartitions(*on) if on else links.repartition(1)
+        return materialize(placed.mapInPandas(_stars(on, True, task_links), schema), "labels")
+    if on:
+        few = links.join(large.select(*on), [*on], "left_anti").repartition(*on).sortWithinPartitions(*on)
+        few = few.mapInPandas(_stars(on, True, task_links), schema)
+        links = links.join(large.select(*on), [*on], "left_semi")
+    stars = links.mapInPandas(_stars(on, False, task_links), schema)
+    labels = _by_rounds(stars, on)
+    return materialize(labels.unionByName(few), "labels") if on else labels
+
+
+def _by_rounds(stars: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    both = stars.select(*on, "node", F.col("label").alias("nbr"))
+    both = both.unionByName(both.select(*on, F.col("nbr").alias("node"), F.col("node").alias("nbr")))
+    links = materialize(both.distinct(), "links")
     labels = materialize(
         links.groupBy(*on, "node").agg(F.least(F.min("nbr"), F.col("node")).alias("label")), "labels"
     )
