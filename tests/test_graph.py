@@ -90,6 +90,21 @@ def test_components_and_eigenvalues(graph):
     assert gs.leading_eigenvalues(adj, 4, rounds=25, seed="e")[:2] == pytest.approx(exact[:2], abs=1e-3)
 
 
+def test_snapshot_properties_write_no_table_a_round(graph, monkeypatch):
+    """The number of tables, and so of jobs, does not grow with the length of a snapshot's paths."""
+    made, write = [], gs.materialize
+    monkeypatch.setattr(gs, "materialize", lambda df, label="table": made.append(label) or write(df, label))
+    counts = []
+    for length in (3, 120):
+        links = [(s * 1000 + int(i), s * 1000 + int(i) + 1, s) for s in range(3) for i in np.random.default_rng(s).permutation(length)]
+        e = graph(links).withColumn("snapshot_id", F.col("t"))
+        rows = gs.snapshot_properties(e).collect()
+        assert sorted((r["snapshot_id"], r["num_nodes"], r["num_edges"], r["components"]) for r in rows) == [(s, length + 1, length, 1) for s in range(3)]
+        counts.append(len(made))
+        made.clear()
+    assert counts[0] == counts[1] < 9
+
+
 def test_components_in_tasks_equal_rounds(graph):
     # chains that cross, in groups below and above the bound
     links = [(int(a), int(b), 0) for a, b in np.random.default_rng(4).permutation(300).reshape(-1, 2)]
