@@ -32,6 +32,17 @@ def test_hops_and_diameter(graph):
     assert gs.estimate_diameter(adj, 6, 200, "s") == 4.0
 
 
+def test_farthest_hops_equal_a_search_by_rows(graph):
+    # a long path with a star at its end, a circle, a pair, and roots that are not there
+    rows = [(i, i + 1, i) for i in range(70)] + [(70, 200 + i, i) for i in range(30)] + [(300 + i, 300 + (i + 1) % 9, i) for i in range(9)]
+    adj = gs.symmetric_adjacency(graph([*rows, (400, 401, 1), (500, 500, 1), *random_edges(40, 60, 2)]))
+    roots = [*range(0, 240, 2), *range(300, 309), 400, 401, 500, 999]
+    full = gs.hop_distances(adj, adj.sparkSession.createDataFrame([(r,) for r in roots], "root bigint"))
+    want = {r["root"]: r["far"] for r in full.filter("hops > 0").groupBy("root").agg(F.max("hops").alias("far")).collect()}
+    assert gs.farthest_hops(adj, roots) == want
+    assert gs.farthest_hops(adj, roots, task_links=0) == want
+
+
 def test_hops_of_pairs_equal_a_full_search(graph):
     path = [(i, i + 1, i) for i in range(10)]
     star = [(100, 101 + i, i) for i in range(300)]

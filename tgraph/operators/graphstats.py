@@ -15,6 +15,9 @@ from tgraph.session import materialize
 
 DENSE_NODES = 2_000  # up to which a matrix of all nodes may be solved on the driver
 
+# Roots of one search, a bit each, and links that one task may search (about 300 MB).
+WORD, SEARCH_LINKS = 60, 8_000_000
+
 TASK_LINKS = 2_000_000  # that one task may hold to find components (about 100 MB)
 
 # For each of these nodes, the links and the numbers of a Krylov basis that one task may hold (4 M links, 24 M numbers).
@@ -206,17 +209,83 @@ def estimate_diameter(adj: DataFrame, num_nodes: int, sources: int = 500, seed:
     draws = adj.sparkSession.range(sources).select(
         pick(num_nodes, seed, F.lit("bfs"), "id").alias("root")
     )
-    times = draws.groupBy("root").agg(F.count("*").alias("_n"))
-    far = (
-        hop_distances(adj, times.select("root"))
-        .filter("hops > 0")
-        .groupBy("root")
-        .agg(F.max("hops").alias("far"))
-    )
     # at most `sources` rows
-    rows = far.join(times, "root").withColumn("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
-    value = rows.agg(F.percentile("far", F.lit(0.9)).alias("p")).first()["p"]
-    return 5.0 if value is None else float(value)
+    times = {r["root"]: r["_n"] for r in draws.groupBy("root").agg(F.count("*").alias("_n")).collect()}
+    rows = [(far, times[root]) for root, far in farthest_hops(adj, sorted(times)).items()]
+    if not rows:
+        return 5.0
+    rows = adj.sparkSession.createDataFrame(rows, "far int, _n bigint")
+    rows = rows.withColumn("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    return float(rows.agg(F.percentile("far", F.lit(0.9)).alias("p")).first()["p"])
+
+
+def farthest_hops(adj: DataFrame, roots: list[int], task_links: int = SEARCH_LINKS) -> dict[int, int]:
+    """Hops to the farthest node reached from each of a few distinct roots; those that reach none are left out.
+
+    A node holds one bit a root, so a level reads each link once for all roots.
+    Graphs of up to ``task_links`` counted links are searched in tasks of
+    WORD roots each, larger ones in the cluster, by one join a level.
+    """
+    links = adj.filter(F.col("node") != F.col("nbr")).select("node", "nbr")
+    links = materialize(links.distinct(), "links")
+    words = [roots[at : at + WORD] for at in range(0, len(roots), WORD)]
+    if links.count() > task_links:
+        found = _hops_by_rounds(links, words)
+    else:
+
+        def search(part: pd.DataFrame) -> pd.DataFrame:
+            word = words[int(part["word"].iloc[0])]
+            return pd.DataFrame(_hops_in_task(part["node"].to_numpy(), part["nbr"].to_numpy(), word), columns=["root", "far"])
+
+        # links are symmetric, so a task gets one direction
+        each = links.filter("node < nbr").withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(len(words) - 1))))
+        found = each.groupBy("word").applyInPandas(search, "root bigint, far int").collect()
+    return {root: far for root, far in found if far}
+
+
+def _hops_in_task(node: np.ndarray, nbr: np.ndarray, word: list[int]) -> list[tuple[int, int]]:
+    ids, at = np.unique(np.concatenate([node, nbr]), return_inverse=True)
+    # both directions, sorted by the row's end
+    order = np.argsort(at, kind="stable")
+    col = np.roll(at, len(node))[order]
+    starts = np.searchsorted(at[order], np.arange(len(ids)))
+    seen = np.zeros(len(ids), dtype=np.int64)
+    for i, root in enumerate(word):
+        k = int(np.searchsorted(ids, root))
+        if k < len(ids) and ids[k] == root:
+            seen[k] |= 1 << i
+    front, far, hop = seen.copy(), [0] * len(word), 0
+    while front.any():
+        hop += 1
+        front = np.bitwise_or.reduceat(front[col], starts) & ~seen
+        seen |= front
+        reached = int(np.bitwise_or.reduce(front))
+        far = [hop if reached >> i & 1 else f for i, f in enumerate(far)]
+    return list(zip(word, far))
+
+
+def _hops_by_rounds(links: DataFrame, words: list[list[int]]) -> list[tuple[int, int]]:
+    numbers = range(len(words))
+    given = [(root, w, 1 << i) for w, word in enumerate(words) for i, root in enumerate(word)]
+    given = links.sparkSession.createDataFrame(given, "node bigint, w int, bit bigint")
+    own = given.groupBy("node").agg(*[F.coalesce(F.bit_or(F.when(F.col("w") == w, F.col("bit"))), F.lit(0)).alias(f"f{w}") for w in numbers])
+    # as many rows as roots
+    state = links.select("node").distinct().join(F.broadcast(own), "node", "left").na.fill(0)
+    state = materialize(state.select("*", *[F.col(f"f{w}").alias(f"s{w}") for w in numbers]), "reached")
+    far, hop = [[0] * len(word) for word in words], 0
+    while True:
+        hop += 1
+        front = state.filter(" OR ".join(f"f{w} != 0" for w in numbers))
+        front = front.select(F.col("node").alias("nbr"), *[f"f{w}" for w in numbers])
+        near = links.join(front, "nbr").groupBy("node").agg(*[F.bit_or(f"f{w}").alias(f"n{w}") for w in numbers])
+        new = [F.coalesce(f"n{w}", F.lit(0)).bitwiseAND(F.bitwise_not(f"s{w}")).alias(f"f{w}") for w in numbers]
+        state = state.join(near, "node", "left").select("node", *new, *[F.col(f"s{w}") for w in numbers])
+        state = state.select("node", *[f"f{w}" for w in numbers], *[F.col(f"s{w}").bitwiseOR(F.col(f"f{w}")).alias(f"s{w}") for w in numbers])
+        state = materialize(state, "reached")
+        reached = state.agg(*[F.bit_or(f"f{w}") for w in numbers]).first()
+        if not any(reached):
+            return [x for word, f in zip(words, far) for x in zip(word, f)]
+        far = [[hop if bits >> i & 1 else f for i, f in enumerate(of)] for bits, of in zip(reached, far)]
 
 
 def least_labels(row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
