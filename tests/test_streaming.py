@@ -59,6 +59,26 @@ def test_degrees_and_memory(spark, edges):
         assert r["n"] == len(mine)
 
 
+def test_memory_over_many_half_lives(spark, edges):
+    """Sums in the cluster, without a Python call a key, over a time in which plain growth would overflow."""
+    half = 3 * 1_000_000.0
+    few = edges.withColumn("t", F.when(F.col("edge_pos") < 3, F.col("t") - 10**12).otherwise(F.col("t")))
+    messages = op.ends_of(stream(spark, few), "edge_pos", "t").withColumn("msg", F.array(F.col("nbr").cast("double"), F.lit(-1.0)))
+    memory = op.node_memory(messages, 2, half)
+    assert "InPandas" not in memory._jdf.queryExecution().analyzed().toString()
+    out, _ = rp.run_to_table(memory, "update")
+    got = {r["node"]: r for r in op.merge_memory(rp.latest(out, ["node", "salt"]), 2, half).collect()}
+    rows = op.ends_of(few, "t").collect()
+    assert set(got) == {r["node"] for r in rows}
+    for node, r in got.items():
+        mine = [(x["t"], x["nbr"]) for x in rows if x["node"] == node]
+        last = max(t for t, _ in mine)
+        w = [0.5 ** ((last - t) / half) for t, _ in mine]
+        assert (r["last_t"], r["n"]) == (last, len(mine))
+        assert r["weight"] == pytest.approx(sum(w)) and r["state"][1] == pytest.approx(-1)
+        assert r["state"][0] == pytest.approx(sum(a * n for a, (_, n) in zip(w, mine)) / sum(w))
+
+
 def test_late_edges_are_listed(spark, edges):
     stamped = edges.withColumn("ts", F.timestamp_micros("t"))
     late = op.late_edges(stamped, "1970-01-01 01:00:00", "30 minutes")

@@ -53,39 +53,28 @@ def stream_degrees(edges: DataFrame) -> DataFrame:
 
 # --- node memory -----------------------------------------------------------
 
-MEMORY_OUT = "node bigint, salt int, last_t double, weight double, n bigint, total array<double>"
-MEMORY_STATE = "last_t double, weight double, n bigint, total array<double>"
-
-
-def node_memory(messages: DataFrame, size: int, half_life: float, salts: int = 16) -> DataFrame:
+def node_memory(messages: DataFrame, size: int, half_life: float, span: float = 32.0) -> DataFrame:
     """Exponentially decayed sum of each node's messages.
 
-    Input (node, salt key ``edge_pos``, t, msg).  State is kept per (node,
-    salt), since decayed sums can be added up later: a hub's messages spread
-    over ``salts`` tasks.  Emits the new state of touched keys.
+    Input (node, t, msg).  Messages are summed in their growth since the start
+    of their ``salt``, a stretch of ``span`` half-lives, which stays far from
+    the limits of doubles; decayed sums can be added up later.  Sums combine before
+    the shuffle, so a hub's messages do not meet in one task.  Emits the new
+    sums of touched keys (node, salt), decayed to their last time; a message
+    without time makes them NaN.
     """
-    rate = math.log(2.0) / half_life
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, weight, n, total = (-math.inf, 0.0, 0, [0.0] * size)
-        if state.exists:
-            last, weight, n, total = state.get
-            total = list(total)
-        for part in parts:
-            for t, msg in zip(part["t"], part["msg"]):
-                t = float(t)
-                keep = math.exp(-rate * (t - last)) if t >= last and weight else 1.0
-                gain = 1.0 if t >= last else math.exp(-rate * (last - t))
-                total = [a * keep + gain * float(b) for a, b in zip(total, msg)]
-                weight, n, last = weight * keep + gain, n + 1, max(last, t)
-        state.update((last, weight, n, total))
-        yield pd.DataFrame(
-            {"node": [key[0]], "salt": [key[1]], "last_t": [last], "weight": [weight], "n": [n], "total": [total]}
-        )
-
-    salted = messages.withColumn("salt", F.pmod(F.hash("edge_pos"), F.lit(salts)).cast("int"))
-    return salted.groupBy("node", "salt").applyInPandasWithState(
-        update, MEMORY_OUT, MEMORY_STATE, "update", GroupStateTimeout.NoTimeout
+    rate, ticks = math.log(2.0) / half_life, F.lit(half_life * span)
+    t = F.col("t").cast("double")
+    salted = messages.withColumn("salt", F.floor(t / ticks))
+    growth = F.exp(F.lit(rate) * (t - F.col("salt") * ticks))
+    salted = salted.withColumn("_k", F.coalesce(growth, F.lit(math.nan)))
+    sums = [F.sum(F.get("msg", F.lit(i)).cast("double") * F.col("_k")).alias(f"_{i}") for i in range(size)]
+    out = salted.groupBy("node", "salt").agg(
+        F.coalesce(F.max(t), F.lit(-math.inf)).alias("last_t"), F.sum("_k").alias("_w"), F.count("*").alias("n"), *sums
+    )
+    decay = F.coalesce(F.exp(F.lit(rate) * (F.col("salt") * ticks - F.col("last_t"))), F.lit(1.0))
+    return out.select(
+        "node", "salt", "last_t", (F.col("_w") * decay).alias("weight"), "n", F.array(*[F.col(f"_{i}") * decay for i in range(size)]).alias("total")
     )
 
 
