@@ -209,6 +209,30 @@ def test_excluding_reads_older_blocks(graph):
     assert {(r["layer"], r["nbr"]) for r in got} == {(1, 1), (2, 2), (2, 3)}
 
 
+def test_layers_of_long_and_skipped_histories(graph, monkeypatch):
+    """Packed blocks next to brute force: a hub, equal times, and ends that mostly meet one node."""
+    rng = np.random.default_rng(6)
+    rows = [(0, int(b), int(i // 3)) for i, b in enumerate(rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 3], 400))]
+    rows = sorted([*rows, *((4, 1, t) for t in (0, 1, 60, 61)), *random_edges(6, 90, 4)], key=lambda r: r[2])
+    e = graph(rows)
+    full = [(v, n, t, i) for i, (a, b, t) in enumerate(rows) for v, n in ((a, b), (b, a))]
+
+    def recent(node, t, skip):
+        past = sorted(((s, i, n) for v, n, s, i in full if v == node and s < t and n not in skip), reverse=True)
+        return [(node, n, s, i) for s, i, n in past[:3]]
+
+    roots = nb.edge_queries(e).withColumnRenamed("qid", "root").filter("root % 7 = 0")
+    want = []
+    for r in roots.collect():
+        one = recent(r["node"], r["t"], ())
+        want += [(r["root"], 1, *x) for x in one]
+        want += [(r["root"], 2, *x) for v in {x[1] for x in one} for x in recent(v, r["t"], (r["node"],))]
+    for rows_in_task in (2_000_000, 50):
+        monkeypatch.setattr(nb.recent_excluding, "__defaults__", (rows_in_task,))
+        got = [tuple(r) for r in nb.layered_neighbors(e, roots, 3, 2).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_link_heuristics(graph):
     rows = random_edges(12, 40, 9)
     e = graph(rows)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tgraph.functions.arrays import left_pad
 from tgraph.functions.random import pick
-from tgraph.operators.ordering import group_position, running
+from tgraph.operators.ordering import group_position, largest_group, running
 from tgraph.session import GROUP_ROWS, materialize
 
+# Ranks of a node's history in one row.
+BLOCK = 32
+
 
 def incidence(edges: DataFrame, eid: str = "edge_pos") -> DataFrame:
     """Every edge from both of its ends: node, nbr, t, eid."""
@@ -122,39 +125,84 @@ def padded(neighbors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
 
 
-def recent_excluding(inc: DataFrame, queries: DataFrame, k: int, exclude: DataFrame) -> DataFrame:
-    """The k most recent earlier interactions whose other end is not excluded.
+def packed_history(inc: DataFrame, over: int) -> DataFrame:
+    """Ranked incidence in blocks of BLOCK ranks: (node, blk, t, items), items in rank order.
 
-    ``exclude`` is (root, nbr) and queries carry ``root``.  Excluded rows use
-    up ranks, so older blocks are read, four times larger each round, until
-    every query has k rows or no history left.
+    ``t`` is the time of the block's first row. The last ``over`` rows of the
+    block before are copied in front, so that at least as many rows lie before any
+    time within the block.
     """
-    hits = inc.select("node", "rn", "nbr", F.col("t").alias("nbr_t"), "eid")
-    state = history_size(inc, queries).filter("c > 0")
-    state = materialize(
-        state.select("qid", "root", "node", "c", F.lit(k).cast("bigint").alias("need")), "state"
+    place = F.col("rn") - 1
+    blk = F.floor(place / F.lit(BLOCK)).cast("bigint")
+    homes = F.when(F.pmod(place, F.lit(BLOCK)) >= BLOCK - over, F.array(blk, blk + 1)).otherwise(F.array(blk))
+    item = F.struct("rn", "nbr", F.col("t").alias("nbr_t"), "eid")
+    rows = inc.select("node", F.explode(homes).alias("blk"), item.alias("item"))
+    packed = rows.groupBy("node", "blk").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    first = F.get(F.filter("items", lambda x: x["rn"] > F.col("blk") * BLOCK), F.lit(0))
+    # a block of copies only has no row of its own
+    return packed.filter(first.isNotNull()).select("node", "blk", first["nbr_t"].alias("t"), "items")
+
+
+def recent_excluding(blocks: DataFrame, queries: DataFrame, k: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The k most recent earlier interactions whose other end is not to be skipped.
+
+    ``blocks`` is a ``packed_history``; queries are (root, node, t, skip), where
+    ``skip`` is an array. Rows (root, node, found) hold arrays, the latest first.
+    The block of a query's time usually has all it needs, so that a query
+    travels once; for the others older blocks are read, four times as many each round,
+    until every query has k rows or no history left.
+    """
+    asked = queries.filter(F.col("node").isNotNull() & F.col("t").isNotNull())
+    ask = F.struct("root", "skip").alias("_q")
+    block = F.struct("blk", "items").alias("_b")
+    # a block that begins at a query's time is not earlier
+    marks = blocks.select("node", "t", F.lit(1).alias("_kind"), F.lit(None).cast(asked.select(ask).schema["_q"].dataType).alias("_q"), block)
+    marks = marks.unionByName(asked.select("node", "t", F.lit(0).alias("_kind"), ask), allowMissingColumns=True)
+    if largest_group(marks, ["node"]) <= group_rows:
+        w = Window.partitionBy("node").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        near = marks.withColumn("_b", F.last("_b", ignorenulls=True).over(w)).filter("_kind = 0")
+    else:
+        marks = marks.select("node", "t", "_kind", "_q", F.col("_b.blk").alias("_v"))
+        near = running(marks, ["node"], ["t", "_kind"], {"blk": F.col("_v")}, group_rows, how="max")
+        near = near.filter("_kind = 0").join(blocks.select("node", "blk", block), ["node", "blk"])
+    wanted = _latest("_b.items", "_q.skip", F.col("t"), k)
+    state = near.filter("_b IS NOT NULL").select(
+        F.col("_q.root").alias("root"), "node", F.col("_q.skip").alias("skip"), wanted.alias("found"), F.col("_b.items")[0]["rn"].alias("below")
     )
-    found, block = None, 2 * k
-    while True:
-        low = F.greatest(F.lit(1).cast("bigint"), F.col("c") - F.lit(block - 1))
-        rows = state.withColumn("rn", F.explode(F.sequence(low, F.col("c")))).join(hits, ["node", "rn"])
-        rows = rows.join(exclude, ["root", "nbr"], "left_anti")
-        # at most `block` rows per query
-        small = block <= GROUP_ROWS
-        placed = group_position(rows, ["qid"], [F.col("rn").desc()], "_o", bounded=small)
-        rows = materialize(placed.filter("_o <= need"), "block")
-        part = rows.select("qid", "root", "node", "rn", "nbr", "nbr_t", "eid")
-        found = part if found is None else found.unionByName(part)
-        got = rows.groupBy("qid").agg(F.count("*").alias("_g"))
-        state = state.join(got, "qid", "left").select(
-            "qid", "root", "node",
-            (F.col("c") - F.lit(block)).alias("c"),
-            (F.col("need") - F.coalesce("_g", F.lit(0))).alias("need"),
-        ).filter("c > 0 AND need > 0")
-        if state.isEmpty():
-            return found
-        state = materialize(state, "state")
-        block *= 4
+    # the skipped nodes are kept only where the search goes on
+    more = (F.size("found") < k) & (F.col("below") > 1)
+    state = state.select("root", "node", "found", F.when(more, F.col("skip")).alias("skip"), F.when(more, F.col("below")).alias("below"))
+    state = materialize(state, "recent")
+    found, many = state.select("root", "node", "found"), 1
+    rest = state.filter("below IS NOT NULL").select("root", "node", "skip", "below", (F.lit(k) - F.size("found")).alias("need"))
+    while not rest.isEmpty():
+        rest = materialize(rest.withColumn("_id", F.monotonically_increasing_id()), "state")
+        top = F.floor((F.col("below") - 2) / F.lit(BLOCK)).cast("bigint")
+        low = F.greatest(F.lit(0).cast("bigint"), top - F.lit(many - 1))
+        spread = rest.withColumn("_low", low).withColumn("blk", F.explode(F.sequence(low, top)))
+        read = spread.join(blocks.select("node", "blk", "items"), ["node", "blk"])
+        own = F.filter("items", lambda x: (x["rn"] > F.col("blk") * BLOCK) & (x["rn"] < F.col("below")))
+        read = read.withColumn("items", own).withColumn("part", _latest("items", "skip", None, F.col("need")))
+        got = read.groupBy("_id").agg(
+            F.first("root").alias("root"), F.first("node").alias("node"), F.first("skip").alias("skip"), F.first("need").alias("need"),
+            F.first("_low").alias("_low"), F.reverse(F.array_sort(F.flatten(F.collect_list("part")))).alias("found"),
+        )
+        state = materialize(got.withColumn("found", F.slice("found", F.lit(1), F.col("need"))), "recent")
+        found = found.unionByName(state.select("root", "node", "found"))
+        rest = state.filter("size(found) < need AND _low > 0")
+        rest = rest.select("root", "node", "skip", (F.col("_low") * BLOCK + 1).alias("below"), (F.col("need") - F.size("found")).alias("need"))
+        many *= 4
+    return found
+
+
+def _latest(items: str, skip: str, t: Column | None, k: int | Column) -> Column:
+    """The last k items before ``t`` that are not skipped, the latest first."""
+
+    def wanted(x: Column) -> Column:
+        keep = ~F.coalesce(F.array_contains(F.col(skip), x["nbr"]), F.lit(False))
+        return keep if t is None else keep & (x["nbr_t"].isNull() | (x["nbr_t"] < t))
+
+    return F.slice(F.reverse(F.filter(items, wanted)), F.lit(1), F.lit(k) if isinstance(k, int) else k)
 
 
 def layered_neighbors(edges: DataFrame, roots: DataFrame, k: int, layers: int) -> DataFrame:
@@ -163,24 +211,27 @@ def layered_neighbors(edges: DataFrame, roots: DataFrame, k: int, layers: int) -
     ``roots`` is (root, node, t).  Each layer takes the k most recent earlier
     interactions of the layer before, leaving out the nodes two layers up.
     """
-    inc = ranked_incidence(edges)
-    times = roots.select("root", "t")
-    frontier = roots.select("root", "node", "t")
-    exclude, out = None, None
+    blocks = materialize(packed_history(ranked_incidence(edges), min(BLOCK, 4 * k)), "history")
+    none = F.array().cast("array<bigint>")
+    frontier = roots.select("root", "node", "t", none.alias("skip"))
+    out = None
     for layer in range(1, layers + 1):
-        q = frontier.withColumn("qid", F.concat_ws("|", "root", "node"))
-        if layer == 1:
-            ids = q.select("qid", "root")
-            got = recent_neighbors(inc, q.select("qid", "node", "t"), k).drop("slot").join(ids, "qid")
-            got = materialize(got, "layer")
-        else:
-            got = recent_excluding(inc, q.select("qid", "root", "node", "t"), k, exclude)
-        rows = got.select("root", F.lit(layer).alias("layer"), "node", "nbr", "nbr_t", "eid")
+        got = recent_excluding(blocks, frontier, k)
+        rows = got.select("root", F.lit(layer).alias("layer"), "node", F.explode("found").alias("f"))
+        rows = rows.select("root", "layer", "node", "f.nbr", "f.nbr_t", "f.eid")
         out = rows if out is None else out.unionByName(rows)
         if layer < layers:
-            exclude = frontier.select("root", F.col("node").alias("nbr"))
-            reached = got.select("root", F.col("nbr").alias("node")).distinct()
-            frontier = materialize(reached.join(times, "root"), "frontier")
+            skip, times = F.collect_set("node").alias("skip"), F.collect_list("t").alias("times")
+            if layer == 1:
+                above = roots.groupBy("root").agg(skip, times)
+            else:
+                above = frontier.groupBy("root").agg(skip).join(roots.groupBy("root").agg(times), "root")
+            reached = got.select("root", F.transform("found", lambda x: x["nbr"]).alias("nbrs"))
+            reached = reached.groupBy("root").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nodes"))
+            # packed, a row a root
+            packed = materialize(reached.join(above, "root"), "frontier")
+            frontier = packed.select("root", F.explode("nodes").alias("node"), "times", "skip")
+            frontier = frontier.select("root", "node", F.explode("times").alias("t"), "skip")
     return out
 
 
