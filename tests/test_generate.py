@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import injection
 from tgraph.operators import inject as ij
 from tgraph.operators import negatives as ng
+from tgraph.operators import sampling
 from tgraph.operators.sampling import non_edges, observed_pairs, pair_product, weighted_pick
 from tgraph.functions.random import u01
 
@@ -162,6 +164,30 @@ def test_product_limit(edges):
         pair_product(edges, edges, 10)
 
 
+def test_product_without_seen_pairs(spark, monkeypatch):
+    """Blocks of targets, broadcast or joined, next to brute force; null ids are in a pool but in no pair."""
+    rows = [(1, 4), (4, 1), (2, 9), (9, 9), (3, 7), (5, 2), (1, 4), (None, 8), (6, None)]
+    e = spark.createDataFrame(rows, "src bigint, tgt bigint")
+    pairs = {(min(p), max(p)) for p in rows if None not in p}
+    want = {(a, b) for a in {p[0] for p in rows} - {None} for b in {p[1] for p in rows} - {None} if a != b and (min(a, b), max(a, b)) not in pairs}
+    monkeypatch.setattr(sampling, "PRODUCT_ROWS", 3)
+    for most in (200_000, 0):
+        monkeypatch.setattr(sampling, "BROADCAST_ROWS", most)
+        got = pair_product(e, e, without=observed_pairs(e)).filter("src != tgt").collect()
+        assert len(got) == len(want) and {(r["src"], r["tgt"]) for r in got} == want
+        every = pair_product(e, e).collect()
+        assert sorted(r["draw"] for r in every) == list(range(56))
+
+
+def test_large_products_are_not_refused(spark, tmp_path):
+    """1.6 billion pairs: the query has no bound, as its SQL has none."""
+    events = spark.range(40_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"), F.lit("view").alias("event_type")
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert injection.unseen_products(spark, str(tmp_path)).columns == ["src", "tgt"]
+
+
 def test_selection_falls_back(spark):
     cand = spark.createDataFrame([(i, 1, i) for i in range(10)], "slot bigint, src bigint, tgt bigint")
     seen = lambda ids: spark.createDataFrame([(1, i) for i in ids], "src bigint, tgt bigint")
